@@ -103,61 +103,55 @@ def resolve_field(name: str) -> Column:
     return F.coalesce(*found, text_field(F.col("content"), name))
 
 
-def json_type(value: Column) -> Column:
-    """Type name of a VARIANT value: string, number, boolean, array, object or unknown."""
-    schema = F.schema_of_variant(value)
+def json_type(schema: Column) -> Column:
+    """Type name from the schema text of a VARIANT value: string, number, boolean, array, object or unknown."""
     return (
-        F.when(schema == "BOOLEAN", "boolean")
+        F.when(schema == "STRING", "string")
         .when(schema.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), "number")
-        .when(schema == "STRING", "string")
+        .when(schema == "BOOLEAN", "boolean")
         .when(schema.startswith("ARRAY"), "array")
         .when(schema.startswith("OBJECT"), "object")
         .otherwise("unknown")
     )
 
 
-def field_entries(fields: Column, depth: int = 4) -> Column:
-    """Every field of a JSON object as array<struct<field, value>>, objects kept and also opened, `depth` levels."""
+ENTRY = "array<struct<field:string,value:variant,schema:string>>"
 
-    def entries(v: Column) -> Column:
-        return F.coalesce(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
 
-    level = F.transform(entries(fields), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value")))
-    levels = [level]
-    for _ in range(depth - 1):
-        level = F.flatten(
-            F.transform(
-                level,
-                lambda up: F.transform(
-                    entries(up["value"]),
-                    lambda e: F.struct(F.concat_ws(".", up["field"], e["key"]).alias("field"), e["value"].alias("value")),
-                ),
-            )
-        )
-        levels.append(level)
-    return F.concat(*levels)
+def _entries(v: Column, prefix: Column | None = None) -> Column:
+    """Keys of a JSON object as array<struct<field, value, schema>>, names led by `prefix`."""
+
+    def entry(e: Column) -> Column:
+        name = e["key"] if prefix is None else F.concat_ws(".", prefix, e["key"])
+        return F.struct(name.alias("field"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("schema"))
+
+    return F.coalesce(
+        F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), entry), F.array().cast(ENTRY)
+    )
 
 
 def flatten_fields(parsed: DataFrame, depth: int = 4) -> DataFrame:
     """One row per field of a line's JSON: dotted `field`, VARIANT `value`, its `type` and `text`, in one pass.
 
-    A list of strings also yields `<field>_concat` with the words joined.
+    Objects are kept and also opened, `depth` levels down. A list of strings also yields `<field>_concat`
+    with the words joined.
     """
     keep = [c for c in parsed.columns if c != "fields"]
-    rows = (
-        parsed.where("fields is not null")
-        .select(*keep, F.explode(field_entries(F.col("fields"), depth)).alias("_e"))
-        .select(*keep, "_e.field", "_e.value")
-        .withColumn("type", json_type(F.col("value")))
-        .withColumn("text", F.try_variant_get("value", "$", "string"))
+    rows = compute_once(parsed.where("fields is not null"), _l0=_entries(F.col("fields")))
+    for i in range(1, depth):
+        objects = F.filter(f"_l{i - 1}", lambda e: e["schema"].startswith("OBJECT"))
+        deeper = F.flatten(F.transform(objects, lambda e: _entries(e["value"], e["field"])))
+        rows = compute_once(rows, **{f"_l{i}": deeper})
+    rows = rows.select(*keep, F.explode(F.concat(*[f"_l{i}" for i in range(depth)])).alias("_e")).select(
+        *keep, "_e.field", "_e.value", json_type(F.col("_e.schema")).alias("type"),
+        F.try_variant_get("_e.value", "$", "string").alias("text"), (F.col("_e.schema") == "ARRAY<STRING>").alias("_words"),
     )
-    words = F.try_variant_get("value", "$", "array<string>")
-    is_words = F.schema_of_variant("value") == "ARRAY<STRING>"
     itself = F.struct("field", "type", "text")
     joined = F.struct(
-        F.concat("field", F.lit("_concat")).alias("field"), F.lit("string").alias("type"), F.array_join(words, " ").alias("text")
+        F.concat("field", F.lit("_concat")).alias("field"), F.lit("string").alias("type"),
+        F.array_join(F.try_variant_get("value", "$", "array<string>"), " ").alias("text"),
     )
-    both = F.when(is_words, F.array(itself, joined)).otherwise(F.array(itself))
+    both = F.when(F.col("_words"), F.array(itself, joined)).otherwise(F.array(itself))
     return rows.select(*keep, "value", F.explode(both).alias("_f")).select(*keep, "_f.field", "_f.type", "_f.text", "value")
 
 
