@@ -320,10 +320,41 @@ def alternation(patterns: list[str], flags: str = "(?i)") -> str:
     return flags + "|".join(f"(?:{p})" for p in patterns)
 
 
-def is_false_positive(content: Column) -> Column:
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+PLAIN = r"[\w\s\":=/-]+"  # patterns that are just text
+
+
+def any_word(words, low: str) -> str:
+    return "(" + " OR ".join(f"contains({low}, {sql_text(w)})" for w in sorted(words)) + ")"
+
+
+def found(pattern: str, content: str, low: str) -> str:
+    """SQL test for a pattern, without regard to case, in a line whose lower case is `low`.
+
+    A plain word is a substring test. Otherwise the words every match must hold are looked for first, which
+    is far cheaper than running the expression. The long rule lists are built as SQL text because that is
+    one call into the JVM instead of thousands.
+    """
+    if re.fullmatch(PLAIN, pattern):
+        return f"contains({low}, {sql_text(pattern.lower())})"
+    words = required_words(pattern)
+    test = f"rlike({content}, {sql_text('(?i)' + pattern)})"
+    return test if words is None else f"({any_word(words, low)} AND {test})"
+
+
+def is_false_positive(content: str = "content", low: str | None = None) -> Column:
     """Known harmless line, or a worker class with an alarming name unless a real error is logged with it."""
-    real = content.rlike('"severity":"ERROR"|"level":"error"') & content.rlike('"exception":"|error":"')
-    return content.rlike(alternation(FALSE_POSITIVES)) | (content.rlike(alternation(WORKER_CLASSES)) & ~real)
+    low = low or f"lower({content})"
+    # plain words first: they are cheap and settle most lines
+    listed = sorted(FALSE_POSITIVES, key=lambda p: not re.fullmatch(PLAIN, p))
+    harmless = " OR ".join(found(p, content, low) for p in listed)
+    workers = " OR ".join(found(p, content, low) for p in WORKER_CLASSES)
+    level = " OR ".join(f"contains({content}, {sql_text(w)})" for w in ('"severity":"ERROR"', '"level":"error"'))
+    named = " OR ".join(f"contains({content}, {sql_text(w)})" for w in ('"exception":"', 'error":"'))
+    return F.expr(f"{harmless} OR (contains({low}, 'worker') AND ({workers}) AND NOT (({level}) AND ({named})))")
 
 
 def monitoring_source(content: Column) -> Column:
@@ -405,8 +436,26 @@ def gate_words(patterns: list[str]) -> list[str] | None:
     return [w for w in words if not any(o != w and o in w for o in words)]
 
 
-def candidate_line(content: Column, patterns: list[str]) -> Column:
+def candidate_line(patterns: list[str], content: str = "content", low: str | None = None) -> Column:
     """Cheap gate before the patterns: long enough, and holds a word some pattern needs."""
     words = gate_words(patterns)
-    long_enough = F.length(content) >= 10
-    return long_enough if words is None else long_enough & F.lower(content).rlike("|".join(re.escape(w) for w in words))
+    gate = "true" if words is None else any_word(words, low or f"lower({content})")
+    return F.expr(f"length({content}) >= 10 AND {gate}")
+
+
+def first_pattern(patterns: list[tuple[str, str | None]], content: str, low: str, relevant: str, chunk: int = 40) -> Column:
+    """Position of the first (pattern, component) that a line matches; the component, if given, must be relevant.
+
+    Each pattern is a literal, so it is compiled once per task; the chain stops at the first hit. Chunks keep
+    the generated methods small however many rows the table has.
+    """
+
+    def test(pattern, component):
+        hit = found(pattern, content, low)
+        return hit if component is None else f"array_contains({relevant}, {sql_text(component)}) AND {hit}"
+
+    cases = []
+    for start in range(0, len(patterns), chunk):
+        whens = " ".join(f"WHEN {test(*row)} THEN {i}" for i, row in enumerate(patterns[start : start + chunk], start))
+        cases.append(f"CASE {whens} END")
+    return F.expr(f"coalesce({', '.join(cases)})" if len(cases) > 1 else cases[0])

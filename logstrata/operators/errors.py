@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.error_rules import (
-    candidate_line, error_patterns, is_false_positive, monitoring_source, relevant_components, unscannable,
+    candidate_line, error_patterns, first_pattern, is_false_positive, monitoring_source, relevant_components, unscannable,
 )
 from ..functions.fields import compute_once, field, parse_json
 from ..functions.paths import node_of
@@ -26,27 +26,6 @@ def ranked_patterns(patterns: DataFrame) -> list:
     return sorted(rows, key=lambda r: (-r.priority, SEVERITY_RANK.get(r.severity, 3), r.id))
 
 
-def pattern_of(content: Column, relevant: Column, ranked: list, chunk: int = 40) -> Column:
-    """Position (in match order) of the first relevant pattern that a line matches, or null.
-
-    Each pattern is a literal, so it is compiled once per task; the chain stops at the first hit. Chunks keep
-    the generated methods small however many rows the table has.
-    """
-
-    def test(row) -> Column:
-        found = content.rlike("(?i)" + row.pattern)
-        return found if row.severity == "CRITICAL" else F.array_contains(relevant, row.component) & found
-
-    chunks = []
-    for start in range(0, len(ranked), chunk):
-        part = ranked[start : start + chunk]
-        first = F.when(test(part[0]), start)
-        for i, row in enumerate(part[1:], start + 1):
-            first = first.when(test(row), i)
-        chunks.append(first)
-    return F.coalesce(*chunks)
-
-
 def with_pattern(lines: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """Lines with `rank`, the position of their best pattern in match order; null where nothing matches.
 
@@ -54,14 +33,15 @@ def with_pattern(lines: DataFrame, patterns: DataFrame | None = None) -> DataFra
     """
     spark = lines.sparkSession
     ranked = ranked_patterns(error_patterns(spark) if patterns is None else patterns)
-    content = F.col("content")
-    gate = candidate_line(content, [r.pattern for r in ranked])
-    relevant = relevant_components(F.col("path"))
-    rows = compute_once(lines, _candidate=gate & ~unscannable(F.col("path")))
-    rows = compute_once(rows, _candidate=F.when(F.col("_candidate"), ~is_false_positive(content)).otherwise(False))
-    rows = compute_once(rows, _relevant=F.when(F.col("_candidate"), relevant))
-    rank = F.when(F.col("_candidate"), pattern_of(content, F.col("_relevant"), ranked))
-    return compute_once(rows, rank=rank).drop("_candidate", "_relevant")
+    rows = compute_once(lines, _low=F.lower("content"))
+    gate = candidate_line([r.pattern for r in ranked], "content", "_low") & ~unscannable(F.col("path"))
+    rows = compute_once(rows, _candidate=gate)
+    rows = compute_once(rows, _candidate=F.when(F.col("_candidate"), ~is_false_positive("content", "_low")).otherwise(False))
+    rows = compute_once(rows, _relevant=F.when(F.col("_candidate"), relevant_components(F.col("path"))))
+    # critical patterns apply to every file
+    chain = [(r.pattern, None if r.severity == "CRITICAL" else r.component) for r in ranked]
+    rank = F.when(F.col("_candidate"), first_pattern(chain, "content", "_low", "_relevant"))
+    return compute_once(rows, rank=rank).drop("_candidate", "_relevant", "_low")
 
 
 def with_pattern_info(matches: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
@@ -153,12 +133,12 @@ def related_counts(matches: DataFrame, lines: DataFrame) -> DataFrame:
 def scan_errors(lines: DataFrame, patterns: DataFrame | None = None, related: bool = True) -> DataFrame:
     """Full scan: excluded files, gate, harmless lines, best pattern, block, message, ids, trace."""
     rows = lines.select(*FILE, "line_no", "content")
-    found = first_per_block(error_blocks(with_pattern(rows, patterns), F.col("rank").isNotNull()))
-    found = with_pattern_info(found, patterns)
-    found = compute_once(found, fields=parse_json(F.col("content")))
+    hits = first_per_block(error_blocks(with_pattern(rows, patterns), F.col("rank").isNotNull()))
+    hits = with_pattern_info(hits, patterns)
+    hits = compute_once(hits, fields=parse_json(F.col("content")))
     fmt = block_format(F.col("content"))
-    found = (
-        found.withColumn("format", fmt)
+    hits = (
+        hits.withColumn("format", fmt)
         .withColumn("_meta", error_meta(F.col("content"), F.col("fields"), F.col("block")))
         .withColumn("message", clean_message(*[F.col(c) for c in ("content", "fields", "block", "pattern_id", "component", "description")]))
         .select("*", "_meta.*").drop("_meta", "covered")
@@ -168,7 +148,7 @@ def scan_errors(lines: DataFrame, patterns: DataFrame | None = None, related: bo
         .withColumn("signature", error_signature(F.col("pattern_id"), F.col("message")))
         .withColumn("match_hash", match_hash(F.col("component"), F.col("pattern_id"), F.col("message")))
     )
-    return related_counts(found, rows) if related else found
+    return related_counts(hits, rows) if related else hits
 
 
 # groups and reports -------------------------------------------------------------------------------
@@ -254,7 +234,7 @@ def split_monitoring(problems: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def classified_lines(lines: DataFrame) -> DataFrame:
     """Lines with their class; `component` decides which rules apply."""
-    return compute_once(lines, _c=classify_line(F.col("content"), F.col("component"))).select(*lines.columns, "_c.*")
+    return compute_once(lines, _c=classify_line()).select(*lines.columns, "_c.*")
 
 
 def error_summary(classified: DataFrame, k: int = 10) -> DataFrame:

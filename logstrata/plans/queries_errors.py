@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.error_rules import candidate_line, is_false_positive, monitoring_source, pattern_rows, scannable_files
+from ..functions.error_rules import candidate_line, gate_words, is_false_positive, monitoring_source, pattern_rows, scannable_files
 from ..functions.fields import with_fields
 from ..functions.severity import classify_json, word_severity
 from ..operators import errors, search
@@ -67,14 +67,14 @@ def problem_groups(t):
 
 
 CLASSES = """c AS (SELECT *, CASE WHEN contains(message, 'deadlock') OR severity = 'FATAL' THEN 'critical' WHEN component = 'postgresql' THEN 'error'
-  WHEN component = 'sidekiq' AND FALSE THEN 'error' WHEN severity = 'WARN' THEN 'warning' END AS cls,
+  WHEN component = 'sidekiq' AND contains(content, 'dead') THEN 'error' WHEN severity = 'WARN' THEN 'warning' END AS cls,
  CASE WHEN severity = 'FATAL' THEN 'FATAL' WHEN contains(message, 'deadlock') THEN 'deadlock' WHEN contains(message, 'connection refused') THEN 'connection refused'
-  WHEN component = 'postgresql' THEN 'canceling statement' WHEN severity = 'WARN' THEN 'WARN' END AS matched FROM log_lines)"""
+  WHEN component = 'postgresql' THEN 'canceling statement' WHEN component = 'sidekiq' AND contains(content, 'dead') THEN 'dead' WHEN severity = 'WARN' THEN 'WARN' END AS matched FROM log_lines)"""
 
 
 @query("line_classes", "I4", "log_lines", f"""
 WITH {CLASSES} SELECT component, coalesce(cls, 'none') AS severity, coalesce(matched, 'none') AS matched, cls IN ('critical', 'error') AND cls IS NOT NULL AS is_error,
- CASE cls WHEN 'critical' THEN 'critical_error' WHEN 'error' THEN 'postgresql_error' WHEN 'warning' THEN 'warning' ELSE 'none' END AS category, count(*) AS n FROM c GROUP BY 1, 2, 3, 4, 5""")
+ CASE cls WHEN 'critical' THEN 'critical_error' WHEN 'error' THEN concat(component, '_error') WHEN 'warning' THEN 'warning' ELSE 'none' END AS category, count(*) AS n FROM c GROUP BY 1, 2, 3, 4, 5""")
 def line_classes(t):
     rows = errors.classified_lines(t.log_lines(numbered=False).select("component", "content"))
     named = [F.coalesce(c, F.lit("none")).alias(c) for c in ("severity", "matched", "category")]
@@ -86,7 +86,7 @@ WITH {CLASSES}, e AS (SELECT * FROM c WHERE cls IN ('critical', 'error'))
 SELECT 'total' AS part, 'errors' AS key, CAST((SELECT count(*) FROM e) AS DOUBLE) AS value UNION ALL
 SELECT 'total', 'rate', round((SELECT count(*) FROM e) * 100.0 / (SELECT count(*) FROM c), 2) UNION ALL
 SELECT 'severity', cls, CAST(count(*) AS DOUBLE) FROM e GROUP BY 2 UNION ALL
-SELECT 'category', CASE cls WHEN 'critical' THEN 'critical_error' ELSE 'postgresql_error' END, CAST(count(*) AS DOUBLE) FROM e GROUP BY 2 UNION ALL
+SELECT 'category', CASE cls WHEN 'critical' THEN 'critical_error' ELSE concat(component, '_error') END, CAST(count(*) AS DOUBLE) FROM e GROUP BY 2 UNION ALL
 SELECT 'pattern', matched, CAST(count(*) AS DOUBLE) FROM e GROUP BY 2""")
 def error_summary(t):
     return errors.error_summary(errors.classified_lines(t.log_lines(numbered=False).select("component", "content")))
@@ -132,7 +132,7 @@ def detected_components(t):
 
 @query("harmless_lines", "C22", "log_lines", "SELECT severity, count(*) AS lines, count(*) FILTER (severity = 'INFO') AS harmless FROM log_lines GROUP BY 1")
 def harmless_lines(t):
-    rows = t.log_lines(numbered=False).select("severity", is_false_positive(F.col("content")).alias("harmless"))
+    rows = t.log_lines(numbered=False).select("severity", is_false_positive().alias("harmless"))
     return rows.groupBy("severity").agg(F.count(F.lit(1)).alias("lines"), F.count_if("harmless").alias("harmless"))
 
 
@@ -143,10 +143,13 @@ def scannable_file_list(t):
     return scannable_files(search.union_hits(files, dumps))
 
 
-@query("candidate_lines", "C24", "text_lines", None)
+GATE = "|".join(gate_words([r[1] for r in pattern_rows()]))
+
+
+@query("candidate_lines", "C24", "log_lines", f"SELECT severity, count(*) AS n FROM log_lines WHERE length(content) >= 10 AND regexp_matches(lower(content), '{GATE}') GROUP BY 1".replace("'s", "''s"))
 def candidate_lines(t):
-    rows = t.text_lines().where(candidate_line(F.col("content"), [r[1] for r in pattern_rows()]))
-    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = t.log_lines(numbered=False).where(candidate_line([r[1] for r in pattern_rows()]))
+    return rows.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("monitoring_lines", "C25", "log_lines", """
