@@ -126,7 +126,7 @@ def reach_ms(ca: str, ta: str, cb: str, tb: str, shared: str | None) -> int:
 # ---- event types -----------------------------------------------------------------------------------
 
 
-def classify_event(component: Column, severity: Column, message: Column, fields: Column | None = None) -> Column:
+def classify_event(component: Column, severity: Column, message: Column, fields: Column | str | None = None) -> Column:
     """Event type of a line, by its component, message and fields."""
     m = F.lower(message)
     none = F.lit(None).cast("string")
@@ -170,7 +170,7 @@ def event_details(message: Column) -> Column:
     )
 
 
-def component_or_guess(component: Column, message: Column, fields: Column) -> Column:
+def component_or_guess(component: Column, message: Column, fields: Column | str = "fields") -> Column:
     """Component of an event; an unknown one is guessed from its fields, then from words of the message."""
     m = F.lower(message)
     has = lambda *names: F.coalesce(*[field(n, fields) for n in names]).isNotNull()

@@ -66,10 +66,13 @@ def json_paths(name: str) -> list[str]:
     return list(dict.fromkeys("$" + s for s in spellings(parts)))
 
 
-def field(name: str, fields: Column | None = None) -> Column:
+def field(name: str, fields: Column | str = "fields") -> Column:
     """Value of a possibly nested field as text; null when missing or JSON null."""
-    v = F.col("fields") if fields is None else fields
-    found = [F.try_variant_get(v, p, "string") for p in json_paths(name)]
+    if isinstance(fields, str):  # one SQL text is one call into the JVM
+        paths = [p.replace("\\", "\\\\").replace("'", "\\'") for p in json_paths(name)]
+        found = [f"try_variant_get({fields}, '{p}', 'string')" for p in paths]
+        return F.expr(found[0] if len(found) == 1 else f"coalesce({', '.join(found)})")
+    found = [F.try_variant_get(fields, p, "string") for p in json_paths(name)]
     return found[0] if len(found) == 1 else F.coalesce(*found)
 
 

@@ -160,7 +160,7 @@ def classify_line(content: str = "content", component: str = "component") -> Col
     )
 
 
-def classify_json(fields: Column) -> Column:
+def classify_json(fields: Column | str = "fields") -> Column:
     """Struct (is_error, severity, category) of a JSON line: severity, exception keys, HTTP status, job status."""
     severity = F.lower(F.coalesce(field("severity", fields), field("level", fields), F.lit("")))
     status_text = F.coalesce(field("status", fields), field("status_code", fields))
@@ -192,7 +192,7 @@ def component_by_path(path: Column) -> Column:
     return F.coalesce(*[F.when(p.rlike("|".join(re.escape(w) for w in words)), name) for name, words in DETECT_BY_PATH])
 
 
-def classify_pod_line(content: Column, is_json: Column, fields: Column) -> Column:
+def classify_pod_line(content: Column, is_json: Column, fields: Column | str = "fields") -> Column:
     """Struct (severity, pattern) of a container log line: JSON severity and exceptions, then word families."""
     low = F.lower(content)
     level = F.lower(F.coalesce(*[field(n, fields) for n in ("severity", "level", "log_level")]))

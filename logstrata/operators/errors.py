@@ -77,7 +77,7 @@ def _group1(text: Column, pattern: str, flags: str = "(?i)") -> Column:
     return F.when(text.rlike(flags + pattern), F.regexp_extract(text, flags + pattern, 1))
 
 
-def clean_message(content: Column, fields: Column, block: Column, pattern_id: Column, component: Column, description: Column) -> Column:
+def clean_message(content: Column, fields: Column | str, block: Column, pattern_id: Column, component: Column, description: Column) -> Column:
     """Readable message: JSON fields, JSON of the first five block lines, the extractor of the family, a general one, the description."""
     useful = lambda c: F.when(~c.isin(NOISE) & (c != ""), c)
     raised, told = field("exception.class", fields), field("exception.message", fields)
@@ -101,7 +101,7 @@ def clean_message(content: Column, fields: Column, block: Column, pattern_id: Co
 IDS = ["correlation_id", "request_id", "user_id", "project_id", "job_id", "trace_id"]
 
 
-def error_meta(content: Column, fields: Column, block: Column) -> Column:
+def error_meta(content: Column, fields: Column | str, block: Column) -> Column:
     """Struct of six ids and `error_code`: JSON, then the text of the line, then the lines of the block."""
 
     def in_block(pattern: str) -> Column:
@@ -139,8 +139,8 @@ def scan_errors(lines: DataFrame, patterns: DataFrame | None = None, related: bo
     fmt = block_format(F.col("content"))
     hits = (
         hits.withColumn("format", fmt)
-        .withColumn("_meta", error_meta(F.col("content"), F.col("fields"), F.col("block")))
-        .withColumn("message", clean_message(*[F.col(c) for c in ("content", "fields", "block", "pattern_id", "component", "description")]))
+        .withColumn("_meta", error_meta(F.col("content"), "fields", F.col("block")))
+        .withColumn("message", clean_message(F.col("content"), "fields", *[F.col(c) for c in ("block", "pattern_id", "component", "description")]))
         .select("*", "_meta.*").drop("_meta", "covered")
         .withColumn("stack_trace", stack_trace(F.col("block"), F.col("format")))
         .withColumn("ts", extract_ts(F.col("content"))).withColumn("node", node_of(F.col("path")))

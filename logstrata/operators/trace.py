@@ -67,14 +67,14 @@ def to_events(parsed: DataFrame) -> DataFrame:
     get = lambda name: field(name)
     seconds = F.coalesce(*[get(n).try_cast("double") for n in ("duration_s", "duration", "elapsed_time")])
     detail = event_details(F.col("message"))
-    rows = parsed.withColumn("component", component_or_guess(F.col("component"), F.col("message"), F.col("fields")))
+    rows = parsed.withColumn("component", component_or_guess(F.col("component"), F.col("message"), "fields"))
     rows = rows.withColumn("_d", detail).withColumn("severity", F.coalesce("severity", F.lit("INFO")))
     text_id = F.concat_ws(":", "path", "line_no", ID)
     return rows.select(
         ID, F.substring(F.md5(text_id), 1, 16).alias("event_id"),
         F.concat_ws(":", "session_id", "path", "line_no").alias("event_key"), "session_id", "path", "line_no",
         F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), "component", "severity", "message",
-        classify_event(F.col("component"), F.col("severity"), F.col("message"), F.col("fields")).alias("event_type"),
+        classify_event(F.col("component"), F.col("severity"), F.col("message"), "fields").alias("event_type"),
         get("jid").alias("job_id"), get("request_id").alias("request_id"), get("user_id").alias("user_id"),
         get("project_id").alias("project_id"), get("class").alias("job_class"), get("grpc.method").alias("grpc_method"),
         get("grpc.code").alias("grpc_code"), "_d.http_method", "_d.http_status", "_d.controller", "_d.action",

@@ -120,6 +120,8 @@ def oracle_prefix(tables: list[str], body: str) -> str:
             if dep not in ordered:
                 ordered.append(dep)
     ctes = [f"{t} AS ({ORACLE_TABLES[t].strip()})" for t in ordered]
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*ctes, body[15:]])
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join([*ctes, body[5:]])
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body

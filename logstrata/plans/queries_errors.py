@@ -96,7 +96,7 @@ def error_summary(t):
 SELECT component, coalesce(CASE severity WHEN 'FATAL' THEN 'critical' WHEN 'ERROR' THEN 'error' WHEN 'WARN' THEN 'warning' END, 'none') AS severity,
  coalesce(CASE severity WHEN 'FATAL' THEN 'json_fatal' WHEN 'ERROR' THEN 'json_error' WHEN 'WARN' THEN 'json_warning' END, 'none') AS category, severity IN ('FATAL', 'ERROR') AS is_error, count(*) AS n FROM log_lines GROUP BY 1, 2, 3, 4""")
 def json_line_classes(t):
-    rows = with_fields(t.log_lines(numbered=False).select("component", "content")).select("component", classify_json(F.col("fields")).alias("c"))
+    rows = with_fields(t.log_lines(numbered=False).select("component", "content")).select("component", classify_json().alias("c"))
     none = lambda c: F.coalesce(F.col(f"c.{c}"), F.lit("none")).alias(c)
     return rows.groupBy("component", none("severity"), none("category"), F.col("c.is_error").alias("is_error")).agg(F.count(F.lit(1)).alias("n"))
 

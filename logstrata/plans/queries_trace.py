@@ -79,16 +79,20 @@ def logical_clocks(t):
     return trace.causal_rank(trace.lamport(events(t))).select("correlation_id", "event_key", "lamport", "causal_rank")
 
 
-# Longest paths by iterating the edges: forward from events without causes, backward from events without effects.
+# Longest ways by following the edges: forward from every event, backward from those without effects.
 CPM_SQL = f"""
-WITH RECURSIVE {{ctes}}, {TYPED}, {PAIRS}, edges AS MATERIALIZED (SELECT correlation_id, src, dst FROM pairs WHERE confidence > 0.5),
+WITH RECURSIVE {TYPED}, {PAIRS}, edges AS MATERIALIZED (SELECT correlation_id, src, dst FROM pairs WHERE confidence > 0.5),
 f AS (SELECT event_key, CAST(0 AS DOUBLE) AS es, 0 AS depth FROM typed UNION
   SELECT e.dst, f.es + t.dur_ms, f.depth + 1 FROM f JOIN edges e ON e.src = f.event_key JOIN typed t ON t.event_key = e.src),
-es AS MATERIALIZED (SELECT event_key, max(es) AS es, max(depth) AS depth FROM f GROUP BY 1)
-"""
+es AS MATERIALIZED (SELECT event_key, max(es) AS es, max(depth) AS depth FROM f GROUP BY 1),
+b AS (SELECT event_key, es AS ls FROM es WHERE event_key NOT IN (SELECT src FROM edges) UNION
+  SELECT e.src, b.ls - t.dur_ms FROM b JOIN edges e ON e.dst = b.event_key JOIN typed t ON t.event_key = e.src),
+ls AS (SELECT event_key, min(ls) AS ls FROM b GROUP BY 1)
+SELECT t.correlation_id, t.event_key, round(es, 3) AS earliest_start, round(ls, 3) AS latest_start, abs(ls - es) < 0.001 AS is_critical, CAST(depth AS BIGINT) AS depth,
+  row_number() OVER (PARTITION BY t.correlation_id ORDER BY depth, t.t_ms, t.event_key) AS position FROM typed t JOIN es USING (event_key) JOIN ls USING (event_key)"""
 
 
-@query("critical_path", "F10 F11", "trace_events", None)
+@query("critical_path", "F10 F11", "trace_events", CPM_SQL)
 def critical_path(t):
     paths = trace.topological_order(trace.critical_path(events(t)))
     return paths.select("correlation_id", "event_key", F.round("earliest_start", 3).alias("earliest_start"), F.round("latest_start", 3).alias("latest_start"), "is_critical", "depth", "position")
