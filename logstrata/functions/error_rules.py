@@ -285,7 +285,7 @@ system_open_files ERROR 65 too\s+many\s+open\s+files
 = Generic | generic
 generic_java_exception ERROR 35 Exception\s+in\s+thread
 generic_python_trace ERROR 35 Traceback\s+\(most\s+recent
-generic_go_panic CRITICAL 60 ^panic:
+generic_go_panic CRITICAL 96 ^panic:
 generic_json_fatal ERROR 20 "(?:severity|level)"\s*:\s*"fatal"
 generic_json_error ERROR 15 "(?:severity|level)"\s*:\s*"error"
 generic_error_word ERROR 5 \b(?:ERROR|FATAL|CRITICAL)\b
