@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .error_rules import alternation, sql_text
+from .error_rules import alternation, found, sql_text
 from .fields import field
 
 # ---- fixed values: words and patterns per class, matched as written ------------------------------
@@ -130,18 +130,20 @@ def _words(words: list[str], text: str, lower: bool = False) -> list[tuple[str,
 
 
 def _any(words: list[str], text: str) -> str:
-    return f"rlike({text}, {sql_text('|'.join(re.escape(w) for w in words))})"
+    """Whether a text holds any of the words; words that contain another one need no test."""
+    short = [w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words)]
+    return "(" + " OR ".join(f"contains({text}, {sql_text(w)})" for w in short) + ")"
 
 
-def classify_line(content: str = "content", component: str = "component") -> Column:
+def classify_line(content: str = "content", component: str = "component", low: str | None = None) -> Column:
     """Struct (is_error, severity, matched, category): critical words, then the rules of the component, then
-    general error words, then warnings. One alternation tests a class; the matched rule is looked up only then.
+    general error words, then warnings. Cheap tests settle a class; the rule that matched is looked up only then.
     """
-    low = f"lower({content})"
+    low = low or f"lower({content})"
     branches = []
     for name, (patterns, words) in COMPONENT_RULES.items():
-        tests = [(f"rlike({content}, {sql_text('(?i)' + p)})", p) for p in patterns] + _words(words, low, True)
-        test = f"rlike({content}, {sql_text(alternation(patterns + [re.escape(w) for w in words]))})"
+        tests = [(found(p, content, low), p) for p in patterns] + _words(words, low, True)
+        test = " OR ".join([_any([w.lower() for w in words], low), *[found(p, content, low) for p in patterns]])
         branches.append(f"WHEN {sql_text(name)} THEN CASE WHEN {test} THEN {_first_of(tests)} END")
     listed = f"{component} IN ({', '.join(sql_text(n) for n in COMPONENT_RULES)})"
     # a component without rules of its own is searched for the general words without regard to case

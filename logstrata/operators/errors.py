@@ -14,6 +14,7 @@ from ..functions.fields import compute_once, field, parse_json
 from ..functions.paths import node_of
 from ..functions.severity import DETECT_BY_PATH, classify_line, component_by_path, quick_error
 from ..functions.text import correlation_ids, error_signature, extract_ts, match_hash
+from ..session import cut_lineage
 from .blocks import block_format, error_blocks, first_per_block, stack_trace
 
 FILE = ["session_id", "path"]
@@ -161,19 +162,22 @@ def error_groups(matches: DataFrame, samples: int = 3) -> DataFrame:
     signature that owns most rows sends a few per task.
     """
     where = F.struct("session_id", "path", "line_no")
-    per = matches.groupBy("signature").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.min_by(F.struct("message", "severity", "component", "pattern_id"), where).alias("_first"),
-        F.bool_or(F.col("correlation_id").isNotNull()).alias("has_correlation"),
-        F.bool_or(F.col("stack_trace").isNotNull()).alias("has_stack_trace"),
-    ).select("signature", "count", "_first.*", "has_correlation", "has_stack_trace")
-    files = error_group_files(matches).groupBy("signature").agg(F.count(F.lit(1)).alias("file_count"))
+    first = F.struct(where.alias("at"), "message", "severity", "component", "pattern_id")
+    per_file = matches.groupBy("signature", "session_id", "path").agg(
+        F.count(F.lit(1)).alias("n"), F.min(first).alias("_first"),
+        F.bool_or(F.col("correlation_id").isNotNull()).alias("_c"), F.bool_or(F.col("stack_trace").isNotNull()).alias("_s"),
+    )
+    per = per_file.groupBy("signature").agg(
+        F.sum("n").alias("count"), F.min("_first").alias("_first"), F.bool_or("_c").alias("has_correlation"),
+        F.bool_or("_s").alias("has_stack_trace"), F.count(F.lit(1)).alias("file_count"),
+    )
+    per = per.select("signature", "count", *[F.col(f"_first.{c}").alias(c) for c in ("message", "severity", "component", "pattern_id")], "has_correlation", "has_stack_trace", "file_count")
     order = Window.partitionBy("signature").orderBy("session_id", "path", "line_no")
     head = matches.select("signature", "session_id", "path", "line_no", "message", "content").withColumn("_r", F.row_number().over(order))
     head = head.where(F.col("_r") <= samples).groupBy("signature").agg(
         F.array_sort(F.collect_list(F.struct("session_id", "path", "line_no", "message", "content"))).alias("samples")
     )
-    return per.join(files, "signature").join(head, "signature")
+    return per.join(head, "signature")
 
 
 def error_group_files(matches: DataFrame) -> DataFrame:
@@ -190,6 +194,8 @@ def top_groups(groups: DataFrame, k: int = 10) -> DataFrame:
 
 
 def error_report(matches: DataFrame) -> dict[str, DataFrame]:
+    """Everything that is shown of a scan. The matches, a small part of the lines, are written once and read by each part."""
+    matches = cut_lineage(matches.drop("fields"))
     groups = error_groups(matches)
     return {
         "groups": groups, "files": error_group_files(matches), "by_severity": error_counts(matches, "severity"),
@@ -234,7 +240,8 @@ def split_monitoring(problems: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def classified_lines(lines: DataFrame) -> DataFrame:
     """Lines with their class; `component` decides which rules apply."""
-    return compute_once(lines, _c=classify_line()).select(*lines.columns, "_c.*")
+    rows = compute_once(lines, _low=F.lower("content"))
+    return compute_once(rows, _c=classify_line(low="_low")).select(*lines.columns, "_c.*")
 
 
 def error_summary(classified: DataFrame, k: int = 10) -> DataFrame:

@@ -127,6 +127,15 @@ def oracle_prefix(tables: list[str], body: str) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than cores, dealt out to all of them before costly work.
+
+    Small files end up in one task otherwise. Inputs with enough splits are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The given tables of one folder, and the log-shaped tables derived from them."""
 
@@ -143,7 +152,7 @@ class Tables:
     def log_lines(self, numbered: bool = True) -> DataFrame:
         """`numbered=False` leaves out `line_no` and the second scan that computes it."""
         text = F.expr(LOG_CONTENT)
-        rows = compute_once(self._sql(LOG_BASE + "SELECT * FROM m", "events"), message=F.col("message"))
+        rows = compute_once(spread(self._sql(LOG_BASE + "SELECT * FROM m", "events")), message=F.col("message"))
         rows = compute_once(rows, content=text).select(*LOG_NAMES)
         if not numbered:
             return rows
@@ -165,7 +174,7 @@ class Tables:
         return self._sql(HOST_OUTPUTS, "supplier")
 
     def kube_events(self) -> DataFrame:
-        return self._sql(KUBE_EVENTS, "orders")
+        return spread(self._sql(KUBE_EVENTS, "orders"))
 
     def text_lines(self) -> DataFrame:
-        return self._sql(TEXT_LINES_SPARK, "documents")
+        return spread(self._sql(TEXT_LINES_SPARK, "documents"))

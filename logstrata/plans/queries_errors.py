@@ -60,7 +60,7 @@ WITH {MATCHED}, g AS (SELECT signature, count(*) AS count, min_by(message, (sess
 SELECT 'PostgreSQL' AS component, 'ERROR' AS severity, regexp_replace(message, '\\b[0-9]+\\b', 'N', 'g') AS text, CAST(sum(count) AS BIGINT) AS total_count, count(*) AS problems FROM g
 WHERE contains(lower(message), 'lock') AND count >= 10 GROUP BY 3""")
 def problem_groups(t):
-    groups = errors.error_groups(errors.scan_errors(t.lines(), related=False))
+    groups = errors.error_report(errors.scan_errors(t.lines(), related=False))["groups"]
     regular, _ = errors.split_monitoring(groups)
     kept = errors.filter_problems(regular, severity="error", component="PostgreSQL", text="LOCK", min_count=10)
     return errors.problem_groups(kept).select("component", "severity", "text", "total_count", "problems")
