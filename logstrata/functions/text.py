@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,9 +77,19 @@ WIDE_ID_FORMS = [
 
 
 def correlation_ids(content: Column, wide: bool = False) -> Column:
-    """Distinct ids in a line. Wide: any of ten spellings, longer than five characters."""
-    forms = ["(?i)" + p for p in WIDE_ID_FORMS] if wide else NARROW_ID_FORMS
-    found = F.array_distinct(F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in forms]))
+    """Distinct ids in a line. Wide: any of ten spellings, longer than five characters.
+
+    A spelling is searched for only in lines that hold its name.
+    """
+    low, none = F.lower(content), F.array().cast("array<string>")
+
+    def ids(form: str) -> Column:
+        name = re.match(r'"?([A-Za-z_-]+)', form).group(1)
+        word = name.lower() + ("=" if form.startswith(name + "=") else "")
+        hit = F.regexp_extract_all(content, F.lit(("(?i)" if wide else "") + form), F.lit(1))
+        return F.when(F.contains(low, F.lit(word)), hit).otherwise(none)
+
+    found = F.array_distinct(F.concat(*[ids(form) for form in (WIDE_ID_FORMS if wide else NARROW_ID_FORMS)]))
     return F.filter(found, lambda x: F.length(x) > 5) if wide else found
 
 

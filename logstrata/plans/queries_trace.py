@@ -74,22 +74,34 @@ def causality_of_pairs(t):
     return rows.groupBy("correlation_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("p"), 4).alias("total"), F.count_if("c").alias("causal"))
 
 
-@query("logical_clocks", "F6 F7", "trace_events", None)
+NAMES = ["rails", "workhorse", "sidekiq", "gitaly", "postgresql"]
+PICK = lambda of: "CASE " + of + " " + " ".join(f"WHEN '{n}' THEN r.{n}" for n in NAMES) + " END"
+# Clocks event by event: one column per component, carried along each id.
+CLOCKS = f"""o AS MATERIALIZED (SELECT *, row_number() OVER w AS n, lag(component) OVER w AS pc, coalesce((t_ms - lag(t_ms) OVER w <= 60000 AND lag(component) OVER w || '>' || component IN
+  ('rails>sidekiq','rails>gitaly','sidekiq>gitaly','sidekiq>postgresql','gitaly>postgresql','workhorse>gitaly','workhorse>rails')) OR job_id = lag(job_id) OVER w, FALSE) AS causal FROM typed WINDOW w AS (PARTITION BY correlation_id ORDER BY t_ms, event_key)),
+r AS (SELECT correlation_id, n, event_key, 1 AS lamport, {", ".join(f"CASE WHEN component = '{x}' THEN 1 ELSE 0 END AS {x}" for x in NAMES)} FROM o WHERE n = 1 UNION ALL
+ SELECT correlation_id, n, event_key, c, {", ".join(f"CASE WHEN component = '{x}' THEN c ELSE {x} END" for x in NAMES)} FROM (
+  SELECT o.correlation_id, o.n, o.event_key, o.component, {", ".join(f"r.{x}" for x in NAMES)}, CASE WHEN o.causal THEN greatest({PICK("o.component")} + 1, {PICK("o.pc")}) + 1 ELSE {PICK("o.component")} + 1 END AS c
+  FROM r JOIN o ON o.correlation_id = r.correlation_id AND o.n = r.n + 1) x),
+clk AS (SELECT r.correlation_id, r.event_key, r.lamport, row_number() OVER (PARTITION BY r.correlation_id ORDER BY r.lamport, t_ms, r.event_key) AS causal_rank FROM r JOIN typed USING (event_key))"""
+
+
+@query("logical_clocks", "F6 F7", "trace_events", f"WITH RECURSIVE {TYPED}, {CLOCKS} SELECT correlation_id, event_key, CAST(lamport AS BIGINT) AS lamport, causal_rank FROM clk")
 def logical_clocks(t):
     return trace.causal_rank(trace.lamport(events(t))).select("correlation_id", "event_key", "lamport", "causal_rank")
 
 
 # Longest ways by following the edges: forward from every event, backward from those without effects.
-CPM_SQL = f"""
-WITH RECURSIVE {TYPED}, {PAIRS}, edges AS MATERIALIZED (SELECT correlation_id, src, dst FROM pairs WHERE confidence > 0.5),
+CPM = """edges AS MATERIALIZED (SELECT correlation_id, src, dst FROM pairs WHERE confidence > 0.5),
 f AS (SELECT event_key, CAST(0 AS DOUBLE) AS es, 0 AS depth FROM typed UNION
   SELECT e.dst, f.es + t.dur_ms, f.depth + 1 FROM f JOIN edges e ON e.src = f.event_key JOIN typed t ON t.event_key = e.src),
 es AS MATERIALIZED (SELECT event_key, max(es) AS es, max(depth) AS depth FROM f GROUP BY 1),
 b AS (SELECT event_key, es AS ls FROM es WHERE event_key NOT IN (SELECT src FROM edges) UNION
   SELECT e.src, b.ls - t.dur_ms FROM b JOIN edges e ON e.dst = b.event_key JOIN typed t ON t.event_key = e.src),
-ls AS (SELECT event_key, min(ls) AS ls FROM b GROUP BY 1)
-SELECT t.correlation_id, t.event_key, round(es, 3) AS earliest_start, round(ls, 3) AS latest_start, abs(ls - es) < 0.001 AS is_critical, CAST(depth AS BIGINT) AS depth,
-  row_number() OVER (PARTITION BY t.correlation_id ORDER BY depth, t.t_ms, t.event_key) AS position FROM typed t JOIN es USING (event_key) JOIN ls USING (event_key)"""
+ls AS (SELECT event_key, min(ls) AS ls FROM b GROUP BY 1),
+cpm AS (SELECT t.correlation_id, t.event_key, es, ls, abs(ls - es) < 0.001 AS is_critical, depth, row_number() OVER (PARTITION BY t.correlation_id ORDER BY depth, t.t_ms, t.event_key) AS position FROM typed t JOIN es USING (event_key) JOIN ls USING (event_key))"""
+CPM_SQL = f"""WITH RECURSIVE {TYPED}, {PAIRS}, {CPM}
+SELECT correlation_id, event_key, round(es, 3) AS earliest_start, round(ls, 3) AS latest_start, is_critical, CAST(depth AS BIGINT) AS depth, position FROM cpm"""
 
 
 @query("critical_path", "F10 F11", "trace_events", CPM_SQL)
@@ -98,9 +110,16 @@ def critical_path(t):
     return paths.select("correlation_id", "event_key", F.round("earliest_start", 3).alias("earliest_start"), F.round("latest_start", 3).alias("latest_start"), "is_critical", "depth", "position")
 
 
-@query("chains", "K6", "trace_events", None)
+CHAINS_SQL = f"""WITH RECURSIVE {TYPED}, {PAIRS}, {CPM}, {CLOCKS},
+a AS (SELECT t.*, c.causal_rank, m.es, m.is_critical, t.t_ms - lag(t.t_ms) OVER (PARTITION BY t.correlation_id ORDER BY t.t_ms, t.event_key) > 60000 AS gap FROM typed t JOIN clk c USING (event_key) JOIN cpm m USING (event_key))
+SELECT correlation_id, count(*) AS event_count, coalesce(min_by(event_key, (es, causal_rank)) FILTER (is_critical AND event_type IN ('error', 'query_error')), min_by(event_key, causal_rank) FILTER (severity IN ('ERROR', 'FATAL'))) AS root_cause,
+ min_by(event_key, causal_rank) FILTER (severity IN ('ERROR', 'FATAL') OR event_type = 'query_error') AS failure_point, coalesce(bool_or(gap), FALSE) AS has_gap, FALSE AS is_complete, count(*) FILTER (is_critical) AS critical_events, round(max(es), 3) AS path_ms FROM a GROUP BY 1"""
+
+
+@query("chains", "K6", "trace_events", CHAINS_SQL)
 def chains(t):
-    return trace.trace_chains(events(t))
+    rows = trace.trace_chains(events(t))
+    return rows.select("correlation_id", "event_count", "root_cause", "failure_point", "has_gap", "is_complete", "critical_events", F.round("path_ms", 3).alias("path_ms"))
 
 
 @query("chain_statistics", "E20", "trace_events", f"""
