@@ -8,7 +8,8 @@ from ..functions.error_rules import candidate_line, gate_words, is_false_positiv
 from ..functions.fields import with_fields
 from ..functions.severity import classify_json, word_severity
 from ..operators import errors, search
-from ..operators.blocks import block_format, error_blocks
+from ..operators.blocks import block_format, error_blocks, first_per_block, stack_trace
+from ..operators.ordered import number_rows
 from .queries_search import file_catalog
 from .registry import query
 
@@ -164,3 +165,29 @@ def monitoring_lines(t):
 def error_block_bounds(t):
     rows = error_blocks(t.text_lines().select("session_id", "path", "line_no", "content"), F.col("content").rlike("(?i)error|password|license"))
     return rows.select("session_id", "path", "line_no", "block_start", "block_end", block_format(F.col("content")).alias("format"))
+
+
+@query("error_block_lines", "F2 F3", "kube_events", """
+WITH n AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS n FROM kube_events), m AS (SELECT session_id, max(n) AS last FROM n GROUP BY 1)
+SELECT n.session_id, n AS line_no, n AS block_start, least(n + 3, last) AS block_end, CAST(least(n + 3, last) - n + 1 AS BIGINT) AS block_lines FROM n JOIN m ON n.session_id = m.session_id WHERE n % 5 = 1""")
+def error_block_lines(t):
+    """Every fifth line is an error with three frames below it; the second frame matches too, inside that block."""
+    rows = number_rows(t.kube_events(), ["session_id"], ["line_no"], F.floor(F.col("line_no") / 4096), "n")
+    text = F.when(F.col("n") % 5 == 1, F.concat(F.lit("ERROR boom "), "n")).when(F.col("n") % 5 == 0, "plain").otherwise(F.concat(F.lit("  at frame"), "n"))
+    lines = rows.select("session_id", F.lit("app.log").alias("path"), F.col("n").alias("line_no"), text.alias("content"))
+    found = first_per_block(error_blocks(lines, (F.col("line_no") % 5).isin(1, 3)))
+    return found.select("session_id", "line_no", "block_start", "block_end", F.size("block").cast("bigint").alias("block_lines"))
+
+
+@query("stack_traces", "B37", "log_lines", """
+SELECT event_id, concat('Traceback here|File "x.py", line ', CAST(k AS STRING), '|raise ', severity) AS python, concat('a.b.Exception: ', severity, '|at f(', CAST(k AS STRING), ')') AS java,
+ concat('panic: ', severity, '|main.go:', CAST(k AS STRING)) AS go FROM log_lines WHERE status >= 500""")
+def stack_traces(t):
+    k, sev = F.col("k").cast("string"), F.col("severity")
+    block = F.array(
+        F.lit("head"), F.lit("Traceback here"), F.concat(F.lit('  File "x.py", line '), k), F.concat(F.lit("    raise "), sev), F.lit("ValueError"), F.lit("  tail"),
+    )
+    java = F.array(F.lit("x"), F.concat(F.lit("a.b.Exception: "), sev), F.concat(F.lit("   at f("), k, F.lit(")")))
+    go = F.array(F.concat(F.lit("panic: "), sev), F.lit("x"), F.concat(F.lit("  main.go:"), k))
+    shown = [F.array_join(stack_trace(b, F.lit(f"{n}_stack")), "|").alias(n) for n, b in (("python", block), ("java", java), ("go", go))]
+    return t.log_lines(numbered=False).where("status >= 500").select("event_id", *shown)

@@ -199,7 +199,7 @@ def kube_event_search(t):
     condition = p.any_of(
         p.all_of(p.eq("type", "warning"), p.neq("reason", "Created"), p.field_not_contains("object_name", "web-3")), p.contains("URGENT")
     )
-    return kube.search_events(events(t), condition).select("session_id", "line_no")
+    return kube.search(events(t), condition).select("session_id", "line_no")
 
 
 @query("kube_event_reasons", "E31", "kube_events", f"""
