@@ -357,14 +357,15 @@ def is_false_positive(content: str = "content", low: str | None = None) -> Colum
     return F.expr(f"{harmless} OR (contains({low}, 'worker') AND ({workers}) AND NOT (({level}) AND ({named})))")
 
 
-def monitoring_source(content: Column) -> Column:
+def monitoring_source(content: str = "content") -> Column:
     """Name of the monitoring service a line comes from, or null."""
-    low = F.lower(content)
-    tests = []
-    for name in MONITORING:
-        named = low.contains(f"{name}:") | content.contains(f"caller={name}") | content.contains(f"agent={name}")
-        tests.append(F.when(low.contains(name) & named, name))
-    return F.coalesce(*tests)
+    low = f"lower({content})"
+    whens = " ".join(
+        f"WHEN contains({low}, {sql_text(n)}) AND (contains({low}, {sql_text(n + ':')}) OR contains({content}, {sql_text('caller=' + n)})"
+        f" OR contains({content}, {sql_text('agent=' + n)})) THEN {sql_text(n)}"
+        for n in MONITORING
+    )
+    return F.expr(f"CASE {whens} END")
 
 
 def unscannable(path: Column) -> Column:

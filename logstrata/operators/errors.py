@@ -145,7 +145,7 @@ def scan_errors(lines: DataFrame, patterns: DataFrame | None = None, related: bo
         .select("*", "_meta.*").drop("_meta", "covered")
         .withColumn("stack_trace", stack_trace(F.col("block"), F.col("format")))
         .withColumn("ts", extract_ts(F.col("content"))).withColumn("node", node_of(F.col("path")))
-        .withColumn("monitoring", monitoring_source(F.col("content")))
+        .withColumn("monitoring", monitoring_source())
         .withColumn("signature", error_signature(F.col("pattern_id"), F.col("message")))
         .withColumn("match_hash", match_hash(F.col("component"), F.col("pattern_id"), F.col("message")))
     )

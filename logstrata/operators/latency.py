@@ -98,7 +98,7 @@ def consumer_totals(requests: DataFrame) -> DataFrame:
 def top_consumers(requests: DataFrame, dim: str, sort_by: str = "duration_ms", limit: int = 10) -> DataFrame:
     """Largest consumers by path, project or user, each value with its share of the total in percent.
 
-    The totals come from the grouped rows, so the requests are read once. A client without a user counts as one.
+    The totals are a scalar subquery over the grouped rows. A client without a user counts as one.
     """
     key = F.coalesce(dim, "client") if dim == "user_name" and "client" in requests.columns else F.col(dim)
     metrics = ["count", "fails", *_consumed(requests)]
@@ -106,10 +106,10 @@ def top_consumers(requests: DataFrame, dim: str, sort_by: str = "duration_ms", l
         F.count(F.lit(1)).alias("count"), F.count_if(failed(F.col("status"))).alias("fails"),
         *[F.sum(c).alias(c) for c in _consumed(requests)],
     )
-    totals = per.agg(*[F.sum(m).alias(f"_{m}") for m in metrics])
-    shares = [F.when(F.col(f"_{m}") > 0, F.col(m) * 100.0 / F.col(f"_{m}")).otherwise(0.0).alias(f"{m}_pct") for m in metrics]
-    top = per.where(F.col(dim).isNotNull()).orderBy(F.desc(sort_by), dim).limit(limit)
-    return top.crossJoin(F.broadcast(totals)).select(dim, *metrics, *shares)  # totals is one row
+    totals = per.agg(F.struct(*[F.sum(m).alias(m) for m in metrics]).alias("t")).scalar()
+    top = per.where(F.col(dim).isNotNull()).orderBy(F.desc(sort_by), dim).limit(limit).withColumn("_t", totals)
+    share = lambda m: F.when(F.col(f"_t.{m}") > 0, F.col(m) * 100.0 / F.col(f"_t.{m}")).otherwise(0.0)
+    return top.select(dim, *metrics, *[share(m).alias(f"{m}_pct") for m in metrics])
 
 
 def error_stats(requests: DataFrame, message: str = "error_message") -> DataFrame:

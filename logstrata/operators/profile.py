@@ -45,10 +45,9 @@ def discover_fields(lines: DataFrame, k: int = 10) -> DataFrame:
     samples = top_values(counts, k).groupBy("field").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("sample_values")
     )
-    total = lines.agg(F.count(F.lit(1)).alias("_lines"))
-    return (
-        per_field.join(samples, "field", "left").crossJoin(F.broadcast(total))  # total is a single row
-        .select("field", "type", "count", "sample_values", (F.col("count") > F.col("_lines") * 0.1).alias("is_common"))
+    total = lines.agg(F.count(F.lit(1)).alias("lines")).scalar()
+    return per_field.join(samples, "field", "left").select(
+        "field", "type", "count", "sample_values", (F.col("count") > total * 0.1).alias("is_common")
     )
 
 

@@ -179,38 +179,31 @@ def hit_severity(status: Column, exception: Column, severity: Column) -> Column:
 def time_histogram(hits: DataFrame, buckets: int = 50) -> DataFrame:
     """Counts per severity in `buckets` equal slices between the first and last `ts`; empty slices are kept.
 
-    `hits` has `ts` and `level`. The range is one row, the buckets are few: both are joined by broadcast.
+    `hits` has `ts` and `level`. The time range is a scalar subquery: one value, computed once.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     points = hits.where("ts is not null").select(micros.alias("_t"), "level")
-    span = points.agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / buckets).otherwise(F.lit(1000.0))
-    span = span.withColumn("_w", width)
-    slot = F.least(F.floor((F.col("_t") - F.col("_lo")) / F.col("_w")), F.lit(buckets - 1))
-    counts = (
-        points.crossJoin(F.broadcast(span))  # span is a single row
-        .groupBy(slot.alias("bucket"))
-        .agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(F.col("level") == "error").alias("errors"),
-            F.count_if(F.col("level") == "warning").alias("warnings"),
-            F.count_if(F.col("level") == "info").alias("info"),
-        )
+    low, high = F.min("_t"), F.max("_t")
+    width = F.when(high > low, (high - low) / buckets).otherwise(F.lit(1000.0))
+    span = points.agg(F.struct(low.alias("lo"), width.alias("w")).alias("span")).scalar()
+    placed = points.withColumn("_s", span)
+    slot = F.least(F.floor((F.col("_t") - F.col("_s.lo")) / F.col("_s.w")), F.lit(buckets - 1))
+    counts = placed.groupBy(slot.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("level") == "error").alias("errors"),
+        F.count_if(F.col("level") == "warning").alias("warnings"),
+        F.count_if(F.col("level") == "info").alias("info"),
     )
-    every = hits.sparkSession.range(buckets).select(F.col("id").alias("bucket")).crossJoin(F.broadcast(span)).where("_lo is not null")
-    zero = F.lit(0).cast("bigint")
-    start = F.floor(F.col("_lo") + F.col("bucket") * F.col("_w")).cast("bigint")
+    every = hits.sparkSession.range(buckets).select(F.col("id").alias("bucket"), span.alias("_s")).where("_s.lo is not null")
+    start = F.floor(F.col("_s.lo") + F.col("bucket") * F.col("_s.w")).cast("bigint")
     return every.join(counts, "bucket", "left").select(
         "bucket", F.timestamp_micros(start).alias("start"),
-        *[F.coalesce(c, zero).alias(c) for c in ("total", "errors", "warnings", "info")],
+        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("total", "errors", "warnings", "info")],
     )
 
 
 def spikes(histogram: DataFrame, k: float = 2, min_count: int = 5) -> DataFrame:
     """First three buckets above mean + k population standard deviations over all buckets, and above `min_count`."""
-    limits = histogram.agg((F.avg("total") + k * F.stddev_pop("total")).alias("_limit"))
-    return (
-        histogram.crossJoin(F.broadcast(limits))  # a single row
-        .where((F.col("total") > F.col("_limit")) & (F.col("total") > min_count))
-        .drop("_limit").orderBy("bucket").limit(3)
-    )
+    limit = histogram.agg((F.avg("total") + k * F.stddev_pop("total")).alias("limit")).scalar()
+    high = histogram.withColumn("_limit", limit).where((F.col("total") > F.col("_limit")) & (F.col("total") > min_count))
+    return high.drop("_limit").orderBy("bucket").limit(3)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.causality import (
-    CAUSAL_CHAINS, COMPONENT_LINKS, HORIZON_MS, MIN_CONFIDENCE, SHARED_IDS, TYPE_LINKS, causal_pair, causality,
+    COMPONENT_LINKS, HORIZON_MS, MIN_CONFIDENCE, SHARED_IDS, TYPE_LINKS, causal_pair, causality,
     classify_event, component_or_guess, event_details, reach_ms,
 )
 from ..functions.fields import field
@@ -85,10 +85,8 @@ def to_events(parsed: DataFrame) -> DataFrame:
 # causal edges -------------------------------------------------------------------------------------
 
 PAIR_COLUMNS = ["event_key", "t_ms", "component", "event_type", "job_id", "request_id", "user_id", "project_id"]
-TYPE_REACH = HORIZON_MS
 # With no link between the types, a link between the components or a shared id is needed; the largest
 # delay of each case follows from the weights.
-_PAIRS = [(a, b) for a, b in COMPONENT_LINKS] + [("-", "-")]
 ROUTES = {
     "type": HORIZON_MS,
     "component": max(reach_ms(a, "-", b, "-", s) for a, b in COMPONENT_LINKS for s in (None, "user_id", "project_id")) + 1,
@@ -153,7 +151,7 @@ def _route_of_pair(a: str, b: str) -> Column:
     )
 
 
-def causal_edges(events: DataFrame, horizon_s: int = 300, min_conf: float = MIN_CONFIDENCE, busy: int = 2000) -> DataFrame:
+def causal_edges(events: DataFrame, horizon_s: int = 300, min_conf: float = MIN_CONFIDENCE, busy: int = 256) -> DataFrame:
     """Edges (correlation_id, src, dst, confidence): pairs of one id in order, at most 300 s apart, above `min_conf`.
 
     Usual ids meet on (id, 300 s slot). Where a slot of an id holds more than `busy` events, its events meet
@@ -185,12 +183,8 @@ def causal_edges(events: DataFrame, horizon_s: int = 300, min_conf: float = MIN_
     on = (F.col(f"a.{ID}") == F.col(f"b.{ID}")) & (F.col("a._slot") == F.col("b._slot")) & ordered("a", "b")
     plain = edges(a.join(b, on))
 
-    if min_conf < MIN_CONFIDENCE:  # the reach of the routes is worked out for 0.5
-        routes_usable = False
-    else:
-        routes_usable = True
     crowded = rows.join(hot, ID, "left_semi")
-    if not routes_usable:
+    if min_conf < MIN_CONFIDENCE:  # the reach of the routes is worked out for 0.5
         a = crowded.withColumn("_slot", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1))).alias("a")
         return plain.unionByName(edges(a.join(crowded.alias("b"), on)))
     a = crowded.withColumn("_r", F.explode(_routes("cause"))).alias("a")

@@ -157,7 +157,7 @@ def candidate_lines(t):
 SELECT CASE WHEN k < 30 THEN 'prometheus' WHEN k < 40 THEN 'loki' ELSE 'none' END AS source, count(*) AS n FROM log_lines GROUP BY 1""")
 def monitoring_lines(t):
     text = F.concat(F.when(F.col("k") < 30, "Prometheus: ").when(F.col("k") < 40, "caller=loki ").otherwise("prometheus "), "content")
-    rows = t.log_lines(numbered=False).select(F.coalesce(monitoring_source(text), F.lit("none")).alias("source"))
+    rows = t.log_lines(numbered=False).select(text.alias("content")).select(F.coalesce(monitoring_source(), F.lit("none")).alias("source"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -166,10 +166,10 @@ def exported_statistics(t):
     sinks.export_stats(stats, f"{base}/csv", "csv")
     lines = requests.where("error_message is not null").select("session_id", F.col("endpoint").alias("path"), F.col("duration_ms").alias("line_no"), F.col("error_message").alias("content"))
     sinks.export_text(lines, f"{base}/text")
-    texts = t.spark.read.text(f"{base}/text").agg(F.count(F.lit(1)).alias("text_lines"))
+    texts = t.spark.read.text(f"{base}/text").agg(F.count(F.lit(1)).alias("n")).scalar()
     csv = t.spark.read.option("header", "true").csv(f"{base}/csv").select("endpoint", F.col("count").cast("bigint").alias("n"))
     both = t.spark.read.json(f"{base}/json").join(csv, "endpoint").where("count = n")
-    return both.select("endpoint", "count").crossJoin(F.broadcast(texts))  # texts is one row
+    return both.select("endpoint", "count", texts.alias("text_lines"))
 
 
 @query("ingested_lines", "S1", "log_lines", "SELECT session_id, count(*) AS lines FROM log_lines GROUP BY 1")

@@ -114,7 +114,7 @@ def test_harmless_and_monitoring(spark):
     got = [r[0] for r in lines_frame(spark, texts).orderBy("line_no").select(rules.is_false_positive()).collect()]
     assert got == [True, True, True, False, True, False]
     lines = lines_frame(spark, ["prometheus: down", "caller=loki x", "loki only", "x"]).orderBy("line_no")
-    assert [r[0] for r in lines.select(rules.monitoring_source(F.col("content"))).collect()] == ["prometheus", "loki", None, None]
+    assert [r[0] for r in lines.select(rules.monitoring_source()).collect()] == ["prometheus", "loki", None, None]
 
 
 def test_classes(spark):
