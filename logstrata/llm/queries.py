@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import exact_dedup, near_dedup
+from . import decontaminate, exact_dedup, near_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -44,3 +44,8 @@ SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id))
 FROM sets s LEFT JOIN least_of ON s.doc_id = node""")
 def op3(table):
     return near_dedup.near_duplicates(table("documents"))
+
+
+@register("op7_decontamination")
+def op7(table):
+    return decontaminate.overlaps(table("documents"), table("benchmark"))
