@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import decontaminate, exact_dedup, near_dedup
+from . import decontaminate, exact_dedup, near_dedup, pieces, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -49,3 +49,19 @@ def op3(table):
 @register("op7_decontamination")
 def op7(table):
     return decontaminate.overlaps(table("documents"), table("benchmark"))
+
+
+@register("op8_token_counts")
+def op8(table):
+    return token_counts.token_counts(table("documents"))
+
+
+@register("op10_piece_codec")
+def op10(table):
+    docs = table("documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs))
+    same = F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ") == F.col("decoded")
+    return coded.select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"),
+    )
