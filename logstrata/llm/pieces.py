@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import codecs
 from functools import lru_cache
+from itertools import groupby
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, hash_spans, list_array, map_slices, ragged, slices
+from .arrays import U, hash_spans, list_array, map_slices, ragged
 from .token_counts import tokenizer_path
 
 MODEL, REMEMBER = "piece_bpe_32k.model", 400_000
@@ -78,9 +80,16 @@ class Transducer:
         self.bytes = {int(t[3:5], 16): k for k, (t, kind) in enumerate(zip(self.texts, self.kinds)) if kind == 6}
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("pieces across words are not supported")
-        self.longest = max(map(len, self.ids))
+        self.sizes = [len(t) for t in self.texts]
+        self.chars = frozenset("".join(self.ids))
+        if not self.chars <= self.ids.keys():
+            raise ValueError("a character of a piece must be a piece")
+        self.automaton = ahocorasick.Automaton()
+        for text, piece in self.ids.items():
+            self.automaton.add_word(text, piece)
+        self.automaton.make_automaton()
         self.pairs: dict[int, float] = {}
-        self.unknown = len(self.texts)  # ids from here on stand for characters without a piece
+        self.unknown = len(self.texts)
         plain = [bytes([int(t[3:5], 16)]) if kind == 6 else t.replace(MARK, " ").encode() if kind == 1 else b" \xe2\x81\x87 " if kind == 2 else b"" for t, kind in zip(self.texts, self.kinds)]
         self.plain = np.frombuffer(b"".join(plain), np.uint8)
         self.plain_size = np.array([len(p) for p in plain])
@@ -98,40 +107,40 @@ class Transducer:
 
     def weight(self, before: int, piece: int) -> float:
         """Weight of the arc to `piece` after `before` (-1: at the start)."""
-        if not self.bpe:
-            return -self.scores[piece]
-        before = -1 if before >= self.unknown else before  # nothing merges with an unknown character
-        key = (before + 1) * self.unknown + piece
-        found = self.pairs.get(key)
-        if found is None:
+        found = -self.scores[piece]
+        if self.bpe:
             own = self.texts[piece]
             expected = [own] if before < 0 else [self.texts[before], own]
-            found = self.pairs[key] = 0.0 if self.merged("".join(expected)) == expected else INF
+            found = 0.0 if self.merged("".join(expected)) == expected else INF
+        self.pairs[(before + 1) * self.unknown + piece] = found
         return found
 
     def shortest_path(self, text: str) -> list[int]:
         """Ids on the least-weight path over the normalised text."""
-        n, ids, longest, bpe = len(text), self.ids, self.longest, self.bpe
-        weights, pieces, starts = [0.0] + [INF] * n, [-1] * (n + 1), [0] * (n + 1)
-        unknown_weight = 0.0 if bpe else 10.0 - min(self.scores[k] for k in ids.values())
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                piece = ids.get(text[start:end])
-                if piece is not None and weights[start] < weights[end]:
-                    total = weights[start] + self.weight(pieces[start], piece)
-                    if total < weights[end]:
-                        weights[end], pieces[end], starts[end] = total, piece, start
-                        if bpe:  # the only one
-                            break
-            if weights[end] == INF and text[end - 1] not in ids:
-                weights[end], pieces[end], starts[end] = weights[end - 1] + unknown_weight, self.unknown, end - 1
+        if self.chars.issuperset(text):
+            return self._known(text)
+        out = []  # every path passes through a character without a piece, so the parts around it are independent
+        for known, part in groupby(text, self.chars.__contains__):
+            part = "".join(part)
+            out += self._known(part) if known else [self.bytes[b] for b in part.encode()]
+        return out
+
+    def _known(self, text: str) -> list[int]:
+        n, unknown, bpe, pairs, sizes = len(text), self.unknown, self.bpe, self.pairs, self.sizes
+        weights, pieces = [0.0] + [INF] * n, [-1] * (n + 1)
+        for end, piece in self.automaton.iter(text):  # all arcs, by their ends
+            end += 1
+            if bpe and weights[end] == 0.0:
+                continue  # one path only
+            start = end - sizes[piece]
+            step = pairs.get((pieces[start] + 1) * unknown + piece)
+            total = weights[start] + (self.weight(pieces[start], piece) if step is None else step)
+            if total < weights[end]:
+                weights[end], pieces[end] = total, piece
         out, end = [], n
         while end:
-            if pieces[end] == self.unknown:
-                out += [self.bytes[b] for b in reversed(text[end - 1].encode())]
-            else:
-                out.append(pieces[end])
-            end = starts[end]
+            out.append(pieces[end])
+            end -= sizes[pieces[end]]
         return out[::-1]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
