@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import decontaminate, exact_dedup, near_dedup, pieces, token_counts
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, pieces, sharding, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -65,3 +65,29 @@ def op10(table):
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"),
     )
+
+
+@register("op6_winnowed_lines", r"""
+WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents),
+lines AS MATERIALIZED (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+sums AS MATERIALIZED (SELECT doc_id, list(line ORDER BY i) AS ls, list(n ORDER BY i) AS ns FROM lines GROUP BY doc_id),
+totals AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM lines),
+wins AS MATERIALIZED (SELECT a.doc_id, a.i, min(b.i) + 1 AS e FROM totals a JOIN totals b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY a.doc_id, a.i),
+named AS (SELECT w.doc_id, w.i, w.e, array_to_string(ls[w.i + 1 : w.e], chr(10)) AS name FROM wins w JOIN sums USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, i) AS nth FROM named),
+gone AS (SELECT DISTINCT l.doc_id, l.i, l.n FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.i >= r.i AND l.i < r.e WHERE nth > 1),
+per AS (SELECT doc_id, count(*) AS k, sum(n) AS w, list(i ORDER BY i) AS ids FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(k, 0) AS removed_lines, CAST(coalesce(w, 0) AS BIGINT) AS removed_words, coalesce(array_to_string(ids, ','), '') AS removed
+FROM documents d LEFT JOIN sums USING (doc_id) LEFT JOIN per USING (doc_id)""")
+def op6(table):
+    removed = F.expr("array_join(flatten(transform(runs, r -> sequence(r.first, r.end - 1))), ',')")
+    return line_dedup.repeated_runs(table("documents")).select("doc_id", "n_lines", "removed_lines", "removed_words", removed.alias("removed"))
+
+
+@register("op9_extendible_sharding", f"""
+WITH d AS MATERIALIZED (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST(concat('0x', substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))), 1, 15)) AS BIGINT) AS h FROM documents),
+fits AS (SELECT depth, h >> (60 - depth) AS prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs FROM d, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS depth) x GROUP BY 1, 2 HAVING sum(n_bytes) <= {sharding.LIMIT} OR count(*) = 1)
+SELECT doc_id, n_bytes, concat(depth, '-', prefix, '-0') AS shard_id, depth, shard_bytes, shard_docs, shard_bytes > {sharding.LIMIT} AS oversized
+FROM (SELECT d.*, f.*, min(depth) OVER (PARTITION BY doc_id) AS least FROM d JOIN fits f ON d.h >> (60 - f.depth) = f.prefix) z WHERE depth = least""")
+def op9(table):
+    return sharding.shards(table("documents"))
