@@ -6,7 +6,7 @@ once every slot holds a rank below j, ranks from j on cannot change anything, so
 text of a few hundred shingles). All shingles of a slice of texts take one rank at a time, as arrays.
 
 Texts of one shingle set form a class, and only one member of a class is banded. In a band's bucket nobody is paired with everybody:
-first each member is checked against the bucket's least member; what is linked then counts as one component; then only members of a
+first each member is checked against one chosen by hash, another in each bucket; what is linked then counts as one component; then only members of a
 bucket that lie in different components are checked with each other, in full buckets only those that share a rare shingle. Any two
 similar members that a bucket brings together are therefore verified or already linked, while a bucket of thousands of near copies
 costs one check a member.
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = sketches.where("n_shingles > 0").groupBy("digest").agg(F.min(row).alias("row"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
     classes = cut_lineage(classes.select("digest", "row.doc_id", "row.text_key", "bands", "n_shingles", F.monotonically_increasing_id().alias("id")))
     entries = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = cut_lineage(entries.groupBy("bucket").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    shared = cut_lineage(entries.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     members = cut_lineage(entries.join(shared, "bucket"))
     needed = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"))
     same = source["doc_id"].eqNullSafe(needed["own_id"]) & (source["text_key"] == needed["own_key"])

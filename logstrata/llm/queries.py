@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, pieces, sharding, token_counts
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, pieces, quality, sharding, token_counts, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -91,3 +91,14 @@ SELECT doc_id, n_bytes, concat(depth, '-', prefix, '-0') AS shard_id, depth, sha
 FROM (SELECT d.*, f.*, min(depth) OVER (PARTITION BY doc_id) AS least FROM d JOIN fits f ON d.h >> (60 - f.depth) = f.prefix) z WHERE depth = least""")
 def op9(table):
     return sharding.shards(table("documents"))
+
+
+@register("op4_subword_toxicity")
+def op4(table):
+    return toxicity.toxicity(table("documents"), table("labels"))
+
+
+@register("op5_weak_quality")
+def op5(table):
+    scored = quality.with_quality(table("documents").select("doc_id", "text"))
+    return scored.select("doc_id", "votes", "posterior", "score", (F.col("score") >= quality.THRESHOLD).alias("kept"))
