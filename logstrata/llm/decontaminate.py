@@ -3,7 +3,7 @@
 A mask names the token positions that count; the others may differ. Hashes of the benchmark's tokens under every mask are joined with
 those of all documents, and each hit is extended along its diagonal (document position - item position) over substituted tokens.
 
-Documents first meet a bit array of the benchmark's hashes, whose size is bounded whatever the benchmark's (it is the only thing that
+Documents first meet a Bloom filter of the benchmark's hashes, whose size is bounded whatever the benchmark's (it is the only thing that
 is broadcast, and a filter only: what it lets through is joined). Only stretches around hits are shuffled, as 64-bit token hashes.
 """
 
@@ -60,8 +60,9 @@ def _stretches(masks, bits: np.ndarray, size: int, reach: int):
     def fn(batch, data, offsets):
         hashes, by_text = tokens(data, offsets)
         keys, places = masked(hashes, by_text, masks)
-        slot = keys >> U(64 - size)
-        hit = (bits[slot >> U(6)] >> (slot & U(63))) & U(1) == 1
+        hit = np.ones(len(keys), bool)
+        for slot in (keys >> U(64 - size), keys & U((1 << size) - 1)):
+            hit &= (bits[slot >> U(6)] >> (slot & U(63))) & U(1) == 1
         keys, places = keys[hit], places[hit]
         order = np.argsort(places, kind="stable")
         keys, places = keys[order], places[order]
@@ -128,9 +129,10 @@ def _overlaps(share: float):
 
 
 def hash_filter(keys: DataFrame, size: int) -> np.ndarray:
-    """Bit array of 2**size bits with a bit for the leading bits of each key; its words are gathered, at most 2**size / 64."""
-    slot = F.shiftrightunsigned("key", 64 - size)
-    words = keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - size}) & 63 AS INT))")).alias("bits"))
+    """Bloom filter of 2**size bits with two bits for each key, its leading and its trailing ones; its words are gathered, at most
+    2**size / 64."""
+    slots = keys.select(F.explode(F.expr(f"array(shiftrightunsigned(key, {64 - size}), key & {(1 << size) - 1}L)")).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits"))
     found = words.toPandas()
     bits = np.zeros(1 << (size - 6), np.uint64)
     bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
@@ -153,7 +155,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     items = cut_lineage(items.withColumn("item_no", F.monotonically_increasing_id()))
     seeds = items.select("item_no", F.explode("seeds").alias("seed")).select("item_no", "seed.key", F.col("seed.at").alias("item_at"))
     reach, total = items.agg(F.max(F.size("tokens")), F.sum(F.size("seeds"))).head()
-    size = min(MAX_BITS, max(16, int(total or 0).bit_length() + 7))
+    size = min(MAX_BITS, max(16, int(total or 0).bit_length() + 8))
     bits = docs.sparkSession.sparkContext.broadcast(hash_filter(seeds, size))
 
     def scan(batches, masks=masks, reach=reach or 0):

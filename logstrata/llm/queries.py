@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, pieces, quality, sharding, token_counts, toxicity
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, pieces, pii, quality, sharding, token_counts, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -102,3 +102,11 @@ def op4(table):
 def op5(table):
     scored = quality.with_quality(table("documents").select("doc_id", "text"))
     return scored.select("doc_id", "votes", "posterior", "score", (F.col("score") >= quality.THRESHOLD).alias("kept"))
+
+
+@register("op2_weak_pii")
+def op2(table):
+    found = pii.personal_data(table("documents"))
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS LONG) AS n_{k}") for k in pii.BASE]
+    spans = pii.as_text(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
