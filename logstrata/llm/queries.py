@@ -68,8 +68,8 @@ def op10(table):
 
 
 @register("op6_winnowed_lines", r"""
-WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents),
-lines AS MATERIALIZED (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+lines AS MATERIALIZED (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 sums AS MATERIALIZED (SELECT doc_id, list(line ORDER BY i) AS ls, list(n ORDER BY i) AS ns FROM lines GROUP BY doc_id),
 totals AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM lines),
 wins AS MATERIALIZED (SELECT a.doc_id, a.i, min(b.i) + 1 AS e FROM totals a JOIN totals b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY a.doc_id, a.i),
