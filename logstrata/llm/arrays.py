@@ -158,6 +158,14 @@ def grams(hashes: np.ndarray, offsets: np.ndarray, k: int, mask: tuple[int, ...]
     return mix(total[places]), places
 
 
+def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of values between successive offsets; it depends on a segment's own values only, to the last bit."""
+    out, filled = np.zeros(len(offsets) - 1, values.dtype), np.diff(offsets) > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(values, offsets[:-1][filled])
+    return out
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of every (start, count), one after another."""
     total = int(counts.sum())

@@ -144,7 +144,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     end exclusive), equal_tokens, item_tokens. Documents without an overlap have no row.
 
     Tokens are runs of letters and digits in lower case. An overlap is a stretch of aligned tokens with at least `share` of equal
-    ones and at least `tokens_needed` equal ones, or as many as the item has, if fewer; of a document's overlaps with an item
+    ones and at least `tokens_needed` equal ones, or `share` of the item's tokens, if that is fewer; of a document's overlaps with an item
     the one with most equal tokens is given (ties: the first in the document). It must hold a hit, all positions of one mask equal;
     items shorter than every mask match nothing. Null texts are empty; rows with a null id take part and return a null id. Rows that
     repeat an id are reported together. Other columns are not looked at. An empty table gives no rows.
@@ -172,7 +172,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     work = work.join(items.select("item_no", "item_id", F.col("tokens").alias("item_tokens"), F.size("tokens").alias("n_item")), "item_no")
     schema = f"doc_id {doc_type}, item_id {id_type}, first long, diagonal int, n_item int, begin long, end long, equal long"
     best = work.select("doc_id", "item_id", "first", "diagonal", "n_item", "tokens", "item_tokens").mapInArrow(_overlaps(share), schema)
-    best = best.where(F.col("equal") >= F.least(F.lit(tokens_needed), F.col("n_item")))
+    best = best.where(F.col("equal") >= F.least(F.lit(tokens_needed), F.ceil(F.col("n_item") * share)))
     start = F.col("first") + F.col("diagonal") + F.col("begin")
     row = F.struct((-F.col("equal")).alias("less"), start.alias("doc_start"), (start + F.col("end") - F.col("begin")).alias("doc_end"), F.col("begin").alias("item_start"), F.col("end").alias("item_end"), F.col("n_item").cast("long").alias("item_tokens"))
     out = best.groupBy("doc_id", "item_id").agg(F.min(row).alias("row"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import NOT_BLANK, U, hash_spans, list_array, map_slices, mix, spans
+from .arrays import NOT_BLANK, U, hash_spans, list_array, map_slices, mix, segment_sums, spans
 
 DIMS, SAMPLE, THRESHOLD = 1024, 4_000, 0.5
 NEW = ("votes", "posterior", "score")
@@ -135,9 +135,8 @@ def _scores(posterior: np.ndarray, weights: np.ndarray, bias: float):
         values, starts, ends, by_text = measures(data, offsets)
         pattern = patterns_of(values, by_text)
         per_word = weights[features(data, starts, ends, by_text, len(weights))].sum(1)
-        total = np.concatenate([[0.0], np.cumsum(per_word)])
         n = np.diff(by_text)
-        z = (total[by_text[1:]] - total[by_text[:-1]]) / np.maximum(n, 1) + bias
+        z = segment_sums(per_word, by_text) / np.maximum(n, 1) + bias
         score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0.0)
         keep = [k for k, f in enumerate(batch.schema.names) if f != "_text"]
         new = [pa.array(pattern.astype(np.int32)), pa.array(posterior[pattern]), pa.array(score)]

@@ -97,8 +97,9 @@ def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: i
 
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
-    """docs with all their columns as Parquet, a folder shard_id=... for each shard."""
-    rows = docs.withColumn("hash", hash_of(doc_id, text))
-    slim = cut_lineage(rows.select("hash", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes")))
-    placed = place(rows, *split(slim, limit)).withColumn("shard_id", F.concat_ws("-", "depth", "prefix", "part"))
-    placed.select(*docs.columns, "shard_id").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    """docs with all their columns as Parquet, a folder shard_id=... for each shard (a column of that name is replaced)."""
+    docs = docs.drop("shard_id")
+    rows = docs.select(F.struct("*").alias("row"), hash_of(doc_id, text).alias("hash"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"))
+    placed = place(rows.drop("n_bytes"), *split(cut_lineage(rows.select("hash", "n_bytes")), limit))
+    placed = placed.select("row.*", F.concat_ws("-", "depth", "prefix", "part").alias("shard_id"))
+    placed.repartition("shard_id").write.partitionBy("shard_id").parquet(path)

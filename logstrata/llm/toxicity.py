@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .arrays import LOWER, NOT_BLANK, U, hash_spans, list_array, map_slices, mix, ragged, spans
+from .arrays import LOWER, NOT_BLANK, U, hash_spans, list_array, map_slices, mix, ragged, segment_sums, spans
 
 BUCKETS, DIMS, SAMPLE, THRESHOLD = 1 << 17, 8, 2_000, 0.7
 GRAMS = (3, 4, 5)
@@ -137,10 +137,8 @@ def _scores(table, bias: float):
         odds = table.value
         starts, ends, number, by_text = distinct_words(data, offsets)
         keys, cuts = subwords(data, starts, ends, len(odds))
-        total = np.concatenate([[0.0], np.cumsum(odds[keys])])
-        word = (total[cuts[1:]] - total[cuts[:-1]]) / np.maximum(np.diff(cuts), 1)
-        total = np.concatenate([[0.0], np.cumsum(word[number])])
-        z = (total[by_text[1:]] - total[by_text[:-1]]) / np.maximum(np.diff(by_text), 1) + bias
+        word = segment_sums(odds[keys].astype(float), cuts) / np.maximum(np.diff(cuts), 1)
+        z = segment_sums(word[number], by_text) / np.maximum(np.diff(by_text), 1) + bias
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
 
     return map_slices(fn)
@@ -177,7 +175,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         if keep.any():
             rows = np.repeat(np.arange(len(found)), found["ids"].map(len))
             share = min(max(counts.get(1, 0) / sum(counts.values()), 0.05), 0.5)
-            odds, bias = train(rows, np.concatenate(found["ids"].to_numpy()), np.concatenate(found["weights"].to_numpy()), found["label"].to_numpy(), share, buckets)
+            odds, bias = train(rows, *(np.concatenate(found[c].to_numpy()).astype(t) for c, t in (("ids", np.int64), ("weights", float))), found["label"].to_numpy(), share, buckets)
     table = docs.sparkSession.sparkContext.broadcast(odds.astype(np.float32))
     out = source.mapInArrow(_scores(table, bias), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
