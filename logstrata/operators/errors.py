@@ -12,7 +12,7 @@ from ..functions.error_rules import (
 )
 from ..functions.fields import compute_once, field, parse_json
 from ..functions.paths import node_of
-from ..functions.severity import DETECT_BY_PATH, classify_line, component_by_path, quick_error
+from ..functions.severity import classify_line, component_by_path, quick_error
 from ..functions.text import correlation_ids, error_signature, extract_ts, match_hash
 from ..session import cut_lineage
 from .blocks import block_format, error_blocks, first_per_block, stack_trace
@@ -269,26 +269,30 @@ def quick_scan(lines: DataFrame) -> DataFrame:
     return lines.where(quick_error(F.col("content"))).select(*FILE, "line_no")
 
 
-def detect_component(lines: DataFrame, sample: int = 50) -> DataFrame:
-    """Component per file: by path, else by flags over its first `sample` lines."""
+def detect_component(lines: DataFrame, sample: int | None = None) -> DataFrame:
+    """Component per file: by path, else by flags over its lines, or over the first `sample` of them."""
     content = F.col("content")
-    flags = lines.where(F.col("line_no") <= sample).groupBy(*FILE).agg(
+    flags = _first(lines, sample).groupBy(*FILE).agg(
         F.bool_or(content.rlike('"severity"|"level"')).alias("is_json"),
         F.bool_or(F.lower(content).contains("sidekiq")).alias("sidekiq"),
         F.bool_or(F.lower(content).contains("gitaly")).alias("gitaly"),
         F.bool_or(content.rlike("LOG:|ERROR:|FATAL:")).alias("postgres"),
     )
     by_content = F.when(
-        F.col("is_json"), F.when(F.col("sidekiq"), "sidekiq").when(F.col("gitaly"), "gitaly").otherwise(DETECT_BY_PATH[13][0])
+        F.col("is_json"), F.when(F.col("sidekiq"), "sidekiq").when(F.col("gitaly"), "gitaly").otherwise("gitlab-rails")
     ).when(F.col("postgres"), "postgresql").otherwise("unknown")
     return flags.select(*FILE, F.coalesce(component_by_path(F.col("path")), by_content).alias("component"))
 
 
-def detect_format(lines: DataFrame, sample: int = 100) -> DataFrame:
-    """Log format per file from its first lines: json (> 70 %), structured (key=value, > 50 %) or plain."""
+def _first(lines: DataFrame, sample: int | None) -> DataFrame:
+    return lines if sample is None else lines.where(F.col("line_no") <= sample)
+
+
+def detect_format(lines: DataFrame, sample: int | None = None) -> DataFrame:
+    """Log format per file from its lines, or the first `sample` of them: json (> 70 %), structured (key=value, > 50 %) or plain."""
     text = F.trim("content")
     is_json = text.startswith("{") & text.endswith("}") & parse_json(F.col("content")).isNotNull()
-    counts = lines.where((F.col("line_no") <= sample) & (text != "")).groupBy(*FILE).agg(
+    counts = _first(lines, sample).where(text != "").groupBy(*FILE).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(is_json).alias("_json"),
         F.count_if(text.contains("=") & ~text.startswith("{")).alias("_kv"),
     )

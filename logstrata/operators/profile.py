@@ -71,7 +71,7 @@ def field_profile(lines: DataFrame, k: int = 20) -> DataFrame:
 
 
 def file_metadata(lines: DataFrame) -> DataFrame:
-    """Per file: lines, characters, share of JSON lines, top-level fields (first 50 by name) and the JSON verdict."""
+    """Per file: lines, characters, share of JSON lines, top-level fields by name and the JSON verdict."""
     parsed = with_fields(lines)
     is_json = F.col("fields").isNotNull()
     base = parsed.groupBy(*FILE).agg(
@@ -80,11 +80,8 @@ def file_metadata(lines: DataFrame) -> DataFrame:
     )
     keys = F.map_keys(F.try_variant_get("fields", "$", "map<string,variant>"))
     names = parsed.where(is_json).select(*FILE, F.explode(keys).alias("field")).distinct()
-    order = Window.partitionBy(*FILE).orderBy("field")
-    names = names.withColumn("_r", F.row_number().over(order))
     fields = names.groupBy(*FILE).agg(
-        F.count(F.lit(1)).alias("field_count"),
-        F.array_sort(F.collect_list(F.when(F.col("_r") <= 50, F.col("field")))).alias("detected_fields"),
+        F.count(F.lit(1)).alias("field_count"), F.array_sort(F.collect_list("field")).alias("detected_fields"),
     )
     ratio = F.col("json_lines") / F.col("total_lines")
     verdict = (
@@ -174,7 +171,7 @@ def suggest_filters(field_stats: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(name.isin(ERROR_FIELDS) & bad.isNotNull(), F.struct("field", bad.alias("value"))))).alias("errors"),
         F.bool_or(name.isin("status", "status_code")).alias("status"),
         F.min_by("field", F.when(name.isin(DURATION_FIELDS), slow_rank)).alias("slow"),
-        F.max(F.when(name == "service", F.slice(samples, 1, 3))).alias("services"),
+        F.max(F.when(name == "service", samples)).alias("services"),
         F.bool_or((name == "TYPE") & F.array_contains(samples, "Warning")).alias("warnings"),
         F.max(F.when(name == "REASON", fails)).alias("reason"),
         F.bool_or(name.isin("severity", "level")).alias("levels"),

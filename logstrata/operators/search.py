@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import field
-from ..functions.predicates import contains, java_regex
+from ..functions.predicates import contains, java_regex, valid_regex
 from .ordered import with_blocks
 
 FILE = ["session_id", "path"]
@@ -102,9 +102,9 @@ def simple_search(
     """Lines with a substring, by service substring and severity words; `lines` carries `service`."""
     out = lines.where(~F.lower("path").rlike("|".join(re.escape(p) for p in NOT_LOGS)))
     if service:
-        out = out.where(F.contains(F.lower("service"), F.lit(service)))
+        out = out.where(F.contains(F.lower("service"), F.lit(service.lower())))
     out = out.where(contains(text))
-    if severity:
+    if severity in SEVERITY_WORDS:  # other words filter nothing
         out = out.where(F.lower("content").rlike(SEVERITY_WORDS[severity]))
     return limit_hits(out, limit) if limit else out
 
@@ -147,7 +147,9 @@ def smart_search(lines: DataFrame, text: str) -> DataFrame:
         F.when(low.rlike("panic|fatal|critical"), "critical").when(low.rlike("error|fail"), "error")
         .when(low.contains("warn"), "warning").otherwise("other")
     )
-    return lines.where(low.rlike("|".join(w.lower() for w in words))).withColumn("bucket", bucket)
+    pattern = "|".join(w.lower() for w in words)
+    found = low.rlike(java_regex(pattern)) if valid_regex(pattern) else low.contains(pattern)
+    return lines.where(found).withColumn("bucket", bucket)
 
 
 def trace_text(lines: DataFrame, wanted: str, context: int = 2) -> DataFrame:
@@ -203,7 +205,7 @@ def time_histogram(hits: DataFrame, buckets: int = 50) -> DataFrame:
 
 
 def spikes(histogram: DataFrame, k: float = 2, min_count: int = 5) -> DataFrame:
-    """First three buckets above mean + k population standard deviations over all buckets, and above `min_count`."""
+    """Buckets above mean + k population standard deviations over all buckets, and above `min_count`."""
     limit = histogram.agg((F.avg("total") + k * F.stddev_pop("total")).alias("limit")).scalar()
     high = histogram.withColumn("_limit", limit).where((F.col("total") > F.col("_limit")) & (F.col("total") > min_count))
-    return high.drop("_limit").orderBy("bucket").limit(3)
+    return high.drop("_limit").orderBy("bucket")

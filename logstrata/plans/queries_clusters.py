@@ -83,10 +83,10 @@ def semantic_templates(t):
 
 @query("investigation_hints", "B30", "log_lines", f"""
 WITH {DOMAIN} SELECT component, hint, count(*) AS n FROM (
- SELECT component, concat('Search for JID: j', CAST(k AS STRING)) AS hint FROM d WHERE component = 'sidekiq' AND job = 'fail' UNION ALL SELECT component, 'Check Sidekiq queue: q' FROM d WHERE component = 'sidekiq' AND job = 'fail' UNION ALL
- SELECT component, 'Feature category: ci' FROM d WHERE component = 'sidekiq' AND job = 'fail' UNION ALL SELECT component, 'Gitaly server may be down or unreachable' FROM d WHERE component = 'gitaly' AND code = 'Unavailable' UNION ALL
- SELECT component, 'Check network connectivity and Gitaly service status' FROM d WHERE component = 'gitaly' AND code = 'Unavailable' UNION ALL
- SELECT component, 'Slow database query (3.0s)' FROM d WHERE component = 'rails' AND k % 4 = 3 UNION ALL SELECT component, 'Review query performance and indexes' FROM d WHERE component = 'rails' AND k % 4 = 3) x GROUP BY 1, 2""")
+ SELECT component, concat('Follow job j', CAST(k AS STRING), ' through all logs') AS hint FROM d WHERE component = 'sidekiq' AND job = 'fail' UNION ALL SELECT component, 'Look at the backlog of job queue q' FROM d WHERE component = 'sidekiq' AND job = 'fail' UNION ALL
+ SELECT component, 'Owner area of the job: ci' FROM d WHERE component = 'sidekiq' AND job = 'fail' UNION ALL SELECT component, 'The repository service did not answer: is it running?' FROM d WHERE component = 'gitaly' AND code = 'Unavailable' UNION ALL
+ SELECT component, 'Test the route from the caller to the repository service' FROM d WHERE component = 'gitaly' AND code = 'Unavailable' UNION ALL
+ SELECT component, 'The database took 3.0 s of the request' FROM d WHERE component = 'rails' AND k % 4 = 3 UNION ALL SELECT component, 'Look up the plan of the slowest statement' FROM d WHERE component = 'rails' AND k % 4 = 3) x GROUP BY 1, 2""")
 def investigation_hints(t):
     rows = parse.parse_lines(domain_lines(t)).select("component", F.explode(parse.hints("meta", F.col("component"))).alias("hint"))
     return rows.groupBy("component", "hint").agg(F.count(F.lit(1)).alias("n"))
@@ -178,7 +178,7 @@ def free_text_templates(t):
 
 @query("keyword_templates", "J4", "text_lines", None)
 def keyword_templates(t):
-    rows = t.text_lines().where("component = 'en'").select("component", F.col("content").alias("message"), "session_id", "path", "line_no")
+    rows = t.text_lines().select("component", F.col("content").alias("message"), "session_id", "path", "line_no")
     return clusters.keyword_clusters(rows)
 
 

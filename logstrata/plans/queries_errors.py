@@ -181,7 +181,7 @@ def error_block_lines(t):
 
 @query("stack_traces", "B37", "log_lines", """
 SELECT event_id, concat('Traceback here|File "x.py", line ', CAST(k AS STRING), '|raise ', severity) AS python, concat('a.b.Exception: ', severity, '|at f(', CAST(k AS STRING), ')') AS java,
- concat('panic: ', severity, '|main.go:', CAST(k AS STRING)) AS go FROM log_lines WHERE status >= 500""")
+ concat('panic: ', severity, '|main.go:', CAST(k AS STRING)) AS go FROM log_lines""")
 def stack_traces(t):
     k, sev = F.col("k").cast("string"), F.col("severity")
     block = F.array(
@@ -190,4 +190,4 @@ def stack_traces(t):
     java = F.array(F.lit("x"), F.concat(F.lit("a.b.Exception: "), sev), F.concat(F.lit("   at f("), k, F.lit(")")))
     go = F.array(F.concat(F.lit("panic: "), sev), F.lit("x"), F.concat(F.lit("  main.go:"), k))
     shown = [F.array_join(stack_trace(b, F.lit(f"{n}_stack")), "|").alias(n) for n, b in (("python", block), ("java", java), ("go", go))]
-    return t.log_lines(numbered=False).where("status >= 500").select("event_id", *shown)
+    return t.log_lines(numbered=False).select("event_id", *shown)

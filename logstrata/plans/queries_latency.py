@@ -98,11 +98,11 @@ def latency_dashboard(t):
 
 
 @query("sessions_compared", "D4 L2", "request_log", f"""
-WITH s AS ({BY_ENDPOINT}), b AS (SELECT * FROM s WHERE session_id = 'node0' AND count > 50), o AS (SELECT * FROM s WHERE session_id = 'node1' AND count > 50),
+WITH s AS ({BY_ENDPOINT}), b AS (SELECT * FROM s WHERE session_id = 'node0'), o AS (SELECT * FROM s WHERE session_id = 'node1'),
 j AS (SELECT replace(coalesce(b.endpoint, o.endpoint), '', '') AS endpoint, b.count AS base_count, o.count AS other_count, round(b.p99, 3) AS base_p99, round(o.p99, 3) AS other_p99, o.p99 / b.p99 AS r FROM b FULL JOIN o ON substring(b.endpoint, 12) = substring(o.endpoint, 12) AND b.endpoint = o.endpoint)
 SELECT endpoint, base_count, other_count, base_p99, other_p99, coalesce(r > 1.1, FALSE) AS is_regression, coalesce(r < 0.9, FALSE) AS is_improvement, coalesce(abs(round((r - 1) * 100, 1)) > 50, FALSE) AS high_impact FROM j""")
 def sessions_compared(t):
-    rows = latency.compare_flags(latency.compare_sessions(stats(t).where("count > 50"), "node0", "node1"))
+    rows = latency.compare_flags(latency.compare_sessions(stats(t), "node0", "node1"))
     return rows.select("endpoint", "base_count", "other_count", F.round("base_p99", 3).alias("base_p99"), F.round("other_p99", 3).alias("other_p99"), "is_regression", "is_improvement", "high_impact")
 
 

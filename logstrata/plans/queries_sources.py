@@ -90,7 +90,7 @@ def lines_from_archives(t):
 
 
 @query("rotated_logs", "A4", "", """
-SELECT lang AS session_id, concat('var/log/svc/current.', lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY concat('@', lpad(CAST(doc_id AS STRING), 8, '0'))) AS STRING), 3, '0'), '.log') AS path, length(text) AS chars FROM documents WHERE doc_id < 1000000""")
+SELECT lang AS session_id, concat('var/log/svc/svc.', CASE WHEN n < 1000 THEN lpad(CAST(n AS STRING), 3, '0') ELSE CAST(n AS STRING) END, '.log') AS path, chars FROM (SELECT lang, length(text) AS chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) x""")
 def rotated_logs(t):
     def pack(batches):
         import gzip
@@ -99,7 +99,7 @@ def rotated_logs(t):
             forms = [gzip.compress, zlib.compress, lambda b: b]
             yield pdf.assign(content=[forms[d % 3](x.encode()) for d, x in zip(pdf["doc_id"], pdf["text"])])[["session_id", "path", "content"]]
 
-    name = F.concat(F.lit("var/log/svc/@"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.when(F.col("doc_id") % 2 == 0, ".s").otherwise(".u"))
+    name = F.concat(F.lit("var/log/svc/@"), F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.when(F.col("doc_id") % 2 == 0, ".s").otherwise(".u"))
     docs = t.read("documents").select("doc_id", F.col("lang").alias("session_id"), name.alias("path"), "text")
     files = docs.mapInPandas(pack, "session_id string, path string, content binary")
     return archives.read_rotated(files).select("session_id", "path", F.length(F.col("content").cast("string")).alias("chars"))
@@ -144,10 +144,10 @@ def catalogued_files(t):
 
 
 @query("exported_hits", "A13 A14", "log_lines", """
-SELECT split_part(path, '/', 5) AS f5, severity, CAST(status AS STRING) AS status, count(*) AS n, max(concat('said "', message, '"')) AS quoted FROM log_lines WHERE status >= 404 GROUP BY 1, 2, 3""")
+SELECT split_part(path, '/', 5) AS f5, severity, CAST(status AS STRING) AS status, count(*) AS n, max(concat('said "', message, '"')) AS quoted FROM log_lines GROUP BY 1, 2, 3""")
 def exported_hits(t):
     base = scratch(t, "export")
-    rows = t.log_lines().where("status >= 404").withColumn("content", F.concat(F.lit('{"severity":"'), "severity", F.lit('","status":'), "status", F.lit(',"said":"said \\"'), "message", F.lit('\\""}')))
+    rows = t.log_lines().withColumn("content", F.concat(F.lit('{"severity":"'), "severity", F.lit('","status":'), "status", F.lit(',"said":"said \\"'), "message", F.lit('\\""}')))
     hits = with_fields(rows.select("session_id", "path", "line_no", "content"))
     sinks.write_ndjson(hits, f"{base}/json")
     sinks.export_csv(with_fields(t.spark.read.json(f"{base}/json")), ["severity", "status", "said"], f"{base}/csv")

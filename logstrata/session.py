@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
+from shutil import make_archive
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,16 @@ def get_spark(master: str | None = None, name: str = "logstrata", **conf: str) -
     settings.update({k.replace("_", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever they start. Spark distributes the archive, so it may lie on the driver's disk."""
+    root = Path(__file__).resolve().parent
+    packed = make_archive(f"{tempfile.mkdtemp(prefix='logstrata-')}/{root.name}", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(packed)
 
 
 def use_utc(spark: SparkSession) -> None:

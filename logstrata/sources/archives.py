@@ -13,6 +13,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+UNREADABLE = (tarfile.TarError, zipfile.BadZipFile, zlib.error, EOFError, OSError, lzma.LZMAError, RuntimeError, NotImplementedError)
 TARS = (".tar", ".tar.gz", ".tgz")
 MORE_TARS = (".tar.bz2", ".tbz2", ".tar.xz", ".txz")
 
@@ -30,8 +31,9 @@ def is_archive(name: str, wide: bool) -> bool:
     return name.lower().endswith((*TARS, ".zip", *(MORE_TARS if wide else ())))
 
 
-def members(name: str, data: bytes, wide: bool = False, depth: int = 5):
-    """(path, bytes) of every file of an archive; nested archives are opened under a directory named by their stem.
+def members(name: str, data: bytes, wide: bool = False):
+    """(path, bytes, None) of every file of an archive; nested archives, however deep, are opened under a directory named by their
+    stem. (path, None, error) of a nested archive stands for what could not be read of it.
 
     `._*` members are skipped. The wide form reads bz2 and xz tars too, and skips dot-files and members whose
     path is absolute or climbs out.
@@ -57,12 +59,15 @@ def members(name: str, data: bytes, wide: bool = False, depth: int = 5):
         if unsafe:  # keep the file, inside the session
             path = "/".join(p for p in path.split("/") if p not in ("", ".."))
         path = path.removeprefix("./")
-        if depth > 0 and is_archive(path, wide):
+        if is_archive(path, wide):
             folder = path.rsplit("/", 1)[0] + "/" if "/" in path else ""
-            for inner, content in members(path, body, wide, depth - 1):
-                yield f"{folder}{stem(path)}/{inner}", content
+            try:
+                for inner, content, error in members(path, body, wide):
+                    yield f"{folder}{stem(path)}/{inner}", content, error
+            except UNREADABLE as error:
+                yield path, None, repr(error)
         else:
-            yield path, body
+            yield path, body, None
 
 
 def read_binary(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -72,12 +77,13 @@ def read_binary(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
-FILE_SCHEMA = "session_id string, path string, size bigint, content binary"
+FILE_SCHEMA = "session_id string, path string, size bigint, content binary, error string"
 LINE_SCHEMA = "session_id string, path string, line_no bigint, content string"
 
 
-def explode_archives(binaries: DataFrame, wide: bool = False) -> DataFrame:
-    """Files of bundles (path, content): one bundle per row, bundles in parallel; a bundle that cannot be read gives none."""
+def read_bundles(binaries: DataFrame, wide: bool = False) -> DataFrame:
+    """Files of bundles (path, content): one bundle per row, bundles in parallel. A bundle or nested archive that cannot be read, or
+    not to its end, gives the files before the damage and a row with its path, no content and the error."""
 
     def run(batches):
         import pandas as pd
@@ -87,14 +93,40 @@ def explode_archives(binaries: DataFrame, wide: bool = False) -> DataFrame:
                 if not is_archive(uri, wide):
                     continue
                 try:
-                    for path, body in members(uri, data, wide):
-                        yield pd.DataFrame({"session_id": [stem(uri)], "path": [path], "size": [len(body)], "content": [body]})
-                except (tarfile.TarError, zipfile.BadZipFile, zlib.error, EOFError, OSError, lzma.LZMAError):
-                    continue
+                    for path, body, error in members(uri, data, wide):
+                        yield pd.DataFrame({"session_id": [stem(uri)], "path": [path], "size": [len(body or b"")], "content": [body], "error": [error]})
+                except UNREADABLE as error:
+                    yield pd.DataFrame({"session_id": [stem(uri)], "path": [uri], "size": [0], "content": [None], "error": [repr(error)]})
 
     return binaries.mapInPandas(run, FILE_SCHEMA)
 
 
+def explode_archives(binaries: DataFrame, wide: bool = False) -> DataFrame:
+    """Files of bundles: session_id, path, size, content."""
+    return read_bundles(binaries, wide).where("error IS NULL").drop("error")
+
+
+def unreadable(binaries: DataFrame, wide: bool = False) -> DataFrame:
+    """What could not be read: session_id, path and error of bundles, of archives inside them, and of singly compressed files."""
+    found = read_bundles(binaries, wide)
+
+    def run(batches):
+        for pdf in batches:
+            errors = [error_of(path, data) for path, data in zip(pdf["path"], pdf["content"])]
+            yield pdf[["session_id", "path"]].assign(error=errors)[[e is not None for e in errors]]
+
+    single = found.where(F.col("error").isNull() & F.col("path").rlike(r"\.(?:gz|bz2|xz)$")).select("session_id", "path", "content")
+    return found.where("error IS NOT NULL").select("session_id", "path", "error").union(single.mapInPandas(run, "session_id string, path string, error string"))
+
+
+def error_of(path: str, data: bytes) -> str | None:
+    try:
+        unpack_single(path, data)
+    except UNREADABLE as error:
+        return repr(error)
+    return None
+
+
 def archive_lines(files: DataFrame, batch: int = 10_000) -> DataFrame:
     """Lines of extracted files, in batches so that a long file never becomes one huge batch of rows."""
 
@@ -103,8 +135,10 @@ def archive_lines(files: DataFrame, batch: int = 10_000) -> DataFrame:
 
         for pdf in batches:
             for session, path, data in zip(pdf["session_id"], pdf["path"], pdf["content"]):
-                if path.endswith(".gz"):
-                    data = gzip.decompress(data)
+                try:
+                    data = unpack_single(path, data)
+                except UNREADABLE:  # listed by unreadable()
+                    continue
                 lines = data.decode("utf-8", "replace").split("\n")
                 if lines and lines[-1] == "":
                     lines.pop()
@@ -126,19 +160,24 @@ def unpack_rotated(data: bytes) -> bytes:
 
 
 def read_rotated(files: DataFrame) -> DataFrame:
-    """Rotated logs `@*.s` and `@*.u` of (session_id, path, content) renamed current.NNN.log in name order per directory."""
+    """Rotated logs `@*.s` and `@*.u` of (session_id, path, content), numbered in name order per directory: current.NNN.log beside a
+    file named current, else named after the directory."""
     name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", r"[^/]*$", "")
     rows = files.where(name.rlike(r"^@.*\.(?:s|u)$"))
     # numbers come from the names alone; the content is not shuffled
     order = Window.partitionBy("session_id", folder).orderBy("path")
-    numbers = rows.select("session_id", "path", F.row_number().over(order).alias("n"))
+    with_current = files.where(name == "current").select("session_id", folder.alias("folder"), F.lit("current").alias("stem")).distinct()
+    numbers = rows.select("session_id", "path", folder.alias("folder"), F.row_number().over(order).alias("n"))
+    service = F.coalesce(F.nullif(F.element_at(F.split(F.rtrim(F.col("folder"), F.lit("/")), "/"), -1), F.lit("")), F.lit("current"))
+    numbers = numbers.join(with_current, ["session_id", "folder"], "left").select("session_id", "path", "n", F.coalesce("stem", service).alias("stem"))
 
     def run(batches):
         for pdf in batches:
             yield pdf.assign(content=[unpack_rotated(b) for b in pdf["content"]])
 
     plain = rows.select("session_id", "path", "content").mapInPandas(run, "session_id string, path string, content binary")
-    renamed = F.concat(F.regexp_replace("path", r"[^/]*$", ""), F.lit("current."), F.lpad(F.col("n").cast("string"), 3, "0"), F.lit(".log"))
+    number = F.expr("lpad(CAST(n AS STRING), greatest(3, length(CAST(n AS STRING))), '0')")  # never cut
+    renamed = F.concat(folder, F.col("stem"), F.lit("."), number, F.lit(".log"))
     return plain.join(numbers, ["session_id", "path"]).select("session_id", renamed.alias("path"), F.col("path").alias("original"), "content")
 
 

@@ -1,3 +1,4 @@
+import bz2
 import gzip
 import io
 import tarfile
@@ -40,7 +41,28 @@ def test_archives(spark):
 def test_rotated(spark):
     rows = [("s", "d/@b.s", gzip.compress(b"b")), ("s", "d/@a.u", zlib.compress(b"a")), ("s", "d/@c.s", b"c"), ("s", "e/@z.s", b"z"), ("s", "d/current", b"no")]
     got = {r.path: bytes(r.content) for r in archives.read_rotated(spark.createDataFrame(rows, "session_id string, path string, content binary")).collect()}
-    assert got == {"d/current.001.log": b"a", "d/current.002.log": b"b", "d/current.003.log": b"c", "e/current.001.log": b"z"}
+    assert got == {"d/current.001.log": b"a", "d/current.002.log": b"b", "d/current.003.log": b"c", "e/e.001.log": b"z"}
+
+
+def test_more_than_999_rotated_logs(spark):
+    rows = [("s", f"d/@{k:06d}.s", b"x") for k in range(1204)]
+    paths = [r.path for r in archives.read_rotated(spark.createDataFrame(rows, "session_id string, path string, content binary")).collect()]
+    assert len(set(paths)) == 1204 and "d/d.1204.log" in paths and "d/d.007.log" in paths
+
+
+def test_damaged_and_deep_archives(spark):
+    deep = tar_bytes({"x.log": b"deep"})
+    for level in range(8):
+        deep = tar_bytes({f"l{level}.tar.gz": deep})
+    whole = tar_bytes({"a.log": b"a" * 5000, "b.log.bz2": bz2.compress(b"b1\nb2\n"), "c.log.xz": b"no xz", "in.zip": b"no zip"}, "w:")
+    cut = tar_bytes({"first.log": b"f" * 2000, "second.log": b"s" * 90_000}, "w:")[:20_000]
+    df = spark.createDataFrame([("/x/deep.tar.gz", deep), ("/x/whole.tar", whole), ("/x/cut.tar", cut)], "path string, content binary")
+    files = {(r.session_id, r.path) for r in archives.explode_archives(df).collect()}
+    assert ("deep", "/".join(f"l{k}" for k in range(7, -1, -1)) + "/x.log") in files and ("cut", "first.log") in files
+    lines = archives.archive_lines(archives.explode_archives(df)).where("path = 'b.log.bz2'").orderBy("line_no").collect()
+    assert [r.content for r in lines] == ["b1", "b2"]
+    bad = {(r.session_id, r.path) for r in archives.unreadable(df).collect()}
+    assert bad == {("whole", "c.log.xz"), ("whole", "in.zip"), ("cut", "/x/cut.tar")}
 
 
 def test_text_lines(spark, tmp_path):
