@@ -12,7 +12,7 @@ from ..functions.error_rules import (
 )
 from ..functions.fields import compute_once, field, parse_json
 from ..functions.paths import node_of
-from ..functions.severity import classify_line, component_by_path, quick_error
+from ..functions.severity import class_of, class_steps, component_by_path, quick_error
 from ..functions.text import correlation_ids, error_signature, extract_ts, match_hash
 from ..session import cut_lineage
 from .blocks import block_format, error_blocks, first_per_block, stack_trace
@@ -241,7 +241,9 @@ def split_monitoring(problems: DataFrame) -> tuple[DataFrame, DataFrame]:
 def classified_lines(lines: DataFrame) -> DataFrame:
     """Lines with their class; `component` decides which rules apply."""
     rows = compute_once(lines, _low=F.lower("content"))
-    return compute_once(rows, _c=classify_line(low="_low")).select(*lines.columns, "_c.*")
+    for name, step in class_steps().items():
+        rows = compute_once(rows, **{name: F.expr(step)})
+    return rows.select(*lines.columns, *class_of())
 
 
 def error_summary(classified: DataFrame, k: int = 10) -> DataFrame:

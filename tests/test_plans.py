@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from logstrata.functions import predicates as p
 from logstrata.functions.fields import field, with_fields
 from logstrata.operators import search
+from logstrata.plans import all_queries
 from logstrata.plans.derived import Tables
+from logstrata.plans.registry import runner
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +47,17 @@ def test_search_parses_json_once_and_stays_in_one_stage(lines):
 def test_context_shuffles_once(lines):
     text = plan(search.with_context(lines.select("session_id", "path", "line_no", "content"), 2, F.col("content").contains("ERROR")))
     assert text.count("hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["line_classes", "error_summary"])
+def test_generated_code_compiles(spark, name):
+    """Every part that is compiled as a whole fits the JVM's limit for a method; a part that does not reports no size."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code before it runs
+    try:
+        df = runner(all_queries()[name])(spark, "/root/testdata/sf0.001")
+        plan_of = df._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan_of)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(-?\d+)", text)]
+    assert sizes and all(0 < x < 65_536 for x in sizes), sizes
