@@ -96,15 +96,24 @@ def first_per_block(matches: DataFrame) -> DataFrame:
     return matches.where("not covered")
 
 
+def trace_dialect(block: Column) -> Column:
+    """python_stack, java_stack or go_stack, by the lines of a block, whatever its first line looks like; null without a trace."""
+    has = lambda pattern: F.exists(block, lambda x: x.rlike(pattern))
+    return (
+        F.when(has(r"Traceback \(most recent call last\)"), "python_stack").when(has(r"^\s+at \S+\(.*\)\s*$"), "java_stack")
+        .when(has(r"^goroutine \d+|^\s+\S+\.go:\d+"), "go_stack")
+    )
+
+
 def stack_trace(block: Column, fmt: Column) -> Column:
     """Trace lines of a block by dialect; null when there are none."""
-    trim = lambda xs: F.transform(xs, lambda x: F.trim(x))
+    trim = lambda xs: F.transform(xs, lambda x: F.trim(x, F.lit(" \t\r")))
     head = F.array_position(F.transform(block, lambda x: x.contains("Traceback")), F.lit(True)).cast("int")
     tail = F.slice(block, head, F.size(block))
     outside = F.transform(tail, lambda x, i: (i > 0) & ~(x.startswith(" ") | x.contains("File") | x.contains("Traceback")))
     stop = F.array_position(outside, F.lit(True)).cast("int")
     python = F.when(head > 0, F.when(stop > 0, F.slice(tail, 1, stop - 1)).otherwise(tail))
-    java = F.filter(block, lambda x: x.contains("Exception") | F.trim(x).startswith("at ") | x.contains("Caused by:"))
+    java = F.filter(block, lambda x: x.contains("Exception") | x.rlike(r"^\s*at ") | x.contains("Caused by:"))
     go = F.filter(block, lambda x: x.rlike(r"panic:|goroutine|\.go:"))
     lines = F.when(fmt == "python_stack", trim(python)).when(fmt == "java_stack", trim(java)).when(fmt == "go_stack", trim(go))
     return F.when(F.size(lines) > 0, lines)

@@ -15,7 +15,7 @@ from ..functions.paths import node_of
 from ..functions.severity import class_of, class_steps, component_by_path, quick_error
 from ..functions.text import correlation_ids, error_signature, extract_ts, match_hash
 from ..session import cut_lineage
-from .blocks import block_format, error_blocks, first_per_block, stack_trace
+from .blocks import block_format, error_blocks, first_per_block, stack_trace, trace_dialect
 
 FILE = ["session_id", "path"]
 SEVERITY_RANK = {"CRITICAL": 0, "ERROR": 1, "WARNING": 2}
@@ -143,7 +143,7 @@ def scan_errors(lines: DataFrame, patterns: DataFrame | None = None, related: bo
         .withColumn("_meta", error_meta(F.col("content"), "fields", F.col("block")))
         .withColumn("message", clean_message(F.col("content"), "fields", *[F.col(c) for c in ("block", "pattern_id", "component", "description")]))
         .select("*", "_meta.*").drop("_meta", "covered")
-        .withColumn("stack_trace", stack_trace(F.col("block"), F.col("format")))
+        .withColumn("stack_trace", stack_trace(F.col("block"), F.coalesce(trace_dialect(F.col("block")), F.col("format"))))
         .withColumn("ts", extract_ts(F.col("content"))).withColumn("node", node_of(F.col("path")))
         .withColumn("monitoring", monitoring_source())
         .withColumn("signature", error_signature(F.col("pattern_id"), F.col("message")))

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from logstrata.functions import error_rules as rules
-from logstrata.functions.severity import classify_line
 from logstrata.operators import blocks, errors
 
 from .conftest import lines_frame
@@ -119,7 +118,7 @@ def test_harmless_and_monitoring(spark):
 
 def test_classes(spark):
     rows = spark.createDataFrame([("PANIC x", "redis"), ("job dead now", "sidekiq"), ("Access DENIED", "redis"), ("access Denied", "other"), ("slow thing", "redis"), ("fine", "redis")], "content string, component string")
-    got = [tuple(r[0]) for r in rows.select(classify_line()).collect()]
+    got = [tuple(r) for r in errors.classified_lines(rows).select("is_error", "severity", "matched", "category").collect()]
     assert got[0] == (True, "critical", "PANIC", "critical_error")
     assert got[1] == (True, "error", "dead", "sidekiq_error")
     assert got[2] == (True, "error", "DENIED", "generic_error")
@@ -132,3 +131,29 @@ def test_format_detection(spark):
     assert errors.detect_format(lines_frame(spark, texts)).first().format == "plain"  # 70 % is not above 70 %
     assert errors.detect_format(lines_frame(spark, texts[:-1])).first().format == "json"
     assert errors.detect_format(lines_frame(spark, ["a=1", "a=2", "text"])).first().format == "structured"
+
+
+def test_traces_below_a_timestamped_line(spark):
+    java = ["2024-01-02 03:04:05 ERROR request failed with java.lang.IllegalStateException: bad", "\tat a.b.C.run(C.java:12)", "\tat a.b.D.main(D.java:3)", "2024-01-02 03:04:06 INFO next"]
+    python = ["2024-01-02 03:04:05 ERROR request failed", "  Traceback (most recent call last):", '    File "x.py", line 1', "2024-01-02 03:04:06 INFO next"]
+    for texts, lines in ((java, 3), (python, 2)):
+        found = errors.scan_errors(lines_frame(spark, texts)).orderBy("line_no").first()
+        assert found.stack_trace is not None and len(found.stack_trace) == lines, found.stack_trace
+
+
+def test_unknown_words_and_patterns_in_a_search(spark):
+    from logstrata.operators import search
+    from pyspark.sql import functions as F
+
+    lines = lines_frame(spark, ["foo( failed", "other"]).withColumn("service", F.lit("Postgres"))
+    assert search.simple_search(lines, "foo", service="Postgres", severity="info").count() == 1
+    assert search.smart_search(lines, "foo(").count() == 1
+
+
+def test_event_listings_of_one_session(spark):
+    from logstrata.operators import kube
+
+    rows = [("s", "events", 1, "LAST SEEN   TYPE      REASON    OBJECT    MESSAGE"), ("s", "events", 2, "5m          Warning   Failed    pod/x     text a"),
+            ("s", "all_events", 1, "NAMESPACE   LAST SEEN   TYPE     REASON    OBJECT   MESSAGE"), ("s", "all_events", 2, "ns          6m          Normal   Created   pod/y    text b")]
+    found = kube.parse_events(spark.createDataFrame(rows, "session_id string, path string, line_no bigint, content string")).collect()
+    assert {(r.path, r.type, r.reason, r.message) for r in found} == {("events", "Warning", "Failed", "text a"), ("all_events", "Normal", "Created", "text b")}
