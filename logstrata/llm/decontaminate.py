@@ -180,6 +180,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose text overlaps with a benchmark item (rows without id are kept)."""
-    gone = overlaps(docs, benchmark).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*docs.columns)
+    """docs without the rows whose text overlaps with a benchmark item."""
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct("doc_id", key.alias("text_key")).alias("doc_id"), "text")  # ids may be null or repeat
+    gone = overlaps(keyed, benchmark).select(F.col("doc_id.doc_id").alias("gone"), F.col("doc_id.text_key").alias("gone_key")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]) & (key == gone["gone_key"]), "left_anti").select(*docs.columns)

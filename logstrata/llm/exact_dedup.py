@@ -1,9 +1,9 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-1. Every partition sorts the distinct fingerprints of its rows, cuts them by owner (a range of values) and sends each owner one
+1. Every sender (some partitions together) sorts the distinct fingerprints of its rows, cuts them by owner (a range of values) and sends each owner one
    Golomb-Rice coded block: a few bits more than log2(range / count) a fingerprint, whatever the texts' lengths.
 2. Owners decode, find values that came from two senders, and answer each block with a bitmap of one bit a fingerprint.
-3. Senders mark their suspects: rows whose bit is set, or whose fingerprint repeats within the partition.
+3. Senders mark their suspects: rows whose bit is set, or whose fingerprint repeats within the sender.
 4. Only suspects' texts are grouped, by the bytes themselves, so a fingerprint shared by different texts does no harm.
 
 Copies are reduced to (text, count, largest doc_id) before each shuffle, and owners get a value once from each sender, so a text
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 SPARE_BITS = 8
+#: Senders and owners: as many as partitions, but above LEAST of them only as many as give each so many rows, for blocks go from every
+#: sender to every owner.
+LEAST, SENDER_ROWS, OWNER_ROWS = 64, 1_000_000, 4_000_000
 
 
 def rice(gaps: np.ndarray, bits: int) -> bytes:
@@ -52,23 +55,18 @@ def fingerprints(digest: pd.Series, width: int) -> np.ndarray:
 
 
 def senders(owners: int, width: int):
-    """mapInPandas: (part, digest) rows to one coded block for each owner."""
-
-    def run(frames):
-        seen: dict[int, list[np.ndarray]] = {}
-        for pdf in frames:
-            for part, own in pdf.groupby("part"):
-                seen.setdefault(int(part), []).append(np.unique(fingerprints(own["digest"], width)))
-        for part, pieces in seen.items():
-            values = np.unique(np.concatenate(pieces))
-            lead = min(31, width)
-            owner = ((values >> np.uint64(width - lead)).astype(np.int64) * owners) >> lead
-            out = []
-            for k, at, n in zip(*np.unique(owner, return_index=True, return_counts=True)):
-                own, base = values[at : at + n], np.array([_base(int(k), owners, width)], np.uint64)
-                bits = rice_bits((1 << width) // owners, n)
-                out.append((int(k), part, int(n), bits, rice(np.diff(own, prepend=base), bits)))
-            yield pd.DataFrame(out, columns=["owner", "part", "n", "bits", "block"])
+    """applyInPandas by sender: the rows (sender, digest) to one coded block for each owner."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.unique(fingerprints(pdf["digest"], width))
+        lead = min(31, width)
+        owner = ((values >> np.uint64(width - lead)).astype(np.int64) * owners) >> lead
+        out = []
+        for k, at, n in zip(*np.unique(owner, return_index=True, return_counts=True)):
+            own, base = values[at : at + n], np.array([_base(int(k), owners, width)], np.uint64)
+            bits = rice_bits((1 << width) // owners, n)
+            out.append((int(k), int(pdf["sender"].iloc[0]), int(n), bits, rice(np.diff(own, prepend=base), bits)))
+        return pd.DataFrame(out, columns=["owner", "sender", "n", "bits", "block"])
 
     return run
 
@@ -87,13 +85,13 @@ def owner_answers(owners: int, width: int):
         blocks = [base + np.cumsum(unrice(b, n, r), dtype=np.uint64) for b, n, r in zip(pdf["block"], pdf["n"], pdf["bits"])]
         _, inverse, counts = np.unique(np.concatenate(blocks), return_inverse=True, return_counts=True)
         flags = np.split((counts > 1)[inverse], np.cumsum(pdf["n"].to_numpy())[:-1])
-        return pd.DataFrame({"part": pdf["part"], "owner": pdf["owner"], "bitmap": [np.packbits(f).tobytes() for f in flags], "n": pdf["n"]})
+        return pd.DataFrame({"sender": pdf["sender"], "owner": pdf["owner"], "bitmap": [np.packbits(f).tobytes() for f in flags], "n": pdf["n"]})
 
     return run
 
 
 def mark_suspects(width: int):
-    """cogroup by part: the rows of a sender and its bitmaps, to the digests of its suspects."""
+    """cogroup by sender: the rows of a sender and its bitmaps, to the digests of its suspects."""
 
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
@@ -117,12 +115,13 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     digest = F.unhex(F.sha2("text", 256))
     rows = cut_lineage(docs.select("doc_id", digest.alias("digest"), F.spark_partition_id().alias("part")))
-    total, owners = rows.agg(F.count(F.lit(1)), F.countDistinct("part")).head()
+    total, parts = rows.agg(F.count(F.lit(1)), F.countDistinct("part")).head()
+    n_senders, owners = (max(1, min(parts, max(LEAST, total // n))) for n in (SENDER_ROWS, OWNER_ROWS))
     width = min(62, max(16, int(total).bit_length() + SPARE_BITS))
-    slim = rows.select("part", "digest")
-    blocks = slim.mapInPandas(senders(owners, width), "owner long, part int, n int, bits int, block binary")
-    answers = blocks.groupBy("owner").applyInPandas(owner_answers(owners, width), "part int, owner long, bitmap binary, n int")
-    suspects = slim.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(mark_suspects(width), "digest binary")
+    slim = rows.select(F.pmod("part", F.lit(n_senders)).alias("sender"), "digest").groupBy("sender")
+    blocks = slim.applyInPandas(senders(owners, width), "owner long, sender int, n int, bits int, block binary")
+    answers = blocks.groupBy("owner").applyInPandas(owner_answers(owners, width), "sender int, owner long, bitmap binary, n int")
+    suspects = slim.cogroup(answers.groupBy("sender")).applyInPandas(mark_suspects(width), "digest binary")
     suspects = cut_lineage(suspects.distinct())
     texts = docs.withColumn("digest", digest).join(suspects, "digest", "left_semi").select("text", "doc_id")
     groups = texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -197,7 +197,7 @@ def _across(members: DataFrame, parts: DataFrame, texts: DataFrame, words: int,
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept, text_key (md5 of the text).
 
     Words are what stands between blanks, A-Z lower-cased; a text's set is its distinct shingles of `words` words, or its whole word
     sequence if it has fewer; an empty set (also of a null text) links with nothing. Texts are linked if `percent` of their union is
@@ -230,12 +230,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = cut_lineage(classes.join(parts, classes["id"] == parts["node"], "left").select("digest", "doc_id", F.coalesce("component", "id").alias("component")))
     least = cut_lineage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     named = cut_lineage(named.join(least, "component").select("digest", "component_id"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    out = sketches.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of each component the rows of the least doc_id stay, and all rows without words or without id."""
-    gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*docs.columns)
+    """docs without near duplicates: of each component the rows of the least doc_id stay (if no row has an id, all), and all rows
+    without words."""
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key")).distinct()
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]) & (key == gone["gone_key"]), "left_anti").select(*docs.columns)

@@ -231,8 +231,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a
         total = z + np.log(odds / (1 - odds)) - np.log(share / (1 - share))
         accepted = table[total > np.log(accept / (1 - accept))]
         accepted = [(int(v) << 20) | int(f) for v, f in zip(accepted["votes"], accepted["form"])]
-    chosen = F.array(*map(F.lit, accepted)) if accepted else F.array().cast("array<long>")
-    added = F.filter("candidates", lambda c: ~c["inside"] & F.array_contains(chosen, F.shiftleft(c["votes"], 20).bitwiseOR(c["form"])))
+    added = F.filter("candidates", lambda c: ~c["inside"] & F.shiftleft(c["votes"], 20).bitwiseOR(c["form"]).isin(accepted))
     added = F.array_sort(F.transform(added, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
     return found.select("doc_id", "base", added.alias("added"))
 

@@ -43,7 +43,7 @@ least_of AS (SELECT node, min(other) AS m FROM reach GROUP BY node)
 SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
 FROM sets s LEFT JOIN least_of ON s.doc_id = node""")
 def op3(table):
-    return near_dedup.near_duplicates(table("documents"))
+    return near_dedup.near_duplicates(table("documents")).drop("text_key")
 
 
 @register("op7_decontamination")

@@ -50,6 +50,9 @@ def test_missing_and_repeated_ids(spark):
 def test_empty_table_and_stage(spark):
     assert n.near_duplicates(frame(spark, []).where("false")).collect() == []
     docs = frame(spark, corpus())
+    text = " ".join(map(str, range(40)))
+    own = frame(spark, [(9, text), (9, "own words of nine"), (12, text + " x"), (None, text), (None, "no id")])
+    assert {(r.doc_id, r.text[:3]) for r in n.keep_one_of_each_group(own).collect()} == {(9, "0 1"), (9, "own"), (None, "no ")}
     left = n.keep_one_of_each_group(docs)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(k for k, (_, comp) in brute.near(corpus()).items() if comp == k)
