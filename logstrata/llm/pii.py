@@ -21,6 +21,8 @@ from .arrays import map_slices
 
 BASE = ("email", "ip", "card", "phone")
 ACCEPT, SHORTEST = 0.5, 5
+#: A labeler is taken to vote wrongly on at most this share of a class.
+MOST_WRONG = 0.02
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -92,7 +94,7 @@ def votes(value: str, before: list[str], in_base: bool) -> list[int]:
     return [
         GOOD if KEY_FORM.match(secret) else NONE,
         GOOD if HEX_FORM.match(secret) else NONE,
-        BAD if digits < 5 and "@" not in value and "=" not in value else NONE,
+        BAD if digits < 5 and len(value) < 12 and "@" not in value and "=" not in value else NONE,
         BAD if VERSION_FORM.match(value) else NONE,
         GOOD if secret is not value and len(secret) >= 6 else NONE,
         GOOD if secret.startswith(KEY_PREFIXES) and len(secret) >= 16 else NONE,
@@ -181,7 +183,10 @@ def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndar
         for weight, likely in ((counts * good, GOOD), (counts * (1 - good), BAD)):
             # two doubtful votes on the right side keep a labeler that never votes from counting against its class
             tally = np.einsum("p,plv->lv", weight, hot) + np.where(np.arange(3) == likely, 1.0, 0.5)
-            chance.append(tally / tally.sum(1, keepdims=True))
+            rates = tally / tally.sum(1, keepdims=True)
+            wrong = BAD if likely == GOOD else GOOD
+            rates[:, wrong] = np.minimum(rates[:, wrong], MOST_WRONG)  # classes cannot change places
+            chance.append(rates / rates.sum(1, keepdims=True))
         share = np.clip((counts @ good) / counts.sum(), 0.01, 0.99)
         logs = [np.log(s) + np.einsum("plv,lv->p", hot, np.log(c)) for s, c in zip((share, 1 - share), chance)]
         good = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
