@@ -33,7 +33,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their pieces, and whether the pieces decode to the text (the mark U+2581 reads as a blank)."""
-    coded = pieces.decode(pieces.encode(docs))
+    coded = pieces.encode(docs, and_decode=True)
     same = F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ") == F.col("decoded")
     return coded.select(*docs.columns, F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", same.alias("round_trip"))
 

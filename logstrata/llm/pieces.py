@@ -16,6 +16,7 @@ for all its occurrences (up to `remember` of them).
 from __future__ import annotations
 
 import codecs
+from array import array
 from functools import lru_cache
 from itertools import groupby
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .arrays import U, hash_spans, list_array, map_slices, ragged
 from .token_counts import tokenizer_path
 
-MODEL, REMEMBER = "piece_bpe_32k.model", 400_000
+MODEL, REMEMBER = "piece_bpe_32k.model", 150_000
 MARK = "▁"
 INF = float("inf")
 FIRST = 0x5BF03635D1F0A1B7  # tells an input at the start of a text, where a mark is put before it
@@ -106,12 +107,10 @@ class Transducer:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
 
     def weight(self, before: int, piece: int) -> float:
-        """Weight of the arc to `piece` after `before` (-1: at the start)."""
-        found = -self.scores[piece]
-        if self.bpe:
-            own = self.texts[piece]
-            expected = [own] if before < 0 else [self.texts[before], own]
-            found = 0.0 if self.merged("".join(expected)) == expected else INF
+        """Weight of the arc to `piece` after `before` (-1: at the start) in a BPE model."""
+        own = self.texts[piece]
+        expected = [own] if before < 0 else [self.texts[before], own]
+        found = 0.0 if self.merged("".join(expected)) == expected else INF
         self.pairs[(before + 1) * self.unknown + piece] = found
         return found
 
@@ -126,23 +125,33 @@ class Transducer:
         return out
 
     def _known(self, text: str) -> list[int]:
-        n, unknown, bpe, pairs, sizes = len(text), self.unknown, self.bpe, self.pairs, self.sizes
-        weights, pieces = [0.0] + [INF] * n, [-1] * (n + 1)
-        for end, piece in self.automaton.iter(text):  # all arcs, by their ends
-            end += 1
-            if bpe and weights[end] == 0.0:
-                continue  # one path only
-            start = end - sizes[piece]
-            step = pairs.get((pieces[start] + 1) * unknown + piece)
-            total = weights[start] + (self.weight(pieces[start], piece) if step is None else step)
-            if total < weights[end]:
-                weights[end], pieces[end] = total, piece
-        out, end = [], n
+        pieces = self._only_path(text) if self.bpe else self._least_path(text)
+        out, end, sizes = [], len(text), self.sizes
         while end:
             out.append(pieces[end])
             end -= sizes[pieces[end]]
         return out[::-1]
 
+    def _only_path(self, text: str) -> list[int]:
+        """Last piece of the path to each position. Finite weights are 0, so the first finite arc is the shortest path."""
+        last, known, unknown, sizes = [-1] * (len(text) + 1), self.pairs.get, self.unknown, self.sizes
+        for end, piece in self.automaton.iter(text):  # all arcs, by their ends
+            end += 1
+            if last[end] < 0:
+                before = last[end - sizes[piece]]
+                step = known((before + 1) * unknown + piece)
+                if step == 0.0 or step is None and self.weight(before, piece) == 0.0:
+                    last[end] = piece
+        return last
+
+    def _least_path(self, text: str) -> list[int]:
+        weights, pieces = [0.0] + [INF] * len(text), [-1] * (len(text) + 1)
+        for end, piece in self.automaton.iter(text):
+            total = weights[end + 1 - self.sizes[piece]] - self.scores[piece]
+            if total < weights[end + 1]:
+                weights[end + 1], pieces[end + 1] = total, piece
+        return pieces
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of several id sequences; bytes that are no UTF-8 become U+FFFD, one each."""
         sizes = self.plain_size[ids]
@@ -191,38 +200,43 @@ def encode_slice(machine: Transducer, known: dict[int, bytes], remember: int, da
     new = [k for k, ids in enumerate(found) if ids is None]
     if len(known) + len(new) > remember:
         known.clear()
-    if len(machine.pairs) > 8 * remember:
+    if len(machine.pairs) > 2 * remember:
         machine.pairs.clear()
     raw = data.tobytes()
     for k in new:
         a = first[k]
         text = (MARK if lead[a] else "") + raw[starts[a] : ends[a]].decode().replace(" ", MARK)
-        known[int(unique[k])] = found[k] = np.array(machine.shortest_path(text), np.int32).tobytes()
+        known[int(unique[k])] = found[k] = array("i", machine.shortest_path(text)).tobytes()
     size = np.array([len(x) >> 2 for x in found])
     ids = np.frombuffer(b"".join(found), np.int32)
     ids = ids[ragged((np.cumsum(size) - size)[inverse], size[inverse])]
     return ids, np.concatenate([[0], np.cumsum(size[inverse])])[np.searchsorted(starts, offsets)]
 
 
-def _encode(name: str, remember: int):
+def _encode(name: str, remember: int, and_decode: bool = False):
     known: dict[int, bytes] = {}
 
     def fn(batch, data, offsets):
-        ids, cuts = encode_slice(load(name), known, remember, *without_marks(batch, data, offsets))
-        keep = [k for k, f in enumerate(batch.schema.names) if f != "_text"]
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), list_array(cuts, pa.array(ids))], [*(batch.schema.names[k] for k in keep), "piece_ids"])
+        machine = load(name)
+        ids, cuts = encode_slice(machine, known, remember, *without_marks(batch, data, offsets))
+        columns = {f: batch.column(k) for k, f in enumerate(batch.schema.names) if f != "_text"}
+        columns["piece_ids"] = list_array(cuts, pa.array(ids))
+        if and_decode:
+            columns["decoded"] = pa.array(machine.decode(ids, cuts), pa.string())
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return map_slices(fn, "_text")
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, remember: int = REMEMBER) -> DataFrame:
-    """docs with a column piece_ids array<int>, as the library's encode gives them; a column of that name is replaced.
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, remember: int = REMEMBER, and_decode: bool = False) -> DataFrame:
+    """docs with a column piece_ids array<int>, as the library's encode gives them, and if asked for, a column decoded with the text
+    that they decode to, from the same pass; columns of these names are replaced.
 
     A null or empty text has no pieces. Rows keep their other columns; order is not kept. Inputs are told apart by 64-bit hash.
     """
-    source = docs.drop("piece_ids")
-    schema = source.schema.simpleString()[7:-1]
-    return source.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).mapInArrow(_encode(model, remember), f"{_ddl(source)}, piece_ids array<int>" if schema else "piece_ids array<int>")
+    source = docs.drop("piece_ids", *["decoded"] * and_decode)
+    schema = f"{_ddl(source)}, piece_ids array<int>{', decoded string' if and_decode else ''}"
+    return source.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).mapInArrow(_encode(model, remember, and_decode), schema)
 
 
 def _ddl(df: DataFrame) -> str:

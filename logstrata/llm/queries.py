@@ -59,7 +59,7 @@ def op8(table):
 @register("op10_piece_codec")
 def op10(table):
     docs = table("documents").select("doc_id", "text")
-    coded = pieces.decode(pieces.encode(docs))
+    coded = pieces.encode(docs, and_decode=True)
     same = F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ") == F.col("decoded")
     return coded.select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_hash"),

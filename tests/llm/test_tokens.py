@@ -39,6 +39,7 @@ def test_pieces_equal_the_library(spark):
         ids = library.encode(text)
         assert found[k] == (ids, library.decode(ids)), text[:50]
     assert found[None] == ([], "")
+    assert {r.doc_id: r.decoded for r in pieces.encode(docs, and_decode=True).collect()} == {k: d for k, (_, d) in found.items()}
     assert pieces.encode(docs.where("false")).collect() == []
 
 
