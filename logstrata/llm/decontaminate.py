@@ -17,8 +17,16 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .arrays import ALNUM, U, grams, hash_spans, list_array, map_slices, mix, signed, spans
 
-#: Positions that count: eight out of spans of 10 to 13 tokens, with few pairs of positions in common.
-MASKS = ((0, 1, 2, 3, 5, 6, 8, 9), (0, 1, 3, 4, 5, 8, 9, 11), (0, 2, 3, 5, 6, 7, 10, 12), (0, 1, 2, 4, 7, 8, 10, 11))
+#: Positions that count, six out of spans of 6 to 10 tokens: every overlap with an item of 13 tokens or more holds a hit, wherever its
+#: substituted tokens are.
+MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 8, 9), (0, 3, 4, 5, 6, 7), (0, 1, 2, 3, 5, 8))
+#: Least and greatest number of tokens of a shorter item, and the masks that do the same for it. Up to four tokens all must be equal.
+SHORT = (
+    (10, 12, ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))), (7, 9, ((0, 1, 3, 4),)), (6, 6, ((0, 1, 2),)), (5, 5, ((0, 1),)),
+    *((n, n, (tuple(range(n)),)) for n in (4, 3, 2, 1)),
+)
+#: Items with fewer tokens match nothing, unless `shortest` says otherwise.
+SHORTEST = 7
 #: An overlap counts from so many equal tokens and this share of equal ones in it.
 TOKENS, SHARE = 13, 0.8
 #: The filter has 2**MAX_BITS bits at most: 32 MB.
@@ -31,17 +39,27 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hash_spans(data, starts, ends), by_text
 
 
-def masked(hashes: np.ndarray, by_text: np.ndarray, masks) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes under every mask and their first positions. A text that is shorter than a mask's span counts under no mask."""
-    found = [grams(hashes, by_text, mask[-1] + 1, mask) for mask in masks]
-    keys = [mix(h + U(k)) for k, (h, _) in enumerate(found)]
-    return np.concatenate(keys), np.concatenate([p for _, p in found])
+def numbered(masks, shortest: int) -> list[tuple[int, int, float, tuple]]:
+    """Number, least and greatest number of an item's tokens, and positions, of every mask: `masks` are for what SHORT leaves."""
+    groups = [(SHORT[0][1] + 1, float("inf"), masks), *SHORT]
+    return [(k, max(low, shortest), high, mask) for k, (low, high, mask) in enumerate((a, b, m) for a, b, group in groups for m in group) if high >= shortest]
+
+
+def masked(hashes: np.ndarray, by_text: np.ndarray, masks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes under every mask, their first positions, and the masks' places in the list. A text that is shorter than a mask's span
+    counts under no mask."""
+    found = [grams(hashes, by_text, mask[-1] + 1, mask) for *_, mask in masks]
+    keys = [mix(h + U(k)) for (k, *_), (h, _) in zip(masks, found)]
+    return np.concatenate(keys), np.concatenate([p for _, p in found]), np.repeat(np.arange(len(masks)), [len(h) for h in keys])
 
 
 def _item_rows(masks):
     def fn(batch, data, offsets):
         hashes, by_text = tokens(data, offsets)
-        keys, places = masked(hashes, by_text, masks)
+        keys, places, which = masked(hashes, by_text, masks)
+        length = np.diff(by_text)[np.searchsorted(by_text, places, "right") - 1]
+        own = (np.array([low for _, low, _, _ in masks])[which] <= length) & (length <= np.array([high for _, _, high, _ in masks])[which])
+        keys, places = keys[own], places[own]
         order = np.argsort(places, kind="stable")
         keys, places = keys[order], places[order]
         cuts = np.searchsorted(places, by_text)
@@ -59,7 +77,7 @@ def _stretches(masks, bits: np.ndarray, size: int, reach: int):
 
     def fn(batch, data, offsets):
         hashes, by_text = tokens(data, offsets)
-        keys, places = masked(hashes, by_text, masks)
+        keys, places, _ = masked(hashes, by_text, masks)
         hit = np.ones(len(keys), bool)
         for slot in (keys >> U(64 - size), keys & U((1 << size) - 1)):
             hit &= (bits[slot >> U(6)] >> (slot & U(63))) & U(1) == 1
@@ -139,26 +157,29 @@ def hash_filter(keys: DataFrame, size: int) -> np.ndarray:
     return bits
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks=MASKS, tokens_needed: int = TOKENS, share: float = SHARE) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", masks=MASKS, tokens_needed: int = TOKENS, share: float = SHARE, shortest: int = SHORTEST) -> DataFrame:
     """One row for each contaminated document and item: doc_id, item_id, doc_start, doc_end, item_start, item_end (token positions,
     end exclusive), equal_tokens, item_tokens. Documents without an overlap have no row.
 
     Tokens are runs of letters and digits in lower case. An overlap is a stretch of aligned tokens with at least `share` of equal
     ones and at least `tokens_needed` equal ones, or `share` of the item's tokens, if that is fewer; of a document's overlaps with an item
-    the one with most equal tokens is given (ties: the first in the document). It must hold a hit, all positions of one mask equal;
-    items shorter than every mask match nothing. Null texts are empty; rows with a null id take part and return a null id. Rows that
+    the one with most equal tokens is given (ties: the first in the document). It must hold a hit, all positions of one mask equal:
+    with the default masks, tokens_needed and share every overlap does. Items of fewer than `shortest` tokens match nothing. Null texts are empty; rows with a null id take part and return a null id. Rows that
     repeat an id are reported together. Other columns are not looked at. An empty table gives no rows.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.lower(F.coalesce(F.col(item_text), F.lit(""))).alias("text"))
     id_type = items.schema["item_id"].dataType.simpleString()
-    items = items.mapInArrow(_item_rows(masks), f"item_id {id_type}, tokens array<long>, seeds array<struct<key:long,at:int>>")
+    known = numbered(masks, max(1, shortest))
+    items = items.mapInArrow(_item_rows(known), f"item_id {id_type}, tokens array<long>, seeds array<struct<key:long,at:int>>")
     items = cut_lineage(items.withColumn("item_no", F.monotonically_increasing_id()))
     seeds = items.select("item_no", F.explode("seeds").alias("seed")).select("item_no", "seed.key", F.col("seed.at").alias("item_at"))
-    reach, total = items.agg(F.max(F.size("tokens")), F.sum(F.size("seeds"))).head()
+    held = [F.max(F.size("tokens").between(low, high) if high < float("inf") else F.size("tokens") >= low) for _, low, high, _ in known]
+    reach, total, *held = items.agg(F.max(F.size("tokens")), F.sum(F.size("seeds")), *held).head()
+    used = [mask for mask, some in zip(known, held) if some] or known[:1]  # documents need no masks that are for no item
     size = min(MAX_BITS, max(16, int(total or 0).bit_length() + 8))
     bits = docs.sparkSession.sparkContext.broadcast(hash_filter(seeds, size))
 
-    def scan(batches, masks=masks, reach=reach or 0):
+    def scan(batches, masks=used, reach=reach or 0):
         yield from _stretches(masks, bits.value, size, reach)(batches)
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))

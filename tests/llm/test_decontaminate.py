@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -69,3 +70,57 @@ def test_empty_tables(spark):
     assert d.overlaps(docs.where("false"), items).collect() == []
     assert d.overlaps(docs, items.where("false")).collect() == []
     assert d.drop_contaminated(docs, items).count() == 1
+
+
+def placements(n, lost):
+    return itertools.combinations(range(n), lost)
+
+
+def test_every_placement_of_substitutions(spark):
+    """Whatever counts as an overlap is found, wherever the substituted tokens are."""
+    rnd, items, docs, want = random.Random(11), [], [], set()
+    for n, lost in ((16, 3), (15, 3), (13, 2), (12, 2), (11, 2), (10, 2), (10, 1), (10, 0), (9, 1), (8, 1), (7, 1), (7, 0)):
+        item = len(items)
+        items.append((item, " ".join(words(rnd, n))))
+        for gaps in placements(n, lost):
+            own = [f"other{rnd.randrange(10**9)}" if k in gaps else w for k, w in enumerate(items[-1][1].split())]
+            kept = [k for k in range(n) if k not in gaps]
+            if n - lost >= 0.8 * (kept[-1] - kept[0] + 1) - 1e-9:
+                want.add((len(docs), item))
+            docs.append((len(docs), " ".join(words(rnd, 5) + own + words(rnd, 5))))
+    long = (len(items), " ".join(words(rnd, 60)))
+    items.append(long)
+    for _ in range(400):  # stretches of 20 with 4 substituted, of 25 with 5
+        n, lost = rnd.choice(((20, 4), (25, 5)))
+        at, gaps = rnd.randint(0, 60 - n), rnd.sample(range(1, n - 1), lost)
+        own = ["other" if k in gaps else w for k, w in enumerate(long[1].split()[at : at + n])]
+        want.add((len(docs), long[0]))
+        docs.append((len(docs), " ".join(words(rnd, 5) + own + words(rnd, 5))))
+    found = d.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+
+
+def test_no_long_overlap_avoids_the_masks():
+    """Stretches without a hit, by their last tokens and number of equal ones: the best of any length stays under the share."""
+    masks, least = [sum(1 << k for k in m) for m in d.MASKS], d.TOKENS
+    keep = (1 << max(m.bit_length() for m in masks) - 1) - 1
+    best, todo = {(1, 1): 1}, [(1, 1)]  # score: 1 for an equal token, -4 for another; a share of 0.8 is a score of 0
+    while todo:
+        state = last, equal = todo.pop()
+        for bit in (0, 1):
+            bits = last << 1 | bit
+            if bit and any(bits & m == m for m in masks):
+                continue
+            after, score = (bits & keep, min(least, equal + bit)), best[state] + (1 if bit else -4)
+            if score > best.get(after, -5 * least):
+                best[after] = score
+                assert after[1] < least or score < 0
+                todo.append(after)
+
+
+def test_shorter_items_on_demand(spark):
+    items = [(n, " ".join(f"t{n}{k}" for k in range(n))) for n in range(1, 7)]
+    docs = [(n, f"before {text} after") for n, text in items] + [(15, "t50 t51 x t53 t54"), (16, "t60 t61 t62 x t64 t65"), (14, "t40 t41 x t43"), (17, "试验文字"), (18, "其他文字")]
+    items.append((7, "试验文字"))
+    found = d.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), shortest=1).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(n, n) for n in range(1, 7)} | {(15, 5), (16, 6), (17, 7)}
