@@ -1,6 +1,7 @@
 """Personal data by weak supervision.
 
-Every text is scanned once, for the four base kinds (whose spans always stay) and for candidates: words that hold digits, '@' or '='.
+Every text is scanned once, for the four base kinds (whose spans always stay) and for candidates: words that hold digits, '@', '=' or a
+written-out '(at)', and runs of digit groups between blanks.
 Labelers vote on each candidate: patterns (regular expressions), gazetteers (lists of words and endings) and contexts (the words
 before). Expectation-maximisation over the counts of vote patterns, taken from all documents, estimates how often each labeler is
 right; the posteriors train a linear classifier over the candidates' features, again over counts of all feature patterns; and the
@@ -10,6 +11,8 @@ classifier decides, so a candidate on which no labeler votes is still judged by
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,12 @@ LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MARKED = re.compile(r"[0-9@=]")
-CANDIDATE = re.compile(r"(?<!\S)(?=\S*[0-9@=])\S++")
+MARKED = re.compile(r"[0-9@=]|\(at\)|\[at\]")
+CANDIDATE = re.compile(r"(?<!\S)(?=\S*(?:[0-9@=]|\(at\)|\[at\]))\S++")
+AT = re.compile(r"@|\(at\)|\[at\]")
+#: Digit groups with one blank between them, as in '123 45 6789' or '(020) 7946 0958'.
+GROUP = r"(?:\([0-9]++\)|[0-9]++)(?:[.-][0-9]++)*+"
+GROUPED = re.compile(rf"(?<!\S)[\"'\[{{<(]*?(\+?{GROUP}(?:[\x20\xA0]{GROUP}(?=[\"')\]}}>,;:.!?]*+(?:\s|\Z)))++)")
 
 # ---- gazetteers (fixed values) ----
 SECRET_NAMES = frozenset("password passwd pwd secret token apikey api_key access_key auth bearer passphrase".split())
@@ -70,14 +77,37 @@ def emails(text: str):
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base kinds, by kind and start; code points, end exclusive."""
-    found = [("email", a, b) for a, b in emails(text)]
-    found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-4:] or 0) <= 255 for p in m.group().split("."))]
-    for m in CARD.finditer(text):
-        digits = m.group().replace(" ", "").replace("-", "")
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            found.append(("card", m.start(), m.end()))
-    found += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= sum(c in "0123456789" for c in m.group()) <= 15]
-    return found
+    return checked_spans(text)[0]
+
+
+def checked_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[list[int], list[int]]]]:
+    """Spans of the base kinds, and starts and ends of what a base pattern matched and its check refused, for each pattern. Numbers that
+    are too short or too long for a card are no refused cards."""
+    found, refused = [("email", a, b) for a, b in emails(text)], []
+
+    def check(kind, pattern, accepts):
+        starts, ends = [], []
+        for m in pattern.finditer(text):
+            good = accepts(m.group())
+            if good:
+                found.append((kind, m.start(), m.end()))
+            elif good is not None:
+                starts.append(m.start())
+                ends.append(m.end())
+        refused.append((starts, ends))
+
+    def card(value):
+        digits = value.replace(" ", "").replace("-", "")
+        return luhn(digits) if 13 <= len(digits) <= 19 else None
+
+    check("ip", IP, lambda value: all(len(p.lstrip("0")) <= 3 and int(p[-4:] or 0) <= 255 for p in value.split(".")))
+    check("card", CARD, card)
+    check("phone", PHONE, lambda value: 9 <= sum(c in "0123456789" for c in value) <= 15)
+    return found, refused
+
+
+def within(spans: list[tuple[list[int], list[int]]], start: int, end: int) -> bool:
+    return any((k := bisect_right(starts, start)) and end <= ends[k - 1] for starts, ends in spans)
 
 
 def core(word: str) -> tuple[int, int]:
@@ -86,24 +116,29 @@ def core(word: str) -> tuple[int, int]:
     return left, max(left, len(word.rstrip("\"')]}>,;:.!?#$%&*|")))
 
 
-def votes(value: str, before: list[str], in_base: bool) -> list[int]:
+def secret_part(value: str) -> str:
+    """What stands after '=' and the name of a secret, or the value itself."""
     name, _, rest = value.partition("=")
-    secret = rest if rest and name.lower().strip("-") in SECRET_NAMES else value
+    return rest if rest and name.lower().strip("-") in SECRET_NAMES else value
+
+
+def votes(value: str, before: list[str], in_base: bool, refused: bool) -> list[int]:
+    secret = secret_part(value)
     digits = sum(c.isdigit() for c in value)
     near = {w.strip(".,:;!?()\"'").lower() for w in before}
     return [
         GOOD if KEY_FORM.match(secret) else NONE,
         GOOD if HEX_FORM.match(secret) else NONE,
-        BAD if digits < 5 and len(value) < 12 and "@" not in value and "=" not in value else NONE,
+        BAD if digits < 5 and len(value) < 12 and not AT.search(value) and "=" not in value else NONE,
         BAD if VERSION_FORM.match(value) else NONE,
         GOOD if secret is not value and len(secret) >= 6 else NONE,
         GOOD if secret.startswith(KEY_PREFIXES) and len(secret) >= 16 else NONE,
         BAD if near & PLAIN_WORDS else NONE,
-        GOOD if near & CONTACT_WORDS and digits + 5 * ("@" in value) >= 5 else NONE,
+        GOOD if near & CONTACT_WORDS and digits + 5 * bool(AT.search(value)) >= 5 else NONE,
         GOOD if near & ACCOUNT_WORDS and digits >= 5 else NONE,
         GOOD if in_base else NONE,
         GOOD if ADDRESS_FORM.match(value) else NONE,
-        BAD if not in_base and not value.strip("0123456789.-+()") else NONE,  # a number that no base kind accepts
+        BAD if refused and not in_base else NONE,  # a base pattern matched, and its check refused it
     ]
 
 
@@ -131,7 +166,7 @@ def one_hot(forms: np.ndarray) -> np.ndarray:
 
 
 def kind_of(value: str) -> str:
-    if "@" in value or "(at)" in value or "[at]" in value:
+    if AT.search(value):
         return "contact"
     return "secret" if any(c.isalpha() for c in value) else "number"
 
@@ -140,18 +175,17 @@ def scan(text: str) -> tuple[list, list]:
     """Base spans, and candidates (kind, start, end, votes as one number, form)."""
     if not MARKED.search(text):
         return [], []
-    base = base_spans(text)
+    base, refused = checked_spans(text)
     found = []
-    for m in CANDIDATE.finditer(text):
-        left, right = core(m.group())
-        start, end = m.start() + left, m.start() + right
+    words = ((m.start() + k for k in core(m.group())) for m in CANDIDATE.finditer(text))
+    for start, end in chain(words, (m.span(1) for m in GROUPED.finditer(text))):
         value = text[start:end]
-        if len(value) < SHORTEST or not any(c.isdigit() or c == "@" for c in value):
+        if len(value) < SHORTEST or not (any(c.isdigit() for c in value) or AT.search(value) or secret_part(value) is not value):
             continue
         before = text[max(0, start - 60) : start].split()[-2:]
         inside = any(a < end and start < b for _, a, b in base)
         code = 0
-        for vote in votes(value, before, inside):
+        for vote in votes(value, before, inside, within(refused, start, end)):
             code = code * 3 + vote
         found.append((kind_of(value), start, end, code, form(value), inside))
     return base, found
@@ -210,8 +244,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a
     """One row for each row of docs: doc_id, base and added, arrays of (kind, start, end) in code points, end exclusive.
 
     base has the four base kinds in order, then by start: leftmost matches that do not overlap within a kind, and of these the valid
-    ones. added has what the classifier accepts outside of base spans: kinds contact, number, secret, by kind and start. A null text
-    is empty. Ids may be null or repeat. Other columns are not looked at. Counts, reliabilities and the classifier come from all rows.
+    ones. added has what the classifier accepts outside of base spans: kinds contact, number, secret, by kind and start; a number
+    of several groups may hold one that is accepted by itself. A null text is empty. Ids may be null or repeat. Other columns are not looked at. Counts, reliabilities and the classifier come from all rows.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -54,3 +54,39 @@ def test_secrets_are_added_and_plain_numbers_left(spark):
             added = [text[s.start : s.end] for s in r.added]
             assert bool(added) == any(w in text for w in ("token", "password", "access")), (text, added)
     assert pii.personal_data(frame(spark, []).where("false")).collect() == []
+
+
+def values(text):
+    return [text[c[1] : c[2]] for c in pii.scan(text)[1]]
+
+
+def test_candidates():
+    assert values("write to jane(at)mail(dot)org, or (joe[at]mail[dot]org).") == ["jane(at)mail(dot)org", "joe[at]mail[dot]org"]
+    assert values("password=CorrectHorse and colour=blue, note=") == ["password=CorrectHorse"]
+    assert values("her 123 45 6789, then (020) 7946 0958. and 12x 45 678y 9") == ["123 45 6789", "(020) 7946 0958"]
+    assert values("x 12 34 56,z 7 8") == ["12 34"]
+    assert pii.kind_of("jane(at)mail(dot)org") == "contact" and pii.kind_of("123 45 6789") == "number"
+
+
+def test_only_refused_matches_fail_the_check():
+    name = pii.LABELERS.index("failed check")
+    failed = lambda text: {text[c[1] : c[2]]: c[3] // 3 ** (len(pii.LABELERS) - 1 - name) % 3 == pii.BAD for c in pii.scan(text)[1]}
+    assert failed("his 123-45-6789 or 123 45 6789 or (020)7946-0958") == {"123-45-6789": False, "123 45 6789": False, "020)7946-0958": False}
+    assert failed("at 1.2.3.256 with 2123465659789240 or 41111 11111 111112 or +12345") == {k: True for k in ("1.2.3.256", "2123465659789240", "41111", "11111", "111112", "41111 11111 111112", "+12345")}
+
+
+def test_candidates_take_linear_time():
+    for text in ("1 " * 200_000, "1 " * 200_000 + "1,x", "(" * 300_000 + "1 2", "1 2" + "," * 300_000 + "x", "a(at)" * 80_000, "1-" * 200_000):
+        pii.scan(text)
+
+
+def test_addresses_secrets_and_numbers_without_digits_or_in_groups_are_added(spark):
+    rnd, docs = random.Random(4), []
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for k in range(300):
+        ssn = f"{rnd.randint(100, 899)} {rnd.randint(10, 99)} {rnd.randint(1000, 9999)}"
+        docs.append((k, [f"write {letters(5)}(at){letters(6)}(dot)org soon", f"then password={letters(7).title()}{letters(6).title()} here", f"my ssn {ssn} is", "plain words of page 12 in 2019", f"mail {letters(6)}@mail.example.com now", f"call {ssn[:3]} {ssn[-4:]} today"][k % 6]))
+    found = {r.doc_id: r for r in pii.personal_data(frame(spark, docs)).collect()}
+    for k, text in docs:
+        added = [text[s.start : s.end] for s in found[k].added]
+        assert bool(added) == (k % 6 in (0, 1, 2, 5)), (text, added)
