@@ -1,6 +1,7 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristics vote good, bad or nothing on every document. Expectation-maximisation over the counts of vote patterns (all
+Overlapping heuristics vote bad or nothing on every document: each looks for one defect, none has evidence that a document is good. So
+'good' means that no defect shows, and how often a heuristic is right about good documents is known only from its wrong votes. Expectation-maximisation over the counts of vote patterns (all
 documents; at most 3 ** heuristics patterns, however large the corpus) estimates how often each heuristic is right, and gives every
 pattern a posterior. A linear scorer over hashed word-shape features learns the posteriors, so documents on which the heuristics say
 nothing, or disagree, are judged by what else they have in common with the rest.
