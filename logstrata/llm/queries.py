@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, pieces, pii, quality, sharding, token_counts, toxicity
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, periodic, pieces, pii, quality, sharding, token_counts, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -110,3 +110,36 @@ def op2(table):
     counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS LONG) AS n_{k}") for k in pii.BASE]
     spans = pii.as_text(F.concat("base", "added"))
     return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in the oracle's SQL, which has no function for it."""
+    codes = f"list_transform(range(1, len({text}) + 1), lambda i: CAST(ascii({text}[i]) AS BIGINT))"
+    eight = "list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {eight}), 4294967295)"
+
+
+@register("op13_periodic_runs", rf"""
+WITH h AS MATERIALIZED (SELECT doc_id, {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+cut AS (SELECT doc_id, w, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+made AS MATERIALIZED (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[1 + a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8))] END) END AS w FROM cut),
+words AS MATERIALIZED (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM made),
+often AS MATERIALIZED (SELECT * FROM words WHERE n >= 24 QUALIFY count(*) OVER (PARTITION BY doc_id, x) >= 3),
+same AS MATERIALIZED (SELECT a.doc_id, a.i, b.i - a.i AS q FROM often a JOIN often b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+island AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k, i FROM same),
+stretch AS MATERIALIZED (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM island GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS MATERIALIZED (SELECT doc_id, s, m, q FROM stretch r WHERE NOT EXISTS (SELECT 1 FROM stretch o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.m >= r.s + r.m)),
+per AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', m, ',', q, chr(10)), '' ORDER BY s, q) AS listed FROM runs GROUP BY doc_id),
+best AS (SELECT doc_id, s, m, q FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.m * r.q > r.m * o.q OR (o.m * r.q = r.m * o.q AND (o.s < r.s OR (o.s = r.s AND o.q < r.q)))))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, m AS length, q AS period, 1000 * m // q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op13(table):
+    docs = table("documents").select("doc_id", periodic.planted().alias("text"))
+    found = periodic.periodic_runs(docs).withColumn("best", periodic.strongest())
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
