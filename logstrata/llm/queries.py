@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import use_utc
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, periodic, pieces, pii, quality, sharding, token_counts, toxicity
+from ..session import checkpoint_dir, use_utc
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, periodic, pieces, pii, quality, sharding, token_counts, token_ids, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -143,3 +145,11 @@ def op13(table):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@register("op12_token_id_files")
+def op12(table):
+    docs = table("documents")
+    folder = f"{checkpoint_dir(docs.sparkSession)}/token-ids-{uuid4().hex}"
+    token_ids.write_ids(docs, folder)
+    return token_ids.read_ids(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
