@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, use_utc
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, periodic, pieces, pii, quality, sharding, token_counts, token_ids, toxicity
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, periodic, pieces, pii, prefix_trie, quality, sharding, token_counts, token_ids, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -153,3 +153,20 @@ def op12(table):
     folder = f"{checkpoint_dir(docs.sparkSession)}/token-ids-{uuid4().hex}"
     token_ids.write_ids(docs, folder)
     return token_ids.read_ids(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op11_prefix_trie", rf"""
+WITH t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+ concat(len(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS said, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h, list(struct_pack(s := md5(said), w := words) ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+made AS MATERIALIZED (SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS turns FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+starts AS MATERIALIZED (SELECT conv_id, d, list_transform(turns[1:d], lambda x: x.s) AS path, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w, d = len(turns) AS ends FROM made, unnest(range(0, len(turns) + 1)) AS r(d)),
+nodes AS MATERIALIZED (SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ended FROM starts GROUP BY path, d),
+tied AS MATERIALIZED (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]),
+kids AS MATERIALIZED (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM tied WHERE depth > 0 GROUP BY 1, 2),
+full_nodes AS MATERIALIZED (SELECT t.*, coalesce(k.n_children, 0) AS n_children FROM tied t LEFT JOIN kids k ON k.conv_id = t.conv_id AND k.depth = t.depth),
+below AS (SELECT path[1:d] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * w) AS BIGINT) AS saved_tokens FROM full_nodes, unnest(range(0, depth + 1)) AS r(d) GROUP BY 1)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ended) AS ends_sha256 FROM full_nodes JOIN below USING (path)""")
+def op11(table):
+    turns, members = prefix_trie.with_shared_heads(prefix_trie.ordered_turns(table("conversations")))
+    return prefix_trie.trie(turns, members).drop("tour_start", "tour_end")
