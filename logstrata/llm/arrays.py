@@ -31,6 +31,14 @@ NOT_FEED = np.ones(256, bool)
 NOT_FEED[10] = False
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, or name with underscores after it, that is none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every bit of the result depends on every bit of x."""
     x = x.astype(np.uint64, copy=True)

@@ -136,17 +136,18 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that have an equal text with a larger doc_id; of rows equal in doc_id and text one stays."""
+    """docs without the rows that have an equal text with a larger doc_id; of rows equal in doc_id and text one stays. All columns stay
+    as they are, whatever their names."""
     found = cut_lineage(exact_duplicates(docs))
     digest = F.unhex("text_sha256").alias("gone_digest")
     dropped = found.where("NOT kept").select(F.col("doc_id").alias("gone"), digest)
-    rows = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
 
     def keyed(other: DataFrame, how: str) -> DataFrame:
-        return rows.join(other, rows["doc_id"].eqNullSafe(other["gone"]) & (rows["_digest"] == other["gone_digest"]), how)
+        return rows.join(other, rows["id"].eqNullSafe(other["gone"]) & (rows["digest"] == other["gone_digest"]), how)
 
     twice = found.where("kept AND group_size > 1").groupBy(F.col("doc_id").alias("gone"), digest).count().where("count > 1").drop("count")
     if twice.isEmpty():
-        return keyed(dropped, "left_anti").select(*docs.columns)
-    once = keyed(twice, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return keyed(dropped.union(twice), "left_anti").union(once).select(*docs.columns)
+        return keyed(dropped, "left_anti").select("row.*")
+    once = keyed(twice, "left_semi").dropDuplicates(["id", "digest"])
+    return keyed(dropped.union(twice), "left_anti").union(once).select("row.*")

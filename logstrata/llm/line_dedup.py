@@ -7,7 +7,8 @@ documents that share a run of lines of that many words share a selected line ins
 1. Selected lines are fingerprints: about two of w + 1, and none of a document that is too short. Those that occur once in the corpus
    are dropped by a count; most documents leave here.
 2. Positions are joined by fingerprint. Around each remaining one the match is extended both ways, window by window: every window that
-   selected it is named by the hash of its lines. A window seen before, in an earlier document or further up, is a repeat.
+   selected it is named by the hash of its lines, the shortest windows that end at a line too, so a match reaches a common run's last
+   line. A window seen before, in an earlier document or further up, is a repeat.
 3. Windows that overlap or touch join to runs; the later runs go, the first occurrence stays.
 
 No pair of positions is ever formed: a passage in a third of all documents costs each of them a few rows, and first occurrences are
@@ -17,14 +18,16 @@ minima that combine before the shuffle.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..session import cut_lineage
 from .arrays import NOT_BLANK, NOT_FEED, U, hash_spans, list_array, map_slices, mix, signed, spans
 
-WORDS = 50
+WORDS, BLANKS = 50, " \t\x0b\f\r"
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,20 +76,20 @@ def window_names(hashes: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.
     return out
 
 
-def _winnow(least: int, whole: bool):
+def _winnow(least: int):
     def fn(batch, data, offsets):
         starts, ends, hashes, words, by_text = lines_of(data, offsets)
         first, to, pick = windows(hashes, words, by_text, least)
         heads = np.flatnonzero(np.diff(pick, prepend=-1))  # selected lines never go backwards, so windows of one stand together
         lines, cuts = pick[heads], np.append(heads, len(first))
-        if whole:  # a run that ends at a line goes with the window from its first line on: who shares the run shares that window
-            more, ends = backward_windows(words, by_text, least)
-            own = np.searchsorted(first, more)
-            other = ends > to[own]
-            own = np.concatenate([np.arange(len(first)), own[other]])
-            order = np.argsort(own, kind="stable")
-            first, to = np.concatenate([first, more[other]])[order], np.concatenate([to, ends[other]])[order]
-            cuts = np.searchsorted(own[order], cuts)
+        # a run that ends at a line goes with the window from its first line on: who shares the run shares that window
+        more, ends = backward_windows(words, by_text, least)
+        own = np.searchsorted(first, more)
+        other = ends > to[own]
+        own = np.concatenate([np.arange(len(first)), own[other]])
+        order = np.argsort(own, kind="stable")
+        first, to = np.concatenate([first, more[other]])[order], np.concatenate([to, ends[other]])[order]
+        cuts = np.searchsorted(own[order], cuts)
         names = window_names(hashes, first, to)
         base = np.searchsorted(by_text, first, "right") - 1
         base = by_text[base]
@@ -105,20 +108,19 @@ def _winnow(least: int, whole: bool):
     return map_slices(fn)
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, whole: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """One row for each row of docs: doc_id, text_key, n_lines, removed_lines, removed_words, runs (array of first and end line).
 
-    Lines are what stands between line feeds; lines without a word are left out and not counted. A line is removed if it lies in a
-    window (the shortest run of lines from some line on with `words` words) whose lines, byte for byte, occurred earlier: in a document
-    with a smaller doc_id or further up in the same one. With `whole`, every run of at least `words` words that occurred earlier goes,
-    to its last line: without it, up to words - 1 words after a run's last full window stay. Null ids come last, equal ids are ordered by text; rows equal in both count as
-    one document and are treated alike. A null text has no lines. Other columns are not looked at.
+    Lines are what stands between line feeds; lines without a word are left out and not counted. A line is removed if it lies in a run
+    of lines with at least `words` words that, byte for byte, occurred earlier: in a document with a smaller doc_id or further up in the
+    same one. Null ids come last, equal ids are ordered by text; rows equal in both count as one document and are treated alike. A null
+    text has no lines. Other columns are not looked at.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     source = source.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
     seeds = "array<struct<fingerprint:long,windows:array<struct<name:long,more:long,first:int,end:int>>>>"
-    found = cut_lineage(source.mapInArrow(_winnow(words, whole), f"doc_id {kind}, text_key binary, n_lines long, words array<int>, seeds {seeds}"))
+    found = cut_lineage(source.mapInArrow(_winnow(words), f"doc_id {kind}, text_key binary, n_lines long, words array<int>, seeds {seeds}"))
     places = found.select("doc_id", "text_key", F.explode("seeds").alias("s")).select("doc_id", "text_key", "s.fingerprint", "s.windows")
     shared = places.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     matched = places.join(cut_lineage(shared.select("fingerprint")), "fingerprint", "left_semi")
@@ -138,11 +140,30 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return out.select("doc_id", "text_key", "n_lines", removed.alias("removed_lines"), removed_words.alias("removed_words"), "runs")
 
 
+@F.pandas_udf(StringType())
+def _left(texts: pd.Series, runs: pd.Series) -> pd.Series:
+    """Texts without the lines of their runs; lines without a word have no number and stay."""
+    out = []
+    for text, own in zip(texts, runs):
+        kept, number, gone = [], 0, {n for r in own for n in range(r["first"], r["end"])}
+        for line in (text or "").split("\n"):
+            if not line.strip(BLANKS):
+                kept.append(line)
+                continue
+            if number not in gone:
+                kept.append(line)
+            number += 1
+        out.append("\n".join(kept))
+    return pd.Series(out, dtype=object)
+
+
 def without_runs(docs: DataFrame, runs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the lines of their runs (from repeated_runs) taken out of the text; rows are kept even if no line is left."""
-    runs = runs.where("removed_lines > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("runs").alias("_runs")).distinct()
-    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rows = docs.join(runs, docs["doc_id"].eqNullSafe(runs["_id"]) & (key == runs["_key"]), "left")
-    number = r"aggregate(split(`{0}`, '\n'), named_struct('n', 0, 'kept', CAST(array() AS ARRAY<STRING>)), (acc, line) -> IF(line RLIKE '^[ \\t\\x0B\\f\\r]*$', named_struct('n', acc.n, 'kept', concat(acc.kept, array(line))), named_struct('n', acc.n + 1, 'kept', IF(exists(_runs, r -> acc.n >= r.first AND acc.n < r.end), acc.kept, concat(acc.kept, array(line))))), acc -> array_join(acc.kept, '\n'))"
-    left = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.expr(number.format(text.replace("`", "``"))))
-    return rows.withColumn(text, left).select(*docs.columns)
+    """docs with the lines of their runs (from repeated_runs) taken out of the text; rows are kept even if no line is left, and so are
+    all other columns, whatever their names."""
+    runs = runs.where("removed_lines > 0").select("doc_id", "text_key", "runs").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"))
+    rows = rows.join(runs, rows["id"].eqNullSafe(runs["doc_id"]) & (rows["key"] == runs["text_key"]), "left").select("row", "runs")
+    name = "`" + text.replace("`", "``") + "`"
+    own = F.col("row").withField(name, _left(F.col("row").getField(text), "runs"))
+    same = rows.where("runs IS NULL").select("row.*")
+    return same.unionByName(rows.where("runs IS NOT NULL").select(own.alias("row")).select("row.*")).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, hash_spans, list_array, map_slices, ragged
+from .arrays import U, hash_spans, list_array, map_slices, ragged, unused
 from .token_counts import tokenizer_path
 
 MODEL, REMEMBER = "piece_bpe_32k.model", 150_000
@@ -213,19 +213,19 @@ def encode_slice(machine: Transducer, known: dict[int, bytes], remember: int, da
     return ids, np.concatenate([[0], np.cumsum(size[inverse])])[np.searchsorted(starts, offsets)]
 
 
-def _encode(name: str, remember: int, and_decode: bool = False):
+def _encode(name: str, remember: int, and_decode: bool, own: str):
     known: dict[int, bytes] = {}
 
     def fn(batch, data, offsets):
         machine = load(name)
         ids, cuts = encode_slice(machine, known, remember, *without_marks(batch, data, offsets))
-        columns = {f: batch.column(k) for k, f in enumerate(batch.schema.names) if f != "_text"}
+        columns = {f: batch.column(k) for k, f in enumerate(batch.schema.names) if f != own}
         columns["piece_ids"] = list_array(cuts, pa.array(ids))
         if and_decode:
             columns["decoded"] = pa.array(machine.decode(ids, cuts), pa.string())
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return map_slices(fn, "_text")
+    return map_slices(fn, own)
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, remember: int = REMEMBER, and_decode: bool = False) -> DataFrame:
@@ -236,7 +236,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, remember: in
     """
     source = docs.drop("piece_ids", *["decoded"] * and_decode)
     schema = f"{_ddl(source)}, piece_ids array<int>{', decoded string' if and_decode else ''}"
-    return source.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).mapInArrow(_encode(model, remember, and_decode), schema)
+    own = unused(source.columns, "_text")
+    return source.withColumn(own, F.coalesce(F.col(text), F.lit(""))).mapInArrow(_encode(model, remember, and_decode, own), schema)
 
 
 def _ddl(df: DataFrame) -> str:

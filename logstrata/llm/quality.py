@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import NOT_BLANK, U, hash_spans, list_array, map_slices, mix, segment_sums, spans
+from .arrays import NOT_BLANK, U, hash_spans, list_array, map_slices, mix, segment_sums, spans, unused
 
 DIMS, SAMPLE, THRESHOLD = 1024, 4_000, 0.5
 NEW = ("votes", "posterior", "score")
@@ -131,7 +131,7 @@ def _examples(posterior: np.ndarray, dims: int):
     return map_slices(fn)
 
 
-def _scores(posterior: np.ndarray, weights: np.ndarray, bias: float):
+def _scores(posterior: np.ndarray, weights: np.ndarray, bias: float, own: str):
     def fn(batch, data, offsets):
         values, starts, ends, by_text = measures(data, offsets)
         pattern = patterns_of(values, by_text)
@@ -139,11 +139,11 @@ def _scores(posterior: np.ndarray, weights: np.ndarray, bias: float):
         n = np.diff(by_text)
         z = segment_sums(per_word, by_text) / np.maximum(n, 1) + bias
         score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0.0)
-        keep = [k for k, f in enumerate(batch.schema.names) if f != "_text"]
+        keep = [k for k, f in enumerate(batch.schema.names) if f != own]
         new = [pa.array(pattern.astype(np.int32)), pa.array(posterior[pattern]), pa.array(score)]
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *new], [*(batch.schema.names[k] for k in keep), *NEW])
 
-    return map_slices(fn, "_text")
+    return map_slices(fn, own)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
@@ -199,13 +199,13 @@ def with_quality(docs: DataFrame, text: str = "text", dims: int = DIMS, sample:
         fitted = chosen.mapInArrow(_examples(posterior, dims), "text_key long, posterior double, vector array<float>").toPandas().sort_values("text_key")
         if len(fitted):
             weights, bias = fit_linear(np.stack(fitted["vector"].to_numpy()), fitted["posterior"].to_numpy())
-    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    own = unused(docs.columns, "_text")
+    rows = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
     kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(_scores(posterior, weights, bias), f"{kept}, votes int, posterior double, score double")
+    return rows.mapInArrow(_scores(posterior, weights, bias, own), f"{kept}, votes int, posterior double, score double")
 
 
 def drop_poor(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose score is below the threshold."""
-    return with_quality(docs.withColumns({f"_own_{c}": F.col(c) for c in NEW if c in docs.columns})).where(F.col("score") >= threshold).select(
-        *(F.col(f"_own_{c}").alias(c) if c in NEW else F.col(c) for c in docs.columns)
-    )
+    others = {c: unused([*docs.columns, *NEW], f"_own_{c}") for c in docs.columns if c.lower() in NEW}
+    return with_quality(docs.withColumnsRenamed(others)).where(F.col("score") >= threshold).select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])

@@ -74,7 +74,8 @@ WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS
 lines AS MATERIALIZED (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 sums AS MATERIALIZED (SELECT doc_id, list(line ORDER BY i) AS ls, list(n ORDER BY i) AS ns FROM lines GROUP BY doc_id),
 totals AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM lines),
-wins AS MATERIALIZED (SELECT a.doc_id, a.i, min(b.i) + 1 AS e FROM totals a JOIN totals b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY a.doc_id, a.i),
+runs AS MATERIALIZED (SELECT a.doc_id, a.i, b.i + 1 AS e FROM totals a JOIN totals b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50),
+wins AS MATERIALIZED (SELECT doc_id, i, min(e) AS e FROM runs GROUP BY doc_id, i UNION SELECT doc_id, max(i), e FROM runs GROUP BY doc_id, e),
 named AS (SELECT w.doc_id, w.i, w.e, array_to_string(ls[w.i + 1 : w.e], chr(10)) AS name FROM wins w JOIN sums USING (doc_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, i) AS nth FROM named),
 gone AS (SELECT DISTINCT l.doc_id, l.i, l.n FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.i >= r.i AND l.i < r.e WHERE nth > 1),

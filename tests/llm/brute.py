@@ -5,7 +5,7 @@ from collections import defaultdict
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
-CLASH = "digest string, part int, text_key string, score string, votes string, component string, id int, hash int, bucket int, tokens int, piece_ids string, decoded string, depth int, kept int, n int"
+CLASH = "digest string, part int, text_key string, score string, votes string, component string, id int, hash int, bucket int, tokens int, piece_ids string, decoded string, depth int, kept int, n int, _text string, _digest string, _runs int, _id string, _key string, _own_score string, _part int, row string, runs int, gone int, key string, start int, own_id string"
 
 
 def frame(spark, texts, parts=3):

@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from logstrata.llm import quality, toxicity
 
 from .brute import frame
@@ -84,3 +86,9 @@ def test_toxicity_of_empty_tables(spark):
     docs, labels = frame(spark, ["a b"]), spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(docs.where("false"), labels).collect() == []
     assert [r.score for r in toxicity.toxicity(docs, labels.where("false")).collect()] == [0.5]
+
+
+def test_quality_keeps_clashing_columns(spark):
+    table = frame(spark, [(1, "The cat sat on the mat, and it was glad of it."), (2, "$$$ ### $$$")]).withColumns({"_text": F.upper("text"), "score": F.lower("text"), "_own_score": F.col("text")})
+    rows = quality.drop_poor(table, threshold=0.0).collect()
+    assert len(rows) == 2 and all((r["_text"], r.score, r["_own_score"]) == (r.text.upper(), r.text.lower(), r.text) for r in rows)

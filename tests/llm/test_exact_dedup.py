@@ -5,6 +5,8 @@ import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from logstrata.llm import exact_dedup as e
 
 from .brute import frame
@@ -52,3 +54,9 @@ def test_rows_that_stay(spark):
     left = e.drop_exact_duplicates(docs)
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(2, "a"), (3, "b"), (None, "c"), (5, "")], key=repr)
+
+def test_clashing_columns_stay(spark):
+    docs = [(1, "a"), (2, "a"), (2, "a"), (3, "b"), (None, "c")]
+    table = frame(spark, docs).withColumns({"_digest": F.concat(F.lit("own "), "text"), "_key": F.col("text"), "row": F.col("text")})
+    left = e.drop_exact_duplicates(table).collect()
+    assert len(left) == 3 and all(r["_digest"] == f"own {r.text}" and r["_key"] == r.text == r["row"] for r in left)

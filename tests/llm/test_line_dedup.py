@@ -1,26 +1,24 @@
 import random
 
+from pyspark.sql import functions as F
+
 from logstrata.llm import line_dedup as ld
 
 from .brute import frame
 
 
 def brute(docs, least):
-    """doc -> numbers of removed lines; docs in order."""
-    split = {k: [x for x in (t or "").split("\n") if x.strip(" \t\x0b\f\r")] for k, t in docs}
-    seen, out = set(), {}
-    for k in sorted(split):
-        gone, lines = set(), split[k]
+    """doc -> numbers of removed lines, by the definition: all runs of lines with at least so many words."""
+    seen, out = {}, {}
+    for k, t in sorted(docs):
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\x0b\f\r")]
+        gone = set()
         for i in range(len(lines)):
-            total, j = 0, i
-            while j < len(lines) and total < least:
+            total = 0
+            for j in range(i, len(lines)):
                 total += len(lines[j].split())
-                j += 1
-            if total >= least:
-                name = tuple(lines[i:j])
-                if name in seen:
-                    gone.update(range(i, j))
-                seen.add(name)
+                if total >= least and seen.setdefault(tuple(lines[i : j + 1]), (k, i)) < (k, i):
+                    gone.update(range(i, j + 1))
         out[k] = sorted(gone)
     return out
 
@@ -64,33 +62,16 @@ def test_missing_and_repeated_ids(spark):
     assert ld.repeated_runs(frame(spark, []).where("false")).collect() == []
 
 
-def brute_whole(docs, least):
-    """The same for all runs of lines with at least so many words."""
-    seen, out = {}, {}
-    for k, t in sorted(docs):
-        lines = [x for x in (t or "").split("\n") if x.strip(" \t\x0b\f\r")]
-        gone = set()
-        for i in range(len(lines)):
-            total = 0
-            for j in range(i, len(lines)):
-                total += len(lines[j].split())
-                if total >= least and seen.setdefault(tuple(lines[i : j + 1]), (k, i)) < (k, i):
-                    gone.update(range(i, j + 1))
-        out[k] = sorted(gone)
-    return out
-
-
-def test_whole_runs_against_brute_force(spark):
-    docs = corpus()
-    found = ld.repeated_runs(frame(spark, docs), words=12, whole=True).collect()
-    want = brute_whole(docs, 12)
-    assert {r.doc_id: [i for a, b in r.runs for i in range(a, b)] for r in found} == want
-    assert sum(map(len, want.values())) > sum(map(len, brute(docs, 12).values()))
-
-
 def test_whole_copies_go(spark):
     lines = [" ".join(f"w{k}x{n}" for n in range(words)) for k, words in enumerate((80, 90, 30))]
     docs = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "own line\n" + "\n".join(lines) + "\nown end")]
-    runs = ld.repeated_runs(frame(spark, docs), whole=True)
+    runs = ld.repeated_runs(frame(spark, docs))
     assert {r.doc_id: r.removed_words for r in runs.collect()} == {1: 0, 2: 200, 3: 200}
     assert {r.doc_id: r.text for r in ld.without_runs(frame(spark, docs), runs).collect()} == {1: docs[0][1], 2: "", 3: "own line\nown end"}
+
+def test_clashing_columns_stay(spark):
+    docs = [(1, "one two three four\nfive six"), (2, "own\none two three four\nfive six\n\nend"), (3, None)]
+    table = frame(spark, docs).withColumns({"_runs": F.concat(F.lit("own "), "text"), "row": F.col("text")})
+    left = ld.without_runs(table, ld.repeated_runs(table, words=6))
+    assert left.columns == table.columns
+    assert {r.doc_id: (r.text, r["_runs"], r["row"]) for r in left.collect()} == {1: (docs[0][1], "own " + docs[0][1], docs[0][1]), 2: ("own\n\nend", "own " + docs[1][1], docs[1][1]), 3: (None, None, None)}

@@ -5,6 +5,8 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
+from pyspark.sql import functions as F
+
 from logstrata.llm import pieces, token_counts
 
 from .brute import frame
@@ -74,3 +76,8 @@ def test_weights_leave_one_path():
 def test_other_models_are_refused():
     with pytest.raises(Exception):
         pieces.Transducer(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_pieces_keep_clashing_columns(spark):
+    rows = pieces.encode(frame(spark, ["one", "two"]).withColumn("_text", F.upper("text"))).collect()
+    assert sorted((r.text, r["_text"]) for r in rows) == [("one", "ONE"), ("two", "TWO")]
