@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -31,7 +32,7 @@ from .arrays import hash_spans, ragged, sizes, slices
 from .token_counts import BATCH_BYTES, load
 
 TOKENIZER, END_ID, MAGIC = "byte_bpe_50k.json", 2, b"TOKENIDS"
-FILE_BYTES, REMEMBER, LEVEL = 32 << 20, 500_000, 3
+FILE_BYTES, REMEMBER, LEVEL = 32 << 20, 1_000_000, 3
 #: The dictionary is trained on about SAMPLE documents, on at most CLIP bytes of ids of each.
 SAMPLE, CLIP, DICTIONARY_BYTES = 1000, 4096, 64 << 10
 TAIL = struct.Struct("<QQ8s")
@@ -41,10 +42,19 @@ _LETTER[33:127] = _LETTER[0xC3:0xF5] = True
 _LETTER[[0xE1, 0xE2, 0xE3]] = False
 _ASCII = np.zeros(256, bool)
 _ASCII[33:127] = True
+_LATIN = np.zeros(256, bool)  # ASCII letters
+_LATIN[65:91] = _LATIN[97:123] = True
+_MARK = _ASCII & ~_LATIN  # ASCII marks that are no part of a special string, and begin no contraction
+_MARK[48:58] = False
+_MARK[[ord(c) for c in "<|>'"]] = False
+#: Bytes of characters that are no blanks. Pieces of these, after a blank at most, keep their ids if a line feed joins them.
+_PLAIN = _LETTER.copy()
+_PLAIN[0x80:0xC0] = True
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin, texts included: before a blank that a character follows, and around a lone line feed between characters."""
+    """Where pieces begin, texts included: before a blank that a character follows, around a lone line feed between characters, and
+    between a Latin letter and a mark."""
     begins = np.zeros(len(data) + 1, bool)
     if len(data) > 2:
         last = np.zeros(len(data), bool)  # a cut needs neighbours in its own text
@@ -57,16 +67,27 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         feed = inner & after & (data[1:-1] == 10) & _ASCII[data[:-2]]
         begins[1:-2] |= feed
         begins[2:-1] |= feed
+        a, b = data[:-1], data[1:]
+        letter = _LATIN[a]  # or one of U+00C0 to U+017F, all letters but two
+        letter[1:] |= (data[:-2] >= 0xC3) & (data[:-2] <= 0xC5) & (a[1:] >= 0x80) & (a[1:] < 0xC0) & ~((data[:-2] == 0xC3) & ((a[1:] == 0x97) | (a[1:] == 0xB7)))
+        begins[1:-1] |= ~last[:-1] & (letter & _MARK[b] | _MARK[a] & _LATIN[b])
     begins[offsets] = True
     begins[len(data)] = False
     return np.flatnonzero(begins)
 
 
+@lru_cache(maxsize=1)
+def encoder(tokenizer: str, remember: int = REMEMBER) -> Encoder:
+    """One for each Python worker, which Spark uses again for later tasks."""
+    return Encoder(tokenizer, remember)
+
+
 class Encoder:
-    """Ids of the texts of a slice; remembers pieces."""
+    """Ids of the texts of a slice; remembers up to `remember` pieces."""
 
-    def __init__(self, tokenizer: str, remember: int = REMEMBER):
+    def __init__(self, tokenizer: str, remember: int):
         self.tokenizer, self.remember = load(tokenizer), remember
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -74,23 +95,40 @@ class Encoder:
         self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.end = np.zeros(1 << 14, np.uint32), 0
 
-    def learn(self, hashes: list[int], pieces: list[bytes]) -> None:
-        ends, at = np.cumsum([len(p) + 8 for p in pieces]), 0
-        while at < len(pieces):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right")))
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces[at:to]], add_special_tokens=False)
-            ids = [c.ids for c in coded]
-            counts, n = np.array([len(x) for x in ids]), len(self.known)
-            flat = np.array([i for x in ids for i in x], np.uint32)
-            while n + len(ids) > len(self.starts):
-                self.starts, self.counts = np.append(self.starts, self.starts * 0), np.append(self.counts, self.counts * 0)
-            while self.end + len(flat) > len(self.ids):
-                self.ids = np.append(self.ids, self.ids * 0)
-            self.starts[n : n + len(ids)], self.counts[n : n + len(ids)] = self.end + np.cumsum(counts) - counts, counts
-            self.ids[self.end : self.end + len(flat)] = flat
-            self.end += len(flat)
-            self.known.update(zip(hashes[at:to], range(n, n + len(ids))))
-            at = to
+    def learn(self, hashes: list[int], pieces: list[bytes], plain: np.ndarray) -> None:
+        """plain: which pieces may be joined by line feeds, which saves most of the library's time for each text."""
+        for joined in (True, False):
+            own = np.flatnonzero(plain == joined).tolist()
+            ends, at = np.cumsum([len(pieces[k]) + 8 for k in own]), 0
+            while at < len(own):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right")))
+                batch = [pieces[k] for k in own[at:to]]
+                flat, counts = self.joined(batch) if joined else self.single(batch)
+                self.keep([hashes[k] for k in own[at:to]], flat, counts)
+                at = to
+
+    def single(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [c.ids for c in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids])
+
+    def joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        (coded,) = self.tokenizer.encode_batch_fast([b"\n".join(pieces).decode()], add_special_tokens=False)
+        ids = np.array(coded.ids, np.uint32)
+        feed = ids == self.feed
+        if np.count_nonzero(feed) != len(pieces) - 1:
+            return self.single(pieces)
+        return ids[~feed], np.diff(np.flatnonzero(feed) - np.arange(len(pieces) - 1), prepend=0, append=len(ids) - len(pieces) + 1)
+
+    def keep(self, hashes: list[int], flat: np.ndarray, counts: np.ndarray) -> None:
+        n, more = len(self.known), len(counts)
+        while n + more > len(self.starts):
+            self.starts, self.counts = np.append(self.starts, self.starts * 0), np.append(self.counts, self.counts * 0)
+        while self.end + len(flat) > len(self.ids):
+            self.ids = np.append(self.ids, self.ids * 0)
+        self.starts[n : n + more], self.counts[n : n + more] = self.end + np.cumsum(counts) - counts, counts
+        self.ids[self.end : self.end + len(flat)] = flat
+        self.end += len(flat)
+        self.known.update(zip(hashes, range(n, n + more)))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, each text ended by end_id if given; and the len + 1 offsets into them."""
@@ -101,8 +139,11 @@ class Encoder:
         if len(self.known) + len(keys) > self.remember:
             self.forget()
         new = [k for k, key in enumerate(keys) if key not in self.known]
-        raw = data.tobytes()
-        self.learn([keys[k] for k in new], [raw[a:b] for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist())])
+        raw, odd = data.tobytes(), np.append(0, np.cumsum(~_PLAIN[data]))
+        a, b = begins[first[new]], ends[first[new]]
+        blank = data[a] == 32 if len(a) else a > 0
+        plain = (odd[b] - odd[a] == blank) & (b - a > blank)
+        self.learn([keys[k] for k in new], [raw[x:y] for x, y in zip(a.tolist(), b.tolist())], plain)
         place = np.array([self.known[key] for key in keys], np.int64)[inverse.ravel()] if keys else np.zeros(0, np.int64)
         counts = self.counts[place]
         ids = self.ids[ragged(self.starts[place], counts)]
@@ -122,7 +163,7 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE, cl
     """A zstandard dictionary from the ids of about `sample` rows (text), `clip` bytes each; empty if there are too few to train on."""
 
     def heads(batches):
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             for _, data, offsets in slices(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([x[:clip] for x in serialised(*encode(data, offsets, end_id))], pa.binary())], ["ids"])
@@ -193,7 +234,7 @@ def write_ids(
     digest = hashlib.sha256(dictionary).digest()
 
     def write(batches):
-        compress, encode, file, files = _coder(zstandard.ZstdCompressor, dictionary, level=level).compress, Encoder(tokenizer), None, 0
+        compress, encode, file, files = _coder(zstandard.ZstdCompressor, dictionary, level=level).compress, encoder(tokenizer), None, 0
         for batch in batches:
             for part, data, offsets in slices(batch):
                 ids, by_text = encode(data, offsets, end_id)

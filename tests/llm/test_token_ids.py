@@ -13,7 +13,7 @@ from logstrata.llm.token_counts import tokenizer_path
 from .brute import frame
 
 LIBRARY = Tokenizer.from_file(tokenizer_path(t.TOKENIZER))
-PARTS = ["a", "the", "don't", "Ünïcode", "日本", "語", " ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", " ", "　", " ", "\x85", "\x1c", "\x0b", "12", "3.5", "<|endoftext|>", "<|end", "of", "!", "...", "'s", "😀", "́", "é"]
+PARTS = ["a", "the", "don't", "Ünïcode", "日本", "語", " ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", " ", "　", " ", "\x85", "\x1c", "\x0b", "12", "3.5", "<|endoftext|>", "<|end", "of", "!", "...", "'s", "'ll", "it", "(", "×", "÷", "ŝ", "…", "-", "|", ">", "x,y", "'", "😀", "́", "é"]
 
 
 def ids(text):
@@ -35,7 +35,7 @@ def test_encoder_is_the_library():
             found, by_text = encode(data, offsets, 2)
             assert [found[a:b].tolist() for a, b in zip(by_text, by_text[1:])] == [ids(x) for x in part]
     data, offsets = flat(pa.array([], pa.large_binary()))
-    assert t.Encoder(t.TOKENIZER)(data, offsets, None)[0].tolist() == []
+    assert t.Encoder(t.TOKENIZER, 9)(data, offsets, None)[0].tolist() == []
 
 
 def documents():
