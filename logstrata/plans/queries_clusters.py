@@ -35,7 +35,7 @@ def parsed_lines(t):
 
 
 @query("syslog_lines", "B10", "log_lines", """
-SELECT line_no, session_id, 'syslog' AS format, concat(CASE WHEN k % 2 = 0 THEN 'retry: ' ELSE '' END, severity) AS message, CAST(NULL AS STRING) AS severity FROM log_lines WHERE component = 'postgresql'""")
+SELECT line_no, session_id, component, 'syslog' AS format, concat(CASE WHEN k % 2 = 0 THEN 'retry: ' ELSE '' END, severity) AS message, CAST(NULL AS STRING) AS severity FROM log_lines""")
 def syslog_lines(t):
     text = F.concat(F.lit("host: proc: "), F.when(F.col("k") % 2 == 0, "retry: ").otherwise(""), F.col("severity"))
     rows = t.log_lines().where("component = 'postgresql'").withColumn("content", text).select("session_id", "path", "line_no", "content")
@@ -170,13 +170,41 @@ def template_instances(t):
     return clusters.pattern_instances(patterns, lines.select("session_id", "path", "line_no", "content"), 50).select(F.col("pattern_id").alias("template"), "session_id", "path", "line_no")
 
 
-@query("free_text_templates", "J3", "log_lines", None)
+@query("free_text_templates", "J3", "log_lines", """
+WITH RECURSIVE texts AS MATERIALIZED (SELECT DISTINCT component, message AS text, list_filter(regexp_split_to_array(trim(message), '\\s+'), lambda x: x <> '') AS w FROM log_lines),
+named AS MATERIALIZED (SELECT *, md5(concat_ws(chr(1), 'lenma', component, len(w), array_to_string(list_sort(list_distinct(w)), ' '))) AS id FROM texts),
+sets AS MATERIALIZED (SELECT DISTINCT id, component, list_sort(list_distinct(w)) AS s, len(w) AS n FROM named),
+rounds AS (SELECT 0 AS k, id, component, s, n FROM sets UNION ALL
+ SELECT k + 1, r.id, r.component, r.s, r.n FROM rounds r, (SELECT min(id) AS id, arg_min(component, id) AS component, arg_min(s, id) AS s, arg_min(n, id) AS n FROM rounds) l
+ WHERE r.id <> l.id AND NOT (r.component = l.component AND abs(r.n - l.n) <= 5 AND len(list_intersect(r.s, l.s)) / len(list_distinct(list_concat(r.s, l.s))) >= 0.5)),
+leaders AS MATERIALIZED (SELECT s.* FROM sets s JOIN (SELECT min(id) AS id FROM rounds GROUP BY k) USING (id)),
+scored AS (SELECT s.id, l.id AS leader, len(list_intersect(s.s, l.s)) / len(list_distinct(list_concat(s.s, l.s))) AS share FROM sets s JOIN leaders l ON s.component = l.component AND abs(s.n - l.n) <= 5),
+chosen AS MATERIALIZED (SELECT id, leader FROM scored WHERE share >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY id <> leader AND id IN (SELECT id FROM leaders), share DESC, leader) = 1),
+places AS (SELECT leader, pos, CASE WHEN min(x) = max(x) THEN min(x) ELSE '<*>' END AS x FROM (SELECT leader, unnest(w) AS x, unnest(range(0, len(w))) AS pos FROM named JOIN chosen USING (id)) p GROUP BY 1, 2),
+merged AS (SELECT leader, string_agg(x, ' ' ORDER BY pos) AS template FROM places JOIN (SELECT leader, min(len(w)) AS n FROM named JOIN chosen USING (id) GROUP BY 1) m USING (leader) WHERE pos < n GROUP BY 1)
+SELECT component, text, template FROM named JOIN chosen USING (id) JOIN merged USING (leader)""")
 def free_text_templates(t):
-    rows = t.log_lines().where("component = 'postgresql'").select("component", "message", "session_id", "path", "line_no")
-    return clusters.lenma(rows)
-
-
-@query("keyword_templates", "J4", "text_lines", None)
+    return clusters.lenma(t.log_lines().select("component", "message", "session_id", "path", "line_no"))
+
+
+KEYWORD = " AND ".join([
+    "length(x) > 3", "regexp_full_match(x, '\\pL+')", f"x NOT IN ({', '.join(repr(w) for w in clusters.STOP_WORDS)})",
+])
+
+
+@query("keyword_templates", "J4", "text_lines", f"""
+WITH RECURSIVE texts AS MATERIALIZED (SELECT component, content AS text, min((session_id, path, line_no)) AS first, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: {KEYWORD}))) AS s FROM text_lines GROUP BY 1, 2),
+named AS MATERIALIZED (SELECT *, CASE WHEN len(s) > 0 THEN md5(concat_ws(chr(1), 'semantic', component, array_to_string(s, ' '))) END AS id FROM texts),
+sets AS MATERIALIZED (SELECT DISTINCT id, component, s, len(s) AS n FROM named WHERE id IS NOT NULL),
+words AS MATERIALIZED (SELECT id, component, n, unnest(s) AS x FROM sets),
+links AS MATERIALIZED (SELECT a.id AS a, b.id AS b, count(*) / (a.n + b.n - count(*)) AS share FROM words a JOIN words b ON a.component = b.component AND a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.4),
+rounds AS (SELECT 0 AS k, id, 'open' AS state FROM sets UNION ALL
+ SELECT k + 1, r.id, CASE WHEN state <> 'open' THEN state WHEN led THEN 'member' WHEN coalesce(waits, FALSE) THEN 'open' ELSE 'leader' END FROM rounds r
+ LEFT JOIN (SELECT b AS id, bool_or(p.state = 'leader') AS led, bool_or(p.state = 'open') AS waits FROM links JOIN rounds p ON p.id = a WHERE a < b GROUP BY 1) e ON e.id = r.id WHERE EXISTS (SELECT 1 FROM rounds WHERE state = 'open')),
+leaders AS MATERIALIZED (SELECT id FROM rounds WHERE state = 'leader' AND k = (SELECT max(k) FROM rounds)),
+chosen AS MATERIALIZED (SELECT id, id AS leader FROM leaders UNION ALL SELECT a, b FROM links WHERE b IN (SELECT id FROM leaders) AND a NOT IN (SELECT id FROM leaders) QUALIFY row_number() OVER (PARTITION BY a ORDER BY share DESC, b) = 1),
+firsts AS (SELECT leader, arg_min(text, first) AS template FROM named JOIN chosen USING (id) GROUP BY 1)
+SELECT component, text, coalesce(template, '') AS template FROM named LEFT JOIN chosen USING (id) LEFT JOIN firsts USING (leader)""")
 def keyword_templates(t):
     rows = t.text_lines().select("component", F.col("content").alias("message"), "session_id", "path", "line_no")
     return clusters.keyword_clusters(rows)
