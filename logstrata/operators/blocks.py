@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import with_blocks
+from ..session import cut_lineage
 
 FILE = ["session_id", "path"]
-BACK, FORWARD = 100, 199
+PIECE = 1024
 
 # How the first line, the following lines and the end of an error look.
 START = r"""^(?:\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}.*(?:ERROR|FATAL|CRITICAL)|E, \[\d{4}-\d{2}-\d{2}|\s*Traceback \(most recent call last\)|Exception in thread|panic:|\{\s*"(?:level|severity)"\s*:\s*"(?:error|fatal|critical)"|goroutine \d+|FATAL:|PANIC:)"""
@@ -41,54 +41,125 @@ def line_codes(content: Column) -> tuple[Column, Column]:
     return forward, backward
 
 
-def error_blocks(lines: DataFrame, matched: Column) -> DataFrame:
-    """Matched lines with `block_start`, `block_end`, the block's lines in `block` and `context_before/after` (5 lines).
+#: Forward, from a match on: blanks, then continuations with single blanks between them, and a blank after the last one.
+REACH = "^B*C(?:C|B(?=C))*B?"
 
-    The reach is bounded (100 lines back, 199 forward), so every file is cut into overlapping pieces and
-    shuffled once. A scan is a regular expression over the letters of the neighbouring lines. Letters are
-    gathered only around matches that have a continuation or a blank next to them.
-    """
-    piece = [*FILE, "_block"]
-    order = Window.partitionBy(*piece).orderBy("line_no")
-    near5 = lambda a, b: order.rangeBetween(a, b)
+
+def _pieces(marked: DataFrame, matched: Column, extra: list[str]) -> DataFrame:
+    """A row for each piece of a file, PIECE lines: its letters as two strings, its matches, and what a scan that enters or leaves the
+    piece needs to know. Only letters are shuffled, never text; adjacent lines meet in lists before that."""
     forward, backward = line_codes(F.col("content"))
-    rows = (
-        with_blocks(lines, BACK, FORWARD).withColumn("_m", matched).withColumn("_f", forward).withColumn("_b", backward)
-    )
-    stacked = F.col("_m") & (F.lead("_f").over(order).isin("C", "B") | F.lag("_b").over(order).isin("C", "B"))
-    rows = rows.withColumn("_stacked", F.coalesce(stacked, F.lit(False)))
-    rows = rows.withColumn("_near", F.max("_stacked").over(near5(-FORWARD, BACK)))
-    rows = rows.withColumn("_near5", F.max("_m").over(near5(-5, 5))).where("_near or _near5")
-
-    text = lambda c, a, b: F.array_join(F.collect_list(F.when(F.col("_near"), F.col(c))).over(near5(a, b)), "")
-    after, before = text("_f", 1, FORWARD), F.reverse(text("_b", -BACK, -1))
-    rows = rows.withColumn("_after", after).withColumn("_before", before)
-    last = F.right("_before", F.lit(1))
-    seen = F.concat(F.expr("left(_before, length(_before) - 1)"), F.when(last.isin("C", "X"), "X").otherwise("N"))
-    n_after = F.length(F.regexp_extract("_after", "^B*C(?:C|B(?=C))*B?", 0))
-    n_before = F.length(F.regexp_extract(seen, "^[CB]*(?:C|B(?=X))", 0))
-    use = F.col("_m") & F.col("_stacked")
-    rows = rows.withColumn("block_start", F.when(use, F.col("line_no") - n_before).otherwise(F.when(F.col("_m"), F.col("line_no"))))
-    rows = rows.withColumn("block_end", F.when(use, F.col("line_no") + n_after).otherwise(F.when(F.col("_m"), F.col("line_no"))))
-
-    multi = F.col("block_end") > F.col("block_start")
-    in_block = (
-        (F.max(F.when(multi, F.col("block_end"))).over(near5(-FORWARD, 0)) >= F.col("line_no"))
-        | (F.min(F.when(multi, F.col("block_start"))).over(near5(0, BACK)) <= F.col("line_no"))
+    mark = F.when(F.coalesce(matched, F.lit(False)), F.struct("line_no", *extra))
+    rows = marked.select(*FILE, F.floor((F.col("line_no") - 1) / PIECE).alias("piece"), F.struct("line_no", forward.alias("f"), backward.alias("b"), mark.alias("mark")).alias("line"))
+    lines = rows.groupBy(*FILE, "piece").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    pieces = lines.select(
+        *FILE, "piece", F.col("lines")[0]["line_no"].alias("base"), F.size("lines").alias("n"), F.array_join("lines.f", "").alias("f"),
+        F.array_join("lines.b", "").alias("b"), F.filter("lines.mark", lambda m: m.isNotNull()).alias("marks"),
     )
-    rows = rows.withColumn("_text", F.when(in_block, F.struct("line_no", "content")))
-    gathered = F.collect_list("_text").over(near5(-BACK, FORWARD))
-    inside = F.filter(gathered, lambda x: (x["line_no"] >= F.col("block_start")) & (x["line_no"] <= F.col("block_end")))
-    block = F.when(multi, F.transform(inside, lambda x: x["content"])).otherwise(F.array("content"))
-    rows = (
-        rows.withColumn("block", block)
-        .withColumn("context_before", F.collect_list("content").over(near5(-5, -1)))
-        .withColumn("context_after", F.collect_list("content").over(near5(1, 5)))
-        # an earlier match may own this line: its block reaches here
-        .withColumn("covered", F.coalesce(F.max("block_end").over(near5(-FORWARD, -1)) >= F.col("line_no"), F.lit(False)))
+    own = Window.partitionBy(*FILE).orderBy("piece")  # a row for each PIECE lines
+    # the first line of a file is no part of a block above a match; it counts as the start of an entry if it looks like a continuation
+    first = F.lag("piece").over(own).isNull()
+    head = F.when(F.left("b", F.lit(1)).isin("C", "X"), "X").otherwise("N")
+    pieces = pieces.withColumn("b", F.when(first, F.concat(head, F.expr("substring(b, 2)"))).otherwise(F.col("b"))).withColumn("next", F.left(F.lead("f").over(own), F.lit(1)))
+
+    at = lambda pos: F.when(pos > 0, F.col("base") + pos - 1)
+    tail = F.concat("f", F.coalesce("next", F.lit("N")))  # with the letter after the piece, to know whether a last blank goes on
+    stop = lambda text, ahead: F.when(F.length(text) > 1, F.length(F.regexp_extract(text, "^(?:C|B(?=C))*", 0)) + 1 + ahead)
+    blanks = F.length(F.regexp_extract("f", "^B*", 0))
+    inner = F.expr("substring(tail, blanks + 1)")
+    pieces = pieces.withColumn("tail", tail).withColumn("blanks", blanks)
+    pieces = pieces.withColumn("stop", stop(F.col("tail"), F.lit(0))).withColumn("inner_stop", stop(inner, F.col("blanks")))
+    place = lambda c: F.when(F.col(c) <= F.col("n"), F.struct(at(F.col(c)).alias("at"), (F.expr(f"substring(f, {c}, 1)") == "B").alias("blank")))
+    pieces = pieces.withColumn("stop", place("stop")).withColumn("inner_stop", place("inner_stop"))
+    after = own.rowsBetween(1, Window.unboundedFollowing)
+    pieces = pieces.withColumn("next_stop", F.first("stop", ignorenulls=True).over(after))
+    filled = F.when(F.col("blanks") < F.col("n"), F.struct((F.expr("substring(f, blanks + 1, 1)") == "C").alias("continues"), F.coalesce("inner_stop", "next_stop").alias("stop")))
+    pieces = pieces.withColumn("next_filled", F.first(filled, ignorenulls=True).over(after))
+    pieces = pieces.withColumn("last_line", F.max(F.col("base") + F.col("n") - 1).over(Window.partitionBy(*FILE)))
+
+    # backward: the last line before the piece that is neither continuation nor blank, and the first continuation after it
+    run = F.length(F.regexp_extract("b", "[CB]*$", 0))
+    pieces = pieces.withColumn("wall", F.when(run < F.col("n"), F.struct(at(F.col("n") - run).alias("at"), (F.expr(f"substring(b, n - length(regexp_extract(b, '[CB]*$', 0)), 1)") == "X").alias("looks"))))
+    lead = F.locate("C", F.right("b", run))
+    pieces = pieces.withColumn("lead", at(F.when(lead > 0, F.col("n") - run + lead))).withColumn("segment", F.count("wall").over(own))
+    pieces = pieces.withColumn("lead", F.first("lead", ignorenulls=True).over(Window.partitionBy(*FILE, "segment").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = pieces.withColumn("wall", F.last("wall", ignorenulls=True).over(own))
+    return pieces.withColumn("wall_before", F.lag("wall").over(own)).withColumn("lead_before", F.lag("lead").over(own))
+
+
+def block_bounds(marked: DataFrame, matched: Column, extra: list[str] | None = None) -> DataFrame:
+    """(session_id, path, line_no, block_start, block_end, covered) of the matched lines, and the columns `extra`.
+
+    A block goes from the match over what belongs to it, to where that ends, however far. Files are cut into pieces, each scanned on
+    its own as if entered in any state; where a scan leaves a piece, the next piece's summary says where it ends. covered: the block
+    of an earlier match reaches this line.
+    """
+    extra = extra or []
+    hits = _pieces(marked, matched, extra).select("*", F.explode("marks").alias("mark"))
+    hits = hits.withColumn("i", (F.col("mark.line_no") - F.col("base") + 1).cast("int")).withColumn("line_no", F.col("mark.line_no"))
+    hits = hits.withColumn("after", F.expr("substring(f, i + 1)")).withColumn("before", F.expr("left(b, i - 1)"))
+    hits = hits.withColumn("reach", F.length(F.regexp_extract("after", REACH, 0)))
+    piece_end = F.col("base") + F.col("n") - 1
+    to_stop = lambda c: F.coalesce(F.when(F.col(f"{c}.blank"), F.col(f"{c}.at")).otherwise(F.col(f"{c}.at") - 1), F.col("last_line"))
+    waits = F.col("after").rlike("^B*$") & F.col("next").isNotNull()
+    leaves = (F.col("reach") > 0) & (F.col("reach") == F.length("after")) & ((F.right("after", F.lit(1)) == "C") | (F.col("next") == "C"))
+    end = (
+        F.when(waits, F.when(F.col("next_filled.continues"), to_stop("next_filled.stop")).otherwise(F.col("line_no")))
+        .when(leaves & F.col("next").isNotNull(), to_stop("next_stop")).otherwise(F.least(F.col("line_no") + F.col("reach"), piece_end))
     )
-    hidden = ["_block", "_home", "_m", "_f", "_b", "_stacked", "_near", "_near5", "_after", "_before", "_text"]
-    return rows.where("_m and _home").drop(*hidden)
+    # backward, within the piece if there is a wall, else from the pieces before
+    run = F.length(F.regexp_extract("before", "[CB]*$", 0))
+    local = F.length("before") > run
+    looks = F.when(local, F.expr("substring(before, length(before) - length(regexp_extract(before, '[CB]*$', 0)), 1)") == "X").otherwise(F.coalesce("wall_before.looks", F.lit(False)))
+    wall = F.when(local, F.col("line_no") - run - 1).otherwise(F.col("wall_before.at"))
+    lead = F.locate("C", F.right("before", run))
+    lead = F.when(lead > 0, F.col("line_no") - run + lead - 1)
+    start = F.when(looks, wall + 1).otherwise(F.coalesce(F.when(~local, F.col("lead_before")), lead, F.col("line_no")))
+    hits = hits.select(*FILE, "piece", "line_no", *[F.col(f"mark.{c}").alias(c) for c in extra], start.alias("block_start"), end.alias("block_end"))
+    hits = cut_lineage(hits)
+    ends = hits.groupBy(*FILE, "piece").agg(F.max("block_end").alias("end"))
+    earlier = Window.partitionBy(*FILE).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*FILE, "piece", F.max("end").over(earlier).alias("before"))
+    local = Window.partitionBy(*FILE, "piece").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("own", F.max("block_end").over(local)).join(ends, [*FILE, "piece"])
+    covered = F.coalesce(F.greatest("own", "before") >= F.col("line_no"), F.lit(False))
+    return hits.select(*FILE, "line_no", *extra, "block_start", "block_end", covered.alias("covered"))
+
+
+def near(lines: DataFrame, ranges: DataFrame, piece: int = PIECE, most: int = 500_000) -> DataFrame:
+    """lines (session_id, path, line_no, ...) joined with the ranges (session_id, path, first, last, ...) that they lie in.
+
+    Only lines of pieces with a range leave the scan: the pieces' list is broadcast if it has `most` rows or fewer, and joined as any
+    table beyond.
+    """
+    ranges = cut_lineage(ranges.withColumn("piece", F.explode(F.sequence(F.floor((F.col("first") - 1) / piece), F.floor((F.col("last") - 1) / piece)))))
+    wanted = ranges.select(*FILE, "piece").distinct()
+    wanted = F.broadcast(wanted) if ranges.count() <= most else wanted
+    rows = lines.withColumn("piece", F.floor((F.col("line_no") - 1) / piece)).join(wanted, [*FILE, "piece"], "left_semi")
+    return rows.join(ranges, [*FILE, "piece"]).where((F.col("line_no") >= F.col("first")) & (F.col("line_no") <= F.col("last"))).drop("piece", "first", "last")
+
+
+def error_blocks(lines: DataFrame, matched: Column, text: DataFrame | None = None, first_only: bool = False) -> DataFrame:
+    """Matched lines with `block_start`, `block_end`, the block's lines in `block`, `context_before/after` (5 lines) and `covered`.
+
+    The bounds come first, from letters. Text is read in a second scan, and only lines near matches are shuffled. `text` has
+    (session_id, path, line_no, content) if that is cheaper than reading `lines` again; `first_only` leaves out covered matches before
+    any text is read, so a trace with many matches is gathered once.
+    """
+    extra = [c for c in lines.columns if c not in (*FILE, "line_no", "content")]
+    hits = block_bounds(lines, matched, extra)
+    hits = cut_lineage(hits.where("not covered") if first_only else hits)
+    ranges = hits.select(*FILE, F.col("line_no").alias("hit"), "block_start", "block_end", F.greatest(F.least("block_start", F.col("line_no") - 5), F.lit(1)).alias("first"), F.greatest("block_end", F.col("line_no") + 5).alias("last"))
+    text = (lines if text is None else text).select(*FILE, "line_no", "content")
+    rows = near(text, ranges).withColumn("line", F.struct("line_no", "content"))
+    inside = lambda a, b: F.sort_array(F.collect_list(F.when(F.col("line_no").between(a, b), F.col("line")))).getField("content")
+    hit = F.col("hit")
+    found = rows.groupBy(*FILE, "hit").agg(
+        F.max(F.when(F.col("line_no") == hit, F.col("content"))).alias("content"), inside(F.col("block_start"), F.col("block_end")).alias("block"),
+        inside(hit - 5, hit - 1).alias("context_before"), inside(hit + 1, hit + 5).alias("context_after"),
+    ).withColumnRenamed("hit", "line_no")
+    out = hits.join(found, [*FILE, "line_no"])
+    return out.select(*lines.columns, "block_start", "block_end", "block", "context_before", "context_after", "covered")
 
 
 def first_per_block(matches: DataFrame) -> DataFrame:

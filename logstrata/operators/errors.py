@@ -15,7 +15,7 @@ from ..functions.paths import node_of
 from ..functions.severity import class_of, class_steps, component_by_path, quick_error
 from ..functions.text import correlation_ids, error_signature, extract_ts, match_hash
 from ..session import cut_lineage
-from .blocks import block_format, error_blocks, first_per_block, stack_trace, trace_dialect
+from .blocks import block_format, error_blocks, stack_trace, trace_dialect
 
 FILE = ["session_id", "path"]
 SEVERITY_RANK = {"CRITICAL": 0, "ERROR": 1, "WARNING": 2}
@@ -134,7 +134,7 @@ def related_counts(matches: DataFrame, lines: DataFrame) -> DataFrame:
 def scan_errors(lines: DataFrame, patterns: DataFrame | None = None, related: bool = True) -> DataFrame:
     """Full scan: excluded files, gate, harmless lines, best pattern, block, message, ids, trace."""
     rows = lines.select(*FILE, "line_no", "content")
-    hits = first_per_block(error_blocks(with_pattern(rows, patterns), F.col("rank").isNotNull()))
+    hits = error_blocks(with_pattern(rows, patterns), F.col("rank").isNotNull(), rows, first_only=True)
     hits = with_pattern_info(hits, patterns)
     hits = compute_once(hits, fields=parse_json(F.col("content")))
     fmt = block_format(F.col("content"))

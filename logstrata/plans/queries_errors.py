@@ -8,11 +8,17 @@ from ..functions.error_rules import candidate_line, gate_words, is_false_positiv
 from ..functions.fields import with_fields
 from ..functions.severity import classify_json, word_severity
 from ..operators import errors, search
-from ..operators.blocks import block_format, error_blocks, first_per_block, stack_trace
+from ..operators.blocks import CONTINUATION, END, START, block_bounds, block_format, error_blocks, first_per_block, stack_trace
 from ..operators.ordered import number_rows
 from .queries_search import file_catalog
 from .registry import query
 
+
+
+def sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 # what the derived lines must match: harmless INFO lines drop out, the rest by the best pattern
 MATCHED = """matched AS (SELECT *, CASE WHEN contains(message, 'deadlock') THEN 'postgres_deadlock' WHEN contains(message, 'lock timeout') THEN 'postgres_lock_timeout'
   WHEN contains(message, 'could not connect') THEN 'postgres_connect_refused' END AS pattern_id FROM log_lines WHERE severity IN ('ERROR', 'FATAL')),
@@ -161,10 +167,27 @@ def monitoring_lines(t):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("error_block_bounds", "F2 F4", "text_lines", None)
+LETTERS = """l AS MATERIALIZED (SELECT session_id, path, line_no, content, regexp_matches(content, '(?i)error|password|license|er') AS m, regexp_matches(content, $cont$) AS c, regexp_matches(content, $start$) AS s, regexp_matches(content, $end$) AS e, regexp_full_match(content, '[ \\t\\n\\v\\f\\r]*') AS blank FROM text_lines),
+letters AS MATERIALIZED (SELECT session_id, path, line_no, content, m, CASE WHEN e THEN 'E' WHEN c THEN 'C' WHEN blank THEN 'B' ELSE 'N' END AS f,
+ CASE WHEN line_no = 1 THEN CASE WHEN c THEN 'X' ELSE 'N' END WHEN s AND c THEN 'X' WHEN s THEN 'S' WHEN c THEN 'C' WHEN blank THEN 'B' ELSE 'N' END AS b FROM l),
+seen AS MATERIALIZED (SELECT *, f <> 'C' AND NOT (f = 'B' AND coalesce(lead(f) OVER w, 'N') = 'C') AS stops, max(line_no) OVER (PARTITION BY session_id, path) AS last FROM letters WINDOW w AS (PARTITION BY session_id, path ORDER BY line_no)),
+reach AS MATERIALIZED (SELECT *, min(CASE WHEN stops THEN line_no END) OVER (PARTITION BY session_id, path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop, min(CASE WHEN f <> 'B' THEN line_no END) OVER n AS filled,
+ max(CASE WHEN b NOT IN ('C', 'B') THEN line_no END) OVER (PARTITION BY session_id, path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wall, min(CASE WHEN b = 'C' THEN line_no END) OVER n AS lead
+ FROM seen WINDOW n AS (PARTITION BY session_id, path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))""".replace("$cont$", sql_text(CONTINUATION)).replace("$start$", sql_text(START)).replace("$end$", sql_text(END))
+
+
+@query("error_block_bounds", "F2 F4", "text_lines", f"""
+WITH {LETTERS}
+SELECT h.session_id, h.path, h.line_no, CASE WHEN wall.b = 'X' THEN h.wall + 1 WHEN wall.lead < h.line_no THEN wall.lead ELSE h.line_no END AS block_start,
+ CASE WHEN filled.f = 'C' THEN coalesce(CASE WHEN stop.f = 'B' THEN stop.line_no ELSE stop.line_no - 1 END, h.last) ELSE h.line_no END AS block_end,
+ CASE WHEN starts_with(trim(h.content), '{{') AND contains(h.content, '"level"') THEN 'json' WHEN regexp_matches(h.content, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') THEN 'timestamp' WHEN starts_with(h.content, 'E, [') OR starts_with(h.content, 'I, [') THEN 'ruby'
+  WHEN contains(h.content, 'Traceback') THEN 'python_stack' WHEN regexp_matches(h.content, 'goroutine|\\.go:') THEN 'go_stack' ELSE 'text' END AS format
+FROM reach h LEFT JOIN reach wall ON wall.session_id = h.session_id AND wall.path = h.path AND wall.line_no = h.wall
+LEFT JOIN reach filled ON filled.session_id = h.session_id AND filled.path = h.path AND filled.line_no = h.filled
+LEFT JOIN reach stop ON stop.session_id = h.session_id AND stop.path = h.path AND stop.line_no = filled.stop WHERE h.m""")
 def error_block_bounds(t):
-    rows = error_blocks(t.text_lines().select("session_id", "path", "line_no", "content"), F.col("content").rlike("(?i)error|password|license"))
-    return rows.select("session_id", "path", "line_no", "block_start", "block_end", block_format(F.col("content")).alias("format"))
+    rows = t.text_lines().select("session_id", "path", "line_no", "content", block_format(F.col("content")).alias("format"))
+    return block_bounds(rows, F.col("content").rlike("(?i)error|password|license|er"), ["format"]).drop("covered")
 
 
 @query("error_block_lines", "F2 F3", "kube_events", """

@@ -15,7 +15,7 @@ START, CONT, END = (re.compile(x) for x in (blocks.START, blocks.CONTINUATION, b
 def bounds(texts, m):
     """Reach of a block, scanned line by line."""
     start = end = m
-    for i in range(m - 1, max(0, m - 100), -1):
+    for i in range(m - 1, 0, -1):
         if START.match(texts[i]):
             break
         if CONT.match(texts[i]):
@@ -25,7 +25,7 @@ def bounds(texts, m):
         elif CONT.match(texts[i - 1]):
             start = i
     stacked = False
-    for i in range(m + 1, min(len(texts), m + 200)):
+    for i in range(m + 1, len(texts)):
         if END.match(texts[i]):
             break
         if CONT.match(texts[i]):
@@ -43,8 +43,10 @@ KINDS = ["ERROR boom", "  at frame(x)", "   ", "", "Traceback (most recent call
          "2024-01-01 00:00:00 INFO ok", "  Traceback (most recent call last): in", "Caused by: y", "2024-01-01 00:00:01 ERROR z"]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_block_bounds(spark, seed):
+@pytest.mark.parametrize("seed, piece", [(1, 1024), (2, 3), (3, 7), (4, 1)])
+def test_block_bounds(spark, seed, piece, monkeypatch):
+    """The same bounds whatever the pieces' length is: blocks cross any number of pieces."""
+    monkeypatch.setattr(blocks, "PIECE", piece)
     rng = random.Random(seed)
     weights = [2, 6, 3, 1, 1, 3, 1, 1, 1, 1, 1] if seed < 3 else [1, 30, 2, 0, 0, 5, 0, 0, 1, 1, 0]
     texts = rng.choices(KINDS, weights, k=900)
@@ -60,6 +62,12 @@ def test_block_bounds(spark, seed):
         assert r.covered == any(m < r.line_no <= e for m, (_, e) in expected.items())
 
 
+def test_a_long_trace_is_one_block(spark):
+    texts = ["2024-01-01 00:00:00 INFO start", "ERROR boom: kernel panic"] + [f"  at frame{k}(x) ERROR: deadlock detected" for k in range(10_000)] + ["2024-01-01 00:00:01 INFO next"]
+    (row,) = blocks.error_blocks(lines_frame(spark, texts), F.col("content").contains("ERROR"), first_only=True).collect()
+    assert (row.line_no, row.block_start, row.block_end) == (2, 2, 10_002) and row.block == texts[1:-1]
+
+
 def test_traces_and_scan(spark):
     texts = [
         "2024-01-01 00:00:00 INFO start", "Traceback (most recent call last):", '  File "x.py", line 1', "    raise E", "ValueError: bad",
