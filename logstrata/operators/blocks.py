@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .ordered import near
 
 FILE = ["session_id", "path"]
 PIECE = 1024
@@ -126,19 +127,6 @@ def block_bounds(marked: DataFrame, matched: Column, extra: list[str] | None = N
     return hits.select(*FILE, "line_no", *extra, "block_start", "block_end", covered.alias("covered"))
 
 
-def near(lines: DataFrame, ranges: DataFrame, piece: int = PIECE, most: int = 500_000) -> DataFrame:
-    """lines (session_id, path, line_no, ...) joined with the ranges (session_id, path, first, last, ...) that they lie in.
-
-    Only lines of pieces with a range leave the scan: the pieces' list is broadcast if it has `most` rows or fewer, and joined as any
-    table beyond.
-    """
-    ranges = cut_lineage(ranges.withColumn("piece", F.explode(F.sequence(F.floor((F.col("first") - 1) / piece), F.floor((F.col("last") - 1) / piece)))))
-    wanted = ranges.select(*FILE, "piece").distinct()
-    wanted = F.broadcast(wanted) if ranges.count() <= most else wanted
-    rows = lines.withColumn("piece", F.floor((F.col("line_no") - 1) / piece)).join(wanted, [*FILE, "piece"], "left_semi")
-    return rows.join(ranges, [*FILE, "piece"]).where((F.col("line_no") >= F.col("first")) & (F.col("line_no") <= F.col("last"))).drop("piece", "first", "last")
-
-
 def error_blocks(lines: DataFrame, matched: Column, text: DataFrame | None = None, first_only: bool = False) -> DataFrame:
     """Matched lines with `block_start`, `block_end`, the block's lines in `block`, `context_before/after` (5 lines) and `covered`.
 

@@ -125,9 +125,11 @@ def error_meta(content: Column, fields: Column | str, block: Column) -> Column:
 
 
 def related_counts(matches: DataFrame, lines: DataFrame) -> DataFrame:
-    """Matches with `related`: lines of the same file that carry the same correlation id."""
+    """Matches with `related`: lines of the same file that carry the same correlation id. Of all lines' ids, only those of matches go
+    into the count."""
+    wanted = cut_lineage(matches.where("correlation_id IS NOT NULL").select(*FILE, "correlation_id").distinct())
     ids = lines.select(*FILE, F.explode(correlation_ids(F.col("content"), wide=True)).alias("correlation_id"))
-    counts = ids.groupBy(*FILE, "correlation_id").agg(F.count(F.lit(1)).alias("related"))
+    counts = ids.join(wanted, [*FILE, "correlation_id"], "left_semi").groupBy(*FILE, "correlation_id").agg(F.count(F.lit(1)).alias("related"))
     return matches.join(counts, [*FILE, "correlation_id"], "left").withColumn("related", F.coalesce("related", F.lit(0).cast("bigint")))
 
 
@@ -149,7 +151,7 @@ def scan_errors(lines: DataFrame, patterns: DataFrame | None = None, related: bo
         .withColumn("signature", error_signature(F.col("pattern_id"), F.col("message")))
         .withColumn("match_hash", match_hash(F.col("component"), F.col("pattern_id"), F.col("message")))
     )
-    return related_counts(hits, rows) if related else hits
+    return related_counts(cut_lineage(hits), rows) if related else hits
 
 
 # groups and reports -------------------------------------------------------------------------------

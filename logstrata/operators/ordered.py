@@ -67,6 +67,20 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
+def near(lines: DataFrame, ranges: DataFrame, piece: int = 1024, most: int = 500_000) -> DataFrame:
+    """lines (session_id, path, line_no, ...) joined with the ranges (session_id, path, first, last, ...) that they lie in.
+
+    Only lines of pieces with a range leave the scan: the pieces' list is broadcast if it has `most` rows or fewer, and joined as any
+    table beyond.
+    """
+    keys = ["session_id", "path"]
+    ranges = cut_lineage(ranges.withColumn("piece", F.explode(F.sequence(F.floor((F.col("first") - 1) / piece), F.floor((F.col("last") - 1) / piece)))))
+    wanted = ranges.select(*keys, "piece").distinct()
+    wanted = F.broadcast(wanted) if ranges.count() <= most else wanted
+    rows = lines.withColumn("piece", F.floor((F.col("line_no") - 1) / piece)).join(wanted, [*keys, "piece"], "left_semi")
+    return rows.join(ranges, [*keys, "piece"]).where((F.col("line_no") >= F.col("first")) & (F.col("line_no") <= F.col("last"))).drop("piece", "first", "last")
+
+
 def with_blocks(lines: DataFrame, before: int, after: int, block: int | None = None) -> DataFrame:
     """Cut each file into blocks of consecutive lines; every row is also copied to the blocks whose home
     rows can see it, that is those within `before` lines ahead of it or `after` lines behind it.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import field
 from ..functions.predicates import contains, java_regex, valid_regex
-from .ordered import with_blocks
+from .ordered import near
 
 FILE = ["session_id", "path"]
 
@@ -56,17 +56,18 @@ def with_file_info(lines: DataFrame, files: DataFrame, *columns: str) -> DataFra
 def with_context(lines: DataFrame, n: int, hit: Column) -> DataFrame:
     """Hits with the `n` lines before and after them in `context_before` / `context_after`.
 
-    One shuffle on (file, block of lines). Lines far from any hit are dropped before text is gathered.
+    Hits come first, as places without text. A second scan keeps the lines of small stretches of a file that hold a hit's
+    surroundings, and only those are shuffled.
     """
-    rows = with_blocks(lines, n, n).withColumn("_hit", hit)
-    piece = [*FILE, "_block"]
-    near = Window.partitionBy(*piece).orderBy("line_no").rangeBetween(-n, n)
-    rows = rows.withColumn("_near", F.max("_hit").over(near)).where("_near")
-    order = Window.partitionBy(*piece).orderBy("line_no")
-    rows = rows.withColumn("context_before", F.collect_list("content").over(order.rangeBetween(-n, -1))).withColumn(
-        "context_after", F.collect_list("content").over(order.rangeBetween(1, n))
+    at = lines.where(hit).select(*FILE, F.col("line_no").alias("hit"), F.greatest(F.col("line_no") - n, F.lit(1)).alias("first"), (F.col("line_no") + n).alias("last"))
+    rows = near(lines, at, piece=max(16, 2 * n)).withColumn("line", F.struct("line_no", "content"))
+    own = F.struct(*[F.col(c) for c in lines.columns])
+    around = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("line")))).getField("content")
+    found = rows.groupBy(*FILE, "hit").agg(
+        F.first(F.when(F.col("line_no") == F.col("hit"), own), ignorenulls=True).alias("own"),
+        around(F.col("line_no") < F.col("hit")).alias("context_before"), around(F.col("line_no") > F.col("hit")).alias("context_after"),
     )
-    return rows.where("_hit and _home").drop("_hit", "_near", "_home", "_block")
+    return found.select("own.*", "context_before", "context_after")
 
 
 def limit_hits(hits: DataFrame, n: int) -> DataFrame:

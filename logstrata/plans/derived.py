@@ -7,11 +7,14 @@ Each table is one SQL text that Spark and the oracle both read. The one differen
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import compute_once
 from ..operators.ordered import number_rows
+from ..session import checkpoint_dir
 
 LOG_BASE = """
 WITH e AS (
@@ -164,6 +167,12 @@ class Tables:
     def lines(self) -> DataFrame:
         return self.log_lines().select("session_id", "path", "line_no", "content")
 
+    def stored_lines(self, *columns: str) -> DataFrame:
+        """`log_lines` as Parquet in the shared folder, as a store of logs would hold them: for jobs that read lines more than once."""
+        path = f"{checkpoint_dir(self.spark)}/log-lines-{uuid4().hex}"
+        self.log_lines().select("session_id", "path", "line_no", "content", *columns).write.parquet(path)
+        return self.spark.read.parquet(path)
+
     def trace_events(self) -> DataFrame:
         return self.spark.sql(TRACE_EVENTS.replace("FROM log_lines", "FROM {rows}"), rows=self.log_lines())
 

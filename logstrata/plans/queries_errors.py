@@ -36,7 +36,7 @@ WITH {MATCHED}, r AS (SELECT session_id, path, correlation_id, count(*) AS relat
 SELECT f.session_id, f.path, line_no, pattern_id, message, f.correlation_id, CAST(status AS STRING) AS error_code, signature, related, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
   'postgresql' AS node, line_no AS block_start, line_no AS block_end FROM found f JOIN r ON f.session_id = r.session_id AND f.path = r.path AND f.correlation_id = r.correlation_id""")
 def error_scan(t):
-    return errors.scan_errors(t.lines()).select(
+    return errors.scan_errors(t.stored_lines()).select(
         "session_id", "path", "line_no", "pattern_id", "message", "correlation_id", "error_code", "signature", "related",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "node", "block_start", "block_end",
     )
@@ -47,14 +47,14 @@ WITH {MATCHED}, r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER
 SELECT signature, count(*) AS count, min(message) FILTER (rn = 1) AS message, 'ERROR' AS severity, 'PostgreSQL' AS component, min(pattern_id) AS pattern_id, TRUE AS has_correlation,
   FALSE AS has_stack_trace, count(DISTINCT session_id || path) AS file_count, string_agg(session_id || ':' || CAST(line_no AS STRING), '|' ORDER BY rn) FILTER (rn <= 3) AS samples FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def error_groups(t):
-    top = errors.error_report(errors.scan_errors(t.lines(), related=False))["top"]
+    top = errors.error_report(errors.scan_errors(t.stored_lines(), related=False))["top"]
     shown = F.transform("samples", lambda s: F.concat_ws(":", s["session_id"], s["line_no"]))
     return top.withColumn("samples", F.concat_ws("|", shown))
 
 
 @query("error_group_files", "E1", "log_lines", f"WITH {MATCHED} SELECT signature, session_id, path, count(*) AS count FROM found GROUP BY 1, 2, 3")
 def error_group_files(t):
-    return errors.error_group_files(errors.scan_errors(t.lines(), related=False))
+    return errors.error_group_files(errors.scan_errors(t.stored_lines(), related=False))
 
 
 @query("error_counts_by_severity", "E2", "log_lines", f"WITH {MATCHED} SELECT pattern_severity AS severity, count(*) AS count FROM found GROUP BY 1")
@@ -67,7 +67,7 @@ WITH {MATCHED}, g AS (SELECT signature, count(*) AS count, min_by(message, (sess
 SELECT 'PostgreSQL' AS component, 'ERROR' AS severity, regexp_replace(message, '\\b[0-9]+\\b', 'N', 'g') AS text, CAST(sum(count) AS BIGINT) AS total_count, count(*) AS problems FROM g
 WHERE contains(lower(message), 'lock') AND count >= 10 GROUP BY 3""")
 def problem_groups(t):
-    groups = errors.error_report(errors.scan_errors(t.lines(), related=False))["groups"]
+    groups = errors.error_report(errors.scan_errors(t.stored_lines(), related=False))["groups"]
     regular, _ = errors.split_monitoring(groups)
     kept = errors.filter_problems(regular, severity="error", component="PostgreSQL", text="LOCK", min_count=10)
     return errors.problem_groups(kept).select("component", "severity", "text", "total_count", "problems")

@@ -309,9 +309,9 @@ def hits_in_time_range(t):
 @query("hits_with_context", "F1", "log_lines", """
 WITH w AS (SELECT session_id, path, line_no, status, k, content, array_to_string(list(content) OVER (PARTITION BY session_id, path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|') AS before_text,
   array_to_string(list(content) OVER (PARTITION BY session_id, path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '|') AS after_text FROM log_lines)
-SELECT session_id, path, line_no, md5(content) AS content_hash, coalesce(before_text, '') AS before_text, coalesce(after_text, '') AS after_text FROM w WHERE status >= 500 AND k % 10 = 3""")
+SELECT session_id, path, line_no, md5(content) AS content_hash, coalesce(before_text, '') AS before_text, coalesce(after_text, '') AS after_text FROM w WHERE status >= 500""")
 def hits_with_context(t):
-    rows = search.with_context(t.log_lines().select("session_id", "path", "line_no", "content", "status", "k"), 2, (F.col("status") >= 500) & (F.col("k") % 10 == 3))
+    rows = search.with_context(t.stored_lines("status"), 2, F.col("status") >= 500)
     return rows.select("session_id", "path", "line_no", F.md5("content").alias("content_hash"), F.concat_ws("|", "context_before").alias("before_text"), F.concat_ws("|", "context_after").alias("after_text"))
 
 
@@ -319,7 +319,7 @@ def hits_with_context(t):
 WITH w AS (SELECT *, list(line_no) OVER (PARTITION BY session_id, path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM log_lines)
 SELECT session_id, path, count(*) AS hits, CAST(sum(len(around)) AS BIGINT) AS shown FROM w WHERE contains(lower(content), 'user 17 ') GROUP BY 1, 2""")
 def id_text_trace(t):
-    rows = search.trace_text(t.lines(), "user 17 ")
+    rows = search.trace_text(t.stored_lines(), "user 17 ")
     return rows.groupBy("session_id", "path").agg(
         F.count(F.lit(1)).alias("hits"), F.sum(F.size("context_before") + F.size("context_after") + 1).cast("bigint").alias("shown")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logstrata.functions import predicates as p
 from logstrata.functions.fields import field, with_fields
-from logstrata.operators import search
+from logstrata.operators import ordered, search
 from logstrata.plans import all_queries
 from logstrata.plans.derived import Tables
 from logstrata.plans.registry import runner
@@ -44,9 +44,16 @@ def test_search_parses_json_once_and_stays_in_one_stage(lines):
     assert "StringContains(path,rails)" in text
 
 
-def test_context_shuffles_once(lines):
-    text = plan(search.with_context(lines.select("session_id", "path", "line_no", "content"), 2, F.col("content").contains("ERROR")))
-    assert text.count("hashpartitioning") == 1
+def test_context_shuffles_only_lines_near_hits(spark):
+    lines = spark.range(1, 20_001).selectExpr("'s' AS session_id", "'a.log' AS path", "id AS line_no", "IF(id IN (7, 9000), 'ERROR', 'fine') AS content")
+    found = search.with_context(lines, 2, F.col("content").contains("ERROR"))
+    text = plan(found)
+    assert text.count("hashpartitioning") == 2  # of the list of stretches, and of the lines near hits
+    assert re.search(r"BroadcastHashJoin LeftSemi", text)
+    rows = ordered.near(lines, spark.createDataFrame([("s", "a.log", 8998, 9002)], "session_id string, path string, first long, last long"), piece=16)
+    assert rows.count() == 5
+    got = {r.line_no: (r.context_before, r.context_after) for r in found.collect()}
+    assert got == {7: (["fine"] * 2, ["fine"] * 2), 9000: (["fine"] * 2, ["fine"] * 2)}
 
 
 @pytest.mark.parametrize("name", ["line_classes", "error_summary"])
