@@ -107,13 +107,19 @@ def map_slices(fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordB
 
 def spans(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes with keep[byte] that lie in one text, and the len + 1 offsets of runs by text."""
-    inside = keep[data]
+    return runs(keep[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true bytes that lie in one text and cross no cut, and the len + 1 offsets of runs by text."""
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     edge = np.empty(len(inside) + 1, bool)
     edge[0] = edge[-1] = True
     edge[1:-1] = inside[1:] != inside[:-1]
     edge[offsets] = True
+    if cuts is not None:
+        edge[cuts] = True
     at = np.flatnonzero(edge)
     first = inside[at[:-1]]
     starts, ends = at[:-1][first], at[1:][first]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .arrays import ALNUM, U, grams, hash_spans, list_array, map_slices, mix, signed, spans
+from .arrays import ALNUM, U, grams, hash_spans, list_array, map_slices, mix, runs, signed
 
 #: Positions that count, six out of spans of 6 to 10 tokens: every overlap with an item of 13 tokens or more holds a hit, wherever its
 #: substituted tokens are.
@@ -25,17 +25,40 @@ SHORT = (
     (10, 12, ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))), (7, 9, ((0, 1, 3, 4),)), (6, 6, ((0, 1, 2),)), (5, 5, ((0, 1),)),
     *((n, n, (tuple(range(n)),)) for n in (4, 3, 2, 1)),
 )
-#: Items with fewer tokens match nothing, unless `shortest` says otherwise.
-SHORTEST = 7
+#: Items with fewer tokens, words that any clean text may hold, match nothing, unless `shortest` says otherwise.
+SHORTEST = 4
 #: An overlap counts from so many equal tokens and this share of equal ones in it.
 TOKENS, SHARE = 13, 0.8
 #: The filter has 2**MAX_BITS bits at most: 32 MB.
 MAX_BITS = 28
 
 
+def marks_and_signs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the characters that begin at these bytes (0xC2, or 0xE0 and above): which are marks, which belong to scripts that are written
+    without blanks between words (Han, kana, Thai, Lao, Burmese, Khmer), and their numbers of bytes. Blocks of Unicode decide."""
+    a, b, c = (data[np.minimum(at + k, len(data) - 1)] for k in range(3))
+    full = (a == 0xEF) & ((b == 0xBC) | (b == 0xBD))  # full-width forms of ASCII, half-width kana
+    full_mark = (b == 0xBC) & ((c < 0x90) | (c >= 0x9A) & (c <= 0xA0) | (c >= 0xBB)) | (b == 0xBD) & ((c == 0x80) | (c >= 0x9B) & (c <= 0xA5))
+    mark = (a == 0xC2) & ~np.isin(b, (0xAA, 0xB5, 0xBA)) | (a == 0xE2) & (b < 0xB0) | (a == 0xE3) & (b == 0x80) & ~np.isin(c, (0x85, 0x86, 0x87)) | full & full_mark | (a == 0xF0) & (b == 0x9F)
+    sign = (
+        (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F)) | (a >= 0xE3) & (a <= 0xE9) & ~mark
+        | (a == 0xEF) & ((b >= 0xA4) & (b <= 0xAB) | (b == 0xBD) & (c >= 0xA6) | (b == 0xBE) & (c < 0xA0)) | (a == 0xF0) & (b >= 0xA0) & (b <= 0xAF)
+    )
+    return mark, sign, np.where(a == 0xC2, 2, np.where(a >= 0xF0, 4, 3))
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (letters and digits; the text is already in lower case) and their offsets by text."""
-    starts, ends, by_text = spans(data, offsets, ALNUM)
+    """Hashes of the words (letters and digits; the text is already in lower case) and their offsets by text. In scripts without
+    blanks between words every character is a word."""
+    inside, cuts = ALNUM[data], None
+    at = np.flatnonzero((data == 0xC2) | (data >= 0xE0))
+    if len(at):
+        mark, sign, size = marks_and_signs(data, at)
+        for k in range(4):
+            own = at[mark & (size > k)] + k
+            inside[own[own < len(data)]] = False
+        cuts = np.minimum(np.concatenate([at[sign], at[sign] + size[sign]]), len(data))
+    starts, ends, by_text = runs(inside, offsets, cuts)
     return hash_spans(data, starts, ends), by_text
 
 
@@ -161,11 +184,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     """One row for each contaminated document and item: doc_id, item_id, doc_start, doc_end, item_start, item_end (token positions,
     end exclusive), equal_tokens, item_tokens. Documents without an overlap have no row.
 
-    Tokens are runs of letters and digits in lower case. An overlap is a stretch of aligned tokens with at least `share` of equal
+    Tokens are runs of letters and digits in lower case, single characters in scripts without blanks between words. An overlap is a stretch of aligned tokens with at least `share` of equal
     ones and at least `tokens_needed` equal ones, or `share` of the item's tokens, if that is fewer; of a document's overlaps with an item
     the one with most equal tokens is given (ties: the first in the document). It must hold a hit, all positions of one mask equal:
-    with the default masks, tokens_needed and share every overlap does. Items of fewer than `shortest` tokens match nothing. Null texts are empty; rows with a null id take part and return a null id. Rows that
-    repeat an id are reported together. Other columns are not looked at. An empty table gives no rows.
+    with the default masks, tokens_needed and share every overlap does. Items of fewer than `shortest` tokens match nothing. Null texts
+    are empty; rows with a null id take part and return a null id. Rows that repeat an id are reported together. Other columns are not looked at. An empty table gives no rows.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.lower(F.coalesce(F.col(item_text), F.lit(""))).alias("text"))
     id_type = items.schema["item_id"].dataType.simpleString()

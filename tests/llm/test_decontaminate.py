@@ -51,6 +51,7 @@ def test_planted_passages(spark):
             want.add((k, item))  # an item of 14 tokens keeps 12, one of 13 keeps 11
         docs.append((k, " ".join(body).title().replace(" ", ", ")))
     docs += [(500, " ".join(items[2][1].split()[:10] + words(rnd, 9))), (501, None), (502, ""), (None, items[1][1]), (3, "twice"), (503, items[5][1])]
+    want.add((503, 5))  # a short item, word for word
     found = d.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == want | {(None, 1)}
     texts = dict(reversed(docs))
@@ -124,3 +125,23 @@ def test_shorter_items_on_demand(spark):
     items.append((7, "试验文字"))
     found = d.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), shortest=1).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(n, n) for n in range(1, 7)} | {(15, 5), (16, 6), (17, 7)}
+
+
+def test_tokens_of_all_scripts():
+    texts = ["the cat, sat", "«don’t» stop…", "今天天气，很好。ok", "カタカナ と ひらがな", "ภาษาไทย", "ａｂｃ！１２ｄ", "ｶﾅ｡", "𠀀𠀁 😀 x", "żółw naïve ½µ", "한국어 말"]
+    want = [3, 3, 7, 9, 7, 2, 2, 3, 3, 2]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    hashes, by_text = d.tokens(np.frombuffer(b"".join(data), np.uint8), offsets)
+    assert np.diff(by_text).tolist() == want and len(hashes) == sum(want)
+    assert d.tokens(np.frombuffer("。天".encode(), np.uint8), np.array([0, 3, 6]))[1].tolist() == [0, 0, 1]
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    items = [(1, "Which river crosses seven old capitals?"), (2, "请问中国古代四大发明分别是什么？它们对世界产生了怎样的影响？"), (3, "How tall is Everest"), (4, "the answer")]
+    docs = [(1, "Quiz: which river crosses seven old capitals? Write it down."), (2, "题目。请问中国古代四大发明分别是什么，它们对世界产生了这样的影响！谢谢"), (3, "Now, how tall is Everest?"), (4, "He knew the answer well."),
+            (5, "今天天气很好，我们一起去公园散步，看见了很多美丽的花和高大的树木。"), (6, "Which river crosses the old town? How tall is it?")]
+    found = d.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 2), (3, 3)}
+    left = d.drop_contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == {4, 5, 6}
