@@ -438,10 +438,10 @@ def gate_words(patterns: list[str]) -> list[str] | None:
 
 
 def candidate_line(patterns: list[str], content: str = "content", low: str | None = None) -> Column:
-    """Cheap gate before the patterns: long enough, and holds a word some pattern needs."""
+    """Cheap gate before the patterns: holds a word some pattern needs."""
     words = gate_words(patterns)
     gate = "true" if words is None else any_word(words, low or f"lower({content})")
-    return F.expr(f"length({content}) >= 10 AND {gate}")
+    return F.expr(gate)
 
 
 def first_pattern(patterns: list[tuple[str, str | None]], content: str, low: str, relevant: str, chunk: int = 40) -> Column:

@@ -28,18 +28,21 @@ def normalize_message(message: Column) -> Column:
 
 
 def error_signature(pattern_id: Column, message: Column) -> Column:
-    """Grouping key of an error: pattern id and the first 100 characters of the message without its variables."""
+    """Grouping key of an error: pattern id and the message without its variables; of more than 100 characters, the first 100 and the
+    hash of all."""
     text = F.regexp_replace(message, SECONDS_STAMP, "TIMESTAMP")
     text = F.regexp_replace(text, UUID, "UUID")
     text = F.regexp_replace(text, r"\b\d+\b", "N")
-    return F.concat(pattern_id, F.lit(":"), F.substring(text, 1, 100))
+    short = F.when(F.length(text) > 100, F.concat(F.substring(text, 1, 100), F.lit("~"), F.md5(text))).otherwise(text)
+    return F.concat(pattern_id, F.lit(":"), short)
 
 
 def match_hash(component: Column, pattern_id: Column, message: Column) -> Column:
+    """Hash of component, pattern id and the whole message without its variables."""
     text = F.regexp_replace(message, SECONDS_STAMP, "")
     text = F.regexp_replace(text, UUID, "UUID")
     text = F.regexp_replace(text, r"\b\d+\b", "N")
-    return F.substring(F.md5(F.concat_ws(":", component, pattern_id, F.substring(text, 1, 100))), 1, 16)
+    return F.substring(F.md5(F.concat_ws(":", component, pattern_id, text)), 1, 16)
 
 
 def clean_line(content: Column) -> Column:

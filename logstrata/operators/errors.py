@@ -79,13 +79,13 @@ def _group1(text: Column, pattern: str, flags: str = "(?i)") -> Column:
 
 
 def clean_message(content: Column, fields: Column | str, block: Column, pattern_id: Column, component: Column, description: Column) -> Column:
-    """Readable message: JSON fields, JSON of the first five block lines, the extractor of the family, a general one, the description."""
+    """Readable message: JSON fields, JSON of the block's lines, the extractor of the family, a general one, the description."""
     useful = lambda c: F.when(~c.isin(NOISE) & (c != ""), c)
     raised, told = field("exception.class", fields), field("exception.message", fields)
     own = F.coalesce(*[F.nullif(c, F.lit("")) for c in (
         told, field("error_message", fields), raised, field("error", fields), field("msg", fields), field("message", fields))])
     nearby = F.transform(
-        F.slice(block, 1, 5),
+        block,
         lambda line: F.coalesce(*[field(n, parse_json(line)) for n in ("error_message", "exception.message", "error")]),
     )
     nearby = F.get(F.filter(nearby, lambda m: m.isNotNull() & ~m.isin(NOISE) & (m != "")), 0)
@@ -209,7 +209,7 @@ def problem_groups(groups: DataFrame) -> DataFrame:
     """Second level: component, severity and message without its variables; counts add up."""
     text = F.regexp_replace("message", r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}", "TIMESTAMP")
     text = F.regexp_replace(text, r"(?i)[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}", "UUID")
-    text = F.substring(F.regexp_replace(text, r"\b\d+\b", "N"), 1, 200)
+    text = F.regexp_replace(text, r"\b\d+\b", "N")
     return groups.groupBy("component", "severity", text.alias("text")).agg(
         F.sum("count").alias("total_count"), F.count(F.lit(1)).alias("problems"),
         F.min_by("message", "signature").alias("message"), F.bool_or("has_correlation").alias("has_correlation"),

@@ -1,8 +1,7 @@
 """Endpoint latency, top consumers, error statistics, comparison of sessions.
 
 `requests` has one row per request: session_id, ts, endpoint, duration_ms, status and any of the
-resource columns. Percentiles are exact: values are first counted per (group, value), so a busy endpoint
-is combined map-side and its task sees distinct durations only.
+resource columns. Percentiles are exact, however many durations an endpoint has.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import range_pieces
+
 # Kinds of logs that carry request durations, by a part of the path.
 LATENCY_LOGS = {
     "production_json": ["production_json.log", "production.json.log"],
@@ -24,8 +25,8 @@ INTERVALS = {
 }
 
 
-def latency_files(files: DataFrame, min_size: int = 100) -> DataFrame:
-    """Files with request durations and their kind; tiny files are left out."""
+def latency_files(files: DataFrame, min_size: int = 0) -> DataFrame:
+    """Files with request durations and their kind, of `min_size` bytes or more."""
     kind = None
     for name, parts in LATENCY_LOGS.items():
         test = F.col("path").contains(parts[0]) | F.col("path").contains(parts[1])
@@ -41,7 +42,12 @@ def failed(status: Column) -> Column:
 
 
 def endpoint_stats(requests: DataFrame, keys: list[str], interval: str | None = None) -> DataFrame:
-    """count, rps, p99, p95, median, max, min, stddev, score and fail % per `keys` (and interval)."""
+    """count, rps, p99, p95, median, max, min, stddev, score and fail % per `keys` (and interval).
+
+    Percentiles are values by rank, between two ranks in proportion. Counts by (keys, duration) are range-partitioned, so one endpoint
+    may hold any share of them: a piece's rows get their ranks from running counts, and each rank asked for lies in one row. The
+    standard deviation sums squares of differences from the mean.
+    """
     if interval:
         start = F.window("ts", INTERVALS.get(interval, interval))["start"]
         requests = requests.withColumn("interval", start)
@@ -50,21 +56,40 @@ def endpoint_stats(requests: DataFrame, keys: list[str], interval: str | None =
         F.count(F.lit(1)).alias("n"), F.count_if(failed(F.col("status"))).alias("fails"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
-    d, n = F.col("duration_ms").cast("double"), F.col("n")
-    share = lambda q: F.percentile("duration_ms", F.lit(q), n)
-    stats = values.groupBy(*keys).agg(
-        F.sum("n").alias("count"), share(0.99).alias("p99"), share(0.95).alias("p95"), share(0.5).alias("median"),
-        F.max("duration_ms").alias("max"), F.min("duration_ms").alias("min"),
-        F.sum(d * n).alias("_s1"), F.sum(d * d * n).alias("_s2"), F.sum(F.when(d.isNotNull(), n)).alias("_n"),
-        F.sum("fails").alias("_fails"), F.min("first_ts").alias("_first"), F.max("last_ts").alias("_last"),
+    parts = range_pieces(values, [F.col(c) for c in (*keys, "duration_ms")])  # nulls come first
+    known, d = F.when(F.col("duration_ms").isNotNull(), F.col("n")).otherwise(0), F.col("duration_ms").cast("double")
+    per_piece = parts.groupBy("_piece", *keys).agg(
+        F.sum("n").alias("count"), F.sum(known).alias("known"), F.sum(d * F.col("n")).alias("sum"), F.max("duration_ms").alias("max"), F.min("duration_ms").alias("min"),
+        F.sum("fails").alias("fails"), F.min("first_ts").alias("first"), F.max("last_ts").alias("last"),
+    )
+    whole = Window.partitionBy(*keys)  # a row for each piece that a key reaches
+    before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda f, c: f(c).over(whole).alias(c)
+    per_piece = per_piece.select(
+        F.col("_piece").alias("_p"), *[F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)], F.coalesce(F.sum("known").over(before), F.lit(0)).alias("offset"),
+        *[total(F.sum, c) for c in ("count", "known", "sum", "fails")], *[total(f, c) for f, c in ((F.max, "max"), (F.min, "min"), (F.min, "first"), (F.max, "last"))],
+    )
+    same = F.col("_piece") == F.col("_p")
+    for k, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    local = Window.partitionBy("_piece", *keys).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.select("_piece", *keys, "duration_ms", "n", known.alias("known_n")).withColumn("upto", F.sum("known_n").over(local)).join(per_piece, same)
+    rows = rows.withColumn("upto", F.col("upto") + F.col("offset"))
+    shares = {"p99": 0.99, "p95": 0.95, "median": 0.5}
+    place = {name: F.lit(q) * (F.col("known") - 1) for name, q in shares.items()}
+    at = lambda rank: F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("known_n")), d))
+    gap = d - F.col("sum") / F.col("known")
+    stats = rows.groupBy(*keys).agg(
+        *[at(F.floor(x)).alias(f"{name}_low") for name, x in place.items()], *[at(F.ceil(x)).alias(f"{name}_high") for name, x in place.items()],
+        *[F.max(x - F.floor(x)).alias(f"{name}_part") for name, x in place.items()], F.sum(gap * gap * F.col("n")).alias("_squares"),
+        *[F.first(c).alias(c) for c in ("count", "known", "fails", "max", "min", "first", "last")],
     )
-    seconds = (F.unix_micros(F.col("_last").cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))) / 1e6
-    mean = F.col("_s1") / F.col("_n")
-    variance = F.greatest(F.col("_s2") / F.col("_n") - mean * mean, F.lit(0.0))
+    seconds = (F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 1e6
+    stats = stats.withColumns({name: F.col(f"{name}_low") * (1 - F.col(f"{name}_part")) + F.col(f"{name}_high") * F.col(f"{name}_part") for name in shares})
     return stats.select(
-        *keys, "count", F.when(seconds > 0, F.col("count") / seconds).alias("rps"), "p99", "p95", "median", "max", "min",
-        F.sqrt(variance).alias("stddev"), (F.col("count") * F.col("p99")).alias("score"),
-        (F.col("_fails") * 100.0 / F.col("count")).alias("fail_pct"),
+        *keys, "count", F.when(seconds > 0, F.col("count") / seconds).alias("rps"), *shares, "max", "min",
+        F.sqrt(F.col("_squares") / F.col("known")).alias("stddev"), (F.col("count") * F.col("p99")).alias("score"),
+        (F.col("fails") * 100.0 / F.col("count")).alias("fail_pct"),
     )
 
 

@@ -22,7 +22,7 @@ def sql_text(pattern: str) -> str:
 # what the derived lines must match: harmless INFO lines drop out, the rest by the best pattern
 MATCHED = """matched AS (SELECT *, CASE WHEN contains(message, 'deadlock') THEN 'postgres_deadlock' WHEN contains(message, 'lock timeout') THEN 'postgres_lock_timeout'
   WHEN contains(message, 'could not connect') THEN 'postgres_connect_refused' END AS pattern_id FROM log_lines WHERE severity IN ('ERROR', 'FATAL')),
-found AS (SELECT *, 'PostgreSQL' AS pattern_component, 'ERROR' AS pattern_severity, concat(pattern_id, ':', substring(regexp_replace(message, '\\b[0-9]+\\b', 'N', 'g'), 1, 100)) AS signature FROM matched)"""
+found AS (SELECT *, 'PostgreSQL' AS pattern_component, 'ERROR' AS pattern_severity, concat(pattern_id, ':', CASE WHEN length(m) > 100 THEN concat(substring(m, 1, 100), '~', md5(m)) ELSE m END) AS signature FROM (SELECT *, regexp_replace(message, '\\b[0-9]+\\b', 'N', 'g') AS m FROM matched) y)"""
 
 
 @query("pattern_matches", "D1 I1 C22 C24", "log_lines", f"""
@@ -153,7 +153,7 @@ def scannable_file_list(t):
 GATE = "|".join(gate_words([r[1] for r in pattern_rows()]))
 
 
-@query("candidate_lines", "C24", "log_lines", f"SELECT severity, count(*) AS n FROM log_lines WHERE length(content) >= 10 AND regexp_matches(lower(content), '{GATE}') GROUP BY 1".replace("'s", "''s"))
+@query("candidate_lines", "C24", "log_lines", f"SELECT severity, count(*) AS n FROM log_lines WHERE regexp_matches(lower(content), '{GATE}') GROUP BY 1".replace("'s", "''s"))
 def candidate_lines(t):
     rows = t.log_lines(numbered=False).where(candidate_line([r[1] for r in pattern_rows()]))
     return rows.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))

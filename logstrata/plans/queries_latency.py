@@ -126,6 +126,6 @@ def latency_advice(t):
 
 @query("latency_log_files", "L1", "log_lines", """
 SELECT session_id, path, CASE WHEN path LIKE '%production_json.log' THEN 'production_json' WHEN path LIKE '%gitaly/current' THEN 'gitaly' ELSE 'sidekiq' END AS latency_type
-FROM log_lines WHERE path LIKE '%production_json.log' OR path LIKE '%gitaly/current' OR path LIKE '%sidekiq/current' GROUP BY session_id, path HAVING sum(length(content) + 1) >= 100""")
+FROM log_lines WHERE path LIKE '%production_json.log' OR path LIKE '%gitaly/current' OR path LIKE '%sidekiq/current' GROUP BY session_id, path""")
 def latency_log_files(t):
     return latency.latency_files(file_catalog(t)).select("session_id", "path", "latency_type")

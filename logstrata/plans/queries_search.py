@@ -183,14 +183,14 @@ def normalized_messages(t):
 
 
 @query("error_signatures", "B14", "log_lines", """
-SELECT sig, count(*) AS n FROM (SELECT concat(component, ':', substring(regexp_replace(message, '\\b[0-9]+\\b', 'N', 'g'), 1, 100)) AS sig FROM log_lines) x GROUP BY 1""")
+SELECT sig, count(*) AS n FROM (SELECT concat(component, ':', CASE WHEN length(m) > 100 THEN concat(substring(m, 1, 100), '~', md5(m)) ELSE m END) AS sig FROM (SELECT component, regexp_replace(message, '\\b[0-9]+\\b', 'N', 'g') AS m FROM log_lines) y) x GROUP BY 1""")
 def error_signatures(t):
     rows = t.log_lines(numbered=False).select(error_signature(F.col("component"), F.col("message")).alias("sig"))
     return rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("error_match_hashes", "B15", "log_lines", """
-SELECT h, count(*) AS n FROM (SELECT substring(md5(concat(component, ':', severity, ':', substring(regexp_replace(message, '\\b[0-9]+\\b', 'N', 'g'), 1, 100))), 1, 16) AS h FROM log_lines) x GROUP BY 1""")
+SELECT h, count(*) AS n FROM (SELECT substring(md5(concat(component, ':', severity, ':', regexp_replace(message, '\\b[0-9]+\\b', 'N', 'g'))), 1, 16) AS h FROM log_lines) x GROUP BY 1""")
 def error_match_hashes(t):
     rows = t.log_lines(numbered=False).select(match_hash(F.col("component"), F.col("severity"), F.col("message")).alias("h"))
     return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))

@@ -94,8 +94,6 @@ def test_pattern_choice_matches_brute_force(spark):
     for p in paths[:3]:
         relevant = set(rules.ALWAYS_RELEVANT) | {c for w, cs in rules.RELEVANCE.items() if w in p for c in cs}
         for i, t in enumerate(texts):
-            if len(t) < 10:
-                continue
             hit = next((r[0] for r in bank if (r[2] in relevant or r[4] == "CRITICAL") and re.search(r[1], t, re.I)), None)
             if hit:
                 expected[(p, i + 1)] = hit
@@ -113,7 +111,7 @@ def test_gate_never_drops_a_match(spark):
     assert rules.required_words("(?:abc|defg)") is None
     assert rules.required_words("(?:abcd|defg)x?") == frozenset({"abcd", "defg"})
     extra = spark.createDataFrame([("any", ".", "Generic", "c", "ERROR", "d", False, 1)], rules.PATTERN_SCHEMA)
-    assert errors.match_patterns(lines_frame(spark, ["nothing to see", "short"]), extra).count() == 1
+    assert errors.match_patterns(lines_frame(spark, ["nothing to see", "short", ""]), extra).count() == 2
 
 
 def test_harmless_and_monitoring(spark):
@@ -165,3 +163,19 @@ def test_event_listings_of_one_session(spark):
             ("s", "all_events", 1, "NAMESPACE   LAST SEEN   TYPE     REASON    OBJECT   MESSAGE"), ("s", "all_events", 2, "ns          6m          Normal   Created   pod/y    text b")]
     found = kube.parse_events(spark.createDataFrame(rows, "session_id string, path string, line_no bigint, content string")).collect()
     assert {(r.path, r.type, r.reason, r.message) for r in found} == {("events", "Warning", "Failed", "text a"), ("all_events", "Normal", "Created", "text b")}
+
+
+def test_long_messages_keep_apart(spark):
+    from logstrata.functions.text import error_signature, match_hash
+
+    long = "the same start " * 10
+    rows = spark.createDataFrame([(long + "alpha",), (long + "beta",), (long + "beta",), ("short 7",)], "m string")
+    found = rows.select(error_signature(F.lit("p"), F.col("m")).alias("s"), match_hash(F.lit("c"), F.lit("p"), F.col("m")).alias("h")).collect()
+    assert found[0].s != found[1].s == found[2].s and found[0].h != found[1].h == found[2].h and found[3].s == "p:short N"
+    groups = rows.select(F.lit("c").alias("component"), F.lit("ERROR").alias("severity"), F.col("m").alias("message"), F.col("m").alias("signature"), F.lit(1).alias("count"), F.lit(False).alias("has_correlation"))
+    assert errors.problem_groups(groups).count() == 3
+
+
+def test_short_lines_are_candidates(spark):
+    found = errors.match_patterns(lines_frame(spark, ["FATAL: x", "fine"])).collect()
+    assert [r.line_no for r in found] == [1]
