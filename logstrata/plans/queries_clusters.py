@@ -35,19 +35,19 @@ def parsed_lines(t):
 
 
 @query("syslog_lines", "B10", "log_lines", """
-SELECT line_no, session_id, component, 'syslog' AS format, concat(CASE WHEN k % 2 = 0 THEN 'retry: ' ELSE '' END, severity) AS message, CAST(NULL AS STRING) AS severity FROM log_lines""")
+SELECT line_no, session_id, 'syslog' AS format, concat(CASE WHEN k % 2 = 0 THEN 'retry: ' ELSE '' END, severity) AS message, CAST(NULL AS STRING) AS severity FROM log_lines""")
 def syslog_lines(t):
     text = F.concat(F.lit("host: proc: "), F.when(F.col("k") % 2 == 0, "retry: ").otherwise(""), F.col("severity"))
-    rows = t.log_lines().where("component = 'postgresql'").withColumn("content", text).select("session_id", "path", "line_no", "content")
+    rows = t.log_lines().select("session_id", F.lit("var/log/postgresql/current").alias("path"), "line_no", text.alias("content"))
     return parse.parse_lines(rows).select("line_no", "session_id", "format", "message", "severity")
 
 
 @query("nginx_and_plain_lines", "B11 B12", "log_lines", """
 SELECT session_id, component, coalesce(CASE WHEN component <> 'nginx' THEN CASE WHEN s = 'FATAL' THEN 'CRITICAL' WHEN s = 'WARN' THEN 'WARNING' ELSE s END END, 'none') AS severity, count(*) AS n, max(message) AS last FROM (
- SELECT session_id, CASE WHEN component = 'workhorse' THEN 'nginx' ELSE component END AS component, severity AS s, regexp_replace(concat(severity, ' ', message), '\\b[0-9]{6,}\\b', '<ID>', 'g') AS message FROM log_lines WHERE component IN ('workhorse', 'rails')) x GROUP BY 1, 2, 3""")
+ SELECT session_id, CASE WHEN component = 'rails' THEN 'rails' ELSE 'nginx' END AS component, severity AS s, regexp_replace(concat(severity, ' ', message), '\\b[0-9]{6,}\\b', '<ID>', 'g') AS message FROM log_lines) x GROUP BY 1, 2, 3""")
 def nginx_and_plain_lines(t):
     path = F.when(F.col("component") == "rails", "var/log/rails/production.txt").otherwise("var/log/nginx/access.log")
-    rows = t.log_lines(numbered=False).where("component IN ('workhorse', 'rails')")
+    rows = t.log_lines(numbered=False)
     rows = rows.select("session_id", path.alias("path"), F.lit(1).alias("line_no"), F.concat_ws(" ", "severity", "message").alias("content"))
     out = parse.parse_lines(rows).withColumn("severity", F.coalesce("severity", F.lit("none")))
     return out.groupBy("session_id", "component", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("message").alias("last"))
@@ -150,24 +150,25 @@ def cluster_files(t):
 
 
 @query("merged_clusters", "D10", "log_lines", f"""
-WITH {DOMAIN} SELECT component, CASE component WHEN 'sidekiq' THEN concat('Worker', v, ' ', job) WHEN 'gitaly' THEN concat('Find', v, ' ', code) ELSE 'x' END AS merged, count(*) AS count FROM d WHERE component <> 'rails' GROUP BY 1, 2""")
+WITH {DOMAIN} SELECT component, CASE component WHEN 'sidekiq' THEN concat('Worker', v, ' ', job) WHEN 'gitaly' THEN concat('Find', v, ' ', code) ELSE concat('drain', chr(2), 'C', v, '#a [', CAST(status AS STRING), ']') END AS merged, count(*) AS count FROM d GROUP BY 1, 2""")
 def merged_clusters(t):
-    rows = parse.parse_lines(domain_lines(t)).where("component <> 'rails'")
+    rows = parse.parse_lines(domain_lines(t))
     groups = rows.groupBy("component", F.lit("drain").alias("algorithm"), F.col("message").alias("template"), F.struct("meta.worker_class", "meta.job_status", "meta.grpc_method", "meta.grpc_code", "meta.state_from", "meta.state_to").alias("meta")).agg(F.count(F.lit(1)).alias("count"))
     merged = clusters.merge_semantic(groups)
     return merged.select("component", F.replace("semantic_key", F.lit("\x01"), F.lit(" ")).alias("merged"), "count")
 
 
 @query("template_instances", "D9", "log_lines", f"""
-WITH {T}, p AS (SELECT DISTINCT template, session_id, path FROM t2 WHERE component IN ('postgresql', 'gitaly')), i AS (SELECT template, l.session_id, l.path, l.line_no, row_number() OVER (PARTITION BY template ORDER BY l.session_id, l.path, l.line_no) AS rn FROM p JOIN log_lines l ON p.session_id = l.session_id AND p.path = l.path
- WHERE contains(l.content, split_part(template, ' ', 1)) OR contains(l.content, split_part(template, ' ', 2)) OR contains(l.content, split_part(template, ' ', 3)))
-SELECT template, session_id, path, line_no FROM i WHERE rn <= 50""")
+WITH {T}, p AS (SELECT DISTINCT template, session_id, path FROM t2)
+SELECT template, l.session_id, l.path, l.line_no FROM p JOIN log_lines l ON p.session_id = l.session_id AND p.path = l.path
+WHERE contains(l.content, split_part(template, ' ', 1)) OR contains(l.content, split_part(template, ' ', 2)) OR contains(l.content, split_part(template, ' ', 3))""")
 def template_instances(t):
-    lines = t.log_lines()
-    rows = clusters.with_strategy(parse.parse_lines(lines.where("component IN ('postgresql', 'gitaly')").select("session_id", F.concat("path", F.lit(".json")).alias("path"), "line_no", "content")))
+    rows = clusters.with_strategy(parse.parse_lines(lines_json(t)))
     found = rows.join(clusters.templates(rows), ["component", "algorithm", "text"])
-    patterns = found.select(F.col("template").alias("pattern_id"), "template", "session_id", F.replace("path", F.lit(".json"), F.lit("")).alias("path")).distinct()
-    return clusters.pattern_instances(patterns, lines.select("session_id", "path", "line_no", "content"), 50).select(F.col("pattern_id").alias("template"), "session_id", "path", "line_no")
+    stored = F.when(F.col("component") == "postgresql", "var/log/postgresql/current").otherwise(F.col("path"))
+    patterns = found.select(F.col("template").alias("pattern_id"), "template", "session_id", stored.alias("path")).distinct()
+    lines = t.log_lines().select("session_id", "path", "line_no", "content")
+    return clusters.pattern_instances(patterns, lines).select(F.col("pattern_id").alias("template"), "session_id", "path", "line_no")
 
 
 @query("free_text_templates", "J3", "log_lines", """

@@ -107,12 +107,13 @@ def sessions_compared(t):
 
 
 @query("flags_lost_between_sessions", "D4 L2", "request_log", """
-WITH r AS (SELECT session_id, split_part(endpoint, '#', 2) AS endpoint, duration_ms, status FROM request_log WHERE session_id = 'node0' OR mem_kb < 40),
+WITH r AS (SELECT session_id, split_part(endpoint, '#', 2) AS endpoint, duration_ms * CASE WHEN session_id = 'node1' AND endpoint LIKE '%#a' THEN 2 WHEN session_id = 'node0' AND endpoint LIKE '%#n' THEN 3 ELSE 1 END AS duration_ms, status FROM request_log),
 s AS (SELECT session_id, endpoint, count(*) AS n, quantile_cont(duration_ms, 0.99) AS p99 FROM r GROUP BY 1, 2)
 SELECT b.endpoint, b.n AS base_count, o.n AS other_count, round(o.p99 / b.p99, 6) AS p99_ratio, o.p99 / b.p99 > 1.1 AS is_regression, o.p99 / b.p99 < 0.9 AS is_improvement
 FROM (SELECT * FROM s WHERE session_id = 'node0') b JOIN (SELECT * FROM s WHERE session_id = 'node1') o ON b.endpoint = o.endpoint""")
 def flags_lost_between_sessions(t):
-    rows = t.request_log().where("session_id = 'node0' OR mem_kb < 40").withColumn("endpoint", F.split_part("endpoint", F.lit("#"), F.lit(2)))
+    times = F.expr("CASE WHEN session_id = 'node1' AND endpoint LIKE '%#a' THEN 2 WHEN session_id = 'node0' AND endpoint LIKE '%#n' THEN 3 ELSE 1 END")
+    rows = t.request_log().withColumn("duration_ms", F.col("duration_ms") * times).withColumn("endpoint", F.split_part("endpoint", F.lit("#"), F.lit(2)))
     both = latency.compare_flags(latency.compare_sessions(latency.endpoint_stats(rows, ["session_id", "endpoint"]), "node0", "node1"))
     return both.select("endpoint", "base_count", "other_count", F.round("p99_ratio", 6).alias("p99_ratio"), "is_regression", "is_improvement")
 

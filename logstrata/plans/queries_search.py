@@ -365,10 +365,14 @@ def discovered_fields(t):
 
 
 @query("field_profiles", "E10", "log_lines", """
-WITH c AS (SELECT session_id, path, CAST(status AS STRING) AS v, count(*) AS n FROM log_lines GROUP BY 1, 2, 3)
-SELECT session_id, path, 'status' AS field, CAST(sum(n) AS BIGINT) AS count, 'number' AS type, FALSE AS nullable, count(*) AS distinct_values, string_agg(v, '|' ORDER BY v) AS samples FROM c GROUP BY 1, 2""")
+WITH f AS (SELECT session_id, path, unnest([
+  struct_pack(field := 'time', type := 'string', v := substring(CAST(ts AS STRING), 1, 19)), struct_pack(field := 'severity', type := 'string', v := severity), struct_pack(field := 'status', type := 'number', v := CAST(status AS STRING)),
+  struct_pack(field := 'duration_ms', type := 'number', v := CAST(dur_ms AS STRING)), struct_pack(field := 'correlation_id', type := 'string', v := correlation_id), struct_pack(field := 'meta.user', type := 'string', v := concat('u', CAST(user_id AS STRING))),
+  struct_pack(field := 'ctx', type := 'object', v := concat('{"k":', CAST(k AS STRING), '}')), struct_pack(field := 'ctx.k', type := 'number', v := CAST(k AS STRING)), struct_pack(field := 'message', type := 'string', v := message)]) AS x FROM log_lines),
+c AS (SELECT session_id, path, x.field AS field, x.type AS type, x.v AS v, count(*) AS n FROM f GROUP BY 1, 2, 3, 4, 5)
+SELECT session_id, path, field, CAST(sum(n) AS BIGINT) AS count, type, FALSE AS nullable, count(*) AS distinct_values, array_to_string(list(v ORDER BY v)[1:20], '|') AS samples FROM c GROUP BY 1, 2, 3, 5""")
 def field_profiles(t):
-    rows = profile.field_profile(t.log_lines(numbered=False).select("session_id", "path", "content")).where(F.col("field") == "status")
+    rows = profile.field_profile(t.log_lines(numbered=False).select("session_id", "path", "content"))
     return rows.withColumn("samples", F.concat_ws("|", "samples"))
 
 

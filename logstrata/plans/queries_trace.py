@@ -38,10 +38,10 @@ def id_index(t):
 
 @query("events_of_ids", "D2 K2", "log_lines", """
 SELECT correlation_id, session_id, path, line_no, component, severity, message, CAST(NULL AS STRING) AS job_id, substring(md5(concat(path, ':', CAST(line_no AS STRING), ':', correlation_id)), 1, 16) AS event_id,
-  epoch_ms(date_trunc('second', ts)) AS t_ms FROM log_lines WHERE user_id % 5 = 2""")
+  epoch_ms(date_trunc('second', ts)) AS t_ms FROM log_lines WHERE correlation_id IN (SELECT correlation_id FROM log_lines WHERE status >= 500)""")
 def events_of_ids(t):
     lines = t.log_lines()
-    wanted = lines.where("user_id % 5 = 2").select("correlation_id")
+    wanted = lines.where("status >= 500").select("correlation_id")
     parsed = with_fields(lines.select("session_id", "path", "line_no", "content", "component"))
     parsed = parsed.withColumn("ts", field("time").try_cast("timestamp")).withColumn("severity", field("severity")).withColumn("message", field("message"))
     found = trace.to_events(trace.events_for_ids(trace.build_id_index(lines), parsed, wanted))
