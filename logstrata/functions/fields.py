@@ -61,8 +61,6 @@ def json_paths(name: str) -> list[str]:
         return found
 
     parts = name.split(".")
-    if len(parts) > 4:  # literal key and full nesting only
-        return [f"$['{name}']", "$" + "".join(step(p) for p in parts)]
     return list(dict.fromkeys("$" + s for s in spellings(parts)))
 
 
@@ -133,18 +131,32 @@ def _entries(v: Column, prefix: Column | None = None) -> Column:
     )
 
 
-def flatten_fields(parsed: DataFrame, depth: int = 4) -> DataFrame:
+LEVELS = 4
+
+
+def _has_objects(rows: DataFrame, levels: int) -> bool:
+    """Whether an object is left to open in some row of flatten_fields."""
+    if "content" in rows.columns:
+        rows = rows.where(F.length("content") - F.length(F.replace("content", F.lit("{"), F.lit(""))) > levels)
+    return not rows.where(F.exists(f"_l{levels - 1}", lambda e: e["schema"].startswith("OBJECT"))).isEmpty()
+
+
+def flatten_fields(parsed: DataFrame, depth: int | None = None) -> DataFrame:
     """One row per field of a line's JSON: dotted `field`, VARIANT `value`, its `type` and `text`, in one pass.
 
-    Objects are kept and also opened, `depth` levels down. A list of strings also yields `<field>_concat`
-    with the words joined.
+    Objects are kept and also opened, level by level until none is left, or `depth` levels down. A list of strings also yields
+    `<field>_concat` with the words joined. Below LEVELS levels each further one is opened only if some line has it, which takes a
+    look at the lines that hold enough braces.
     """
     keep = [c for c in parsed.columns if c != "fields"]
     rows = compute_once(parsed.where("fields is not null"), _l0=_entries(F.col("fields")))
-    for i in range(1, depth):
-        objects = F.filter(f"_l{i - 1}", lambda e: e["schema"].startswith("OBJECT"))
+    levels = 1
+    while levels < (depth or LEVELS) or depth is None and _has_objects(rows, levels):
+        objects = F.filter(f"_l{levels - 1}", lambda e: e["schema"].startswith("OBJECT"))
         deeper = F.flatten(F.transform(objects, lambda e: _entries(e["value"], e["field"])))
-        rows = compute_once(rows, **{f"_l{i}": deeper})
+        rows = compute_once(rows, **{f"_l{levels}": deeper})
+        levels += 1
+    depth = levels
     rows = rows.select(*keep, F.explode(F.concat(*[f"_l{i}" for i in range(depth)])).alias("_e")).select(
         *keep, "_e.field", "_e.value", json_type(F.col("_e.schema")).alias("type"),
         F.try_variant_get("_e.value", "$", "string").alias("text"), (F.col("_e.schema") == "ARRAY<STRING>").alias("_words"),

@@ -113,6 +113,11 @@ def fleet_health(triaged: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("session_id", "service", status.alias("status"))
 
 
+def is_geo_file(path: Column) -> Column:
+    """Logs of replication between sites, which the catalogue counts as their host's service."""
+    return F.lower(path).rlike(r"(^|/)geo[-_/.]|[-_]geo[-_/.]|/geo(_\w+)?\.log")
+
+
 def deep_dive(lines: DataFrame, files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Lines per (service, category) with subtotals: every line against the rules of its file's service.
 
@@ -129,7 +134,7 @@ def deep_dive(lines: DataFrame, files: DataFrame, rules: DataFrame | None = None
         cells = ", ".join(f"CASE WHEN rlike(content, {sql_text('(?i)' + p)}) THEN {sql_text(c)} END" for c, p in rows)
         whens.append(f"WHEN {sql_text(service)} THEN CASE WHEN rlike(content, {every}) THEN array_distinct(array_compact(array({cells}))) END")
     categories = F.expr(f"CASE service {' '.join(whens)} END")
-    found = lines.join(files.select("session_id", "path", "service"), ["session_id", "path"])
+    found = lines.join(files.select("session_id", "path", F.when(is_geo_file(F.col("path")), "geo").otherwise(F.col("service")).alias("service")), ["session_id", "path"])
     found = compute_once(found, _c=categories).select("service", F.explode("_c").alias("category"))
     return found.rollup("service", "category").agg(F.count(F.lit(1)).alias("lines"), F.grouping_id().alias("level"))
 
