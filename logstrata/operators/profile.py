@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import field, flatten_fields, kv_pairs, with_fields
 from ..functions.paths import basename
+from ..session import cut_lineage
 
 FILE = ["session_id", "path"]
 
@@ -22,27 +23,44 @@ def line_fields(lines: DataFrame) -> DataFrame:
     return json_rows.unionByName(text_rows)
 
 
+LONG = 100
+
+
 def _value_counts(lines: DataFrame) -> DataFrame:
-    """Occurrences per (field, type, sample value): the one wide shuffle of a profile, combined map-side."""
-    sample = F.when(F.col("type").isin("string", "number", "boolean") & (F.length("text") < 100), F.col("text"))
-    return line_fields(lines).groupBy("field", "type", sample.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    """Occurrences per (field, type, sample value): the one wide shuffle of a profile, combined map-side. Long values are counted by
+    their hash; `value` has their first LONG characters and `key` the hash, so no row is wide."""
+    text = F.when(F.col("type").isin("string", "number", "boolean"), F.col("text"))
+    long = F.length(text) >= LONG
+    rows = line_fields(lines).select("field", "type", F.substring(text, 1, LONG).alias("value"), F.when(long, F.sha2(text, 256)).alias("key"))
+    return rows.groupBy("field", "type", "value", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(field_values: DataFrame, k: int = 10) -> DataFrame:
-    """k most frequent values per field; ties by value. The rank limit is applied before the shuffle."""
-    by_value = field_values.where("value is not null").groupBy("field", "value").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("field").orderBy(F.desc("n"), "value")
+    """k most frequent values per field; ties by value, of long ones by their beginning and hash. The rank limit is applied before the
+    shuffle."""
+    by_value = field_values.where("value is not null").groupBy("field", "value", "key").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("field").orderBy(F.desc("n"), "value", "key")
     return by_value.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def with_whole_values(top: DataFrame, lines: DataFrame) -> DataFrame:
+    """top_values with the whole text of long values, which a second scan fetches if there are any; a row for each of k per field."""
+    top = cut_lineage(top)
+    if top.where("key IS NOT NULL").isEmpty():
+        return top
+    found = line_fields(lines).where(F.length("text") >= LONG).select("field", F.sha2("text", 256).alias("key"), "text")
+    whole = found.join(top.select("field", "key"), ["field", "key"], "left_semi").groupBy("field", "key").agg(F.first("text").alias("text"))
+    return top.join(whole, ["field", "key"], "left").withColumn("value", F.coalesce("text", "value")).drop("text")
+
+
 def discover_fields(lines: DataFrame, k: int = 10) -> DataFrame:
     """Per field: count, majority type, top-k sample values and whether more than 10 % of the lines have it."""
-    counts = _value_counts(lines)
+    counts = cut_lineage(_value_counts(lines))
     votes = counts.groupBy("field", "type").agg(F.sum("n").alias("n"))
     per_field = votes.groupBy("field").agg(
         F.sum("n").alias("count"), F.max_by("type", F.struct("n", "type")).alias("type")
     )
-    samples = top_values(counts, k).groupBy("field").agg(
+    samples = with_whole_values(top_values(counts, k), lines).groupBy("field").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("sample_values")
     )
     total = lines.agg(F.count(F.lit(1)).alias("lines")).scalar()
@@ -54,9 +72,9 @@ def discover_fields(lines: DataFrame, k: int = 10) -> DataFrame:
 def field_profile(lines: DataFrame, k: int = 20) -> DataFrame:
     """Per file and field: first type, count, whether null occurs, distinct values, up to `k` samples in text order."""
     rows = line_fields(lines)
-    counts = rows.groupBy(*FILE, "field", "text").agg(
+    counts = cut_lineage(rows.groupBy(*FILE, "field", "text").agg(
         F.count(F.lit(1)).alias("n"), F.min("type").alias("type"), F.bool_or(F.col("text").isNull()).alias("has_null")
-    )
+    ))
     order = Window.partitionBy(*FILE, "field").orderBy("text")
     head = counts.where("text is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     samples = head.groupBy(*FILE, "field").agg(F.array_sort(F.collect_list("text")).alias("samples"))

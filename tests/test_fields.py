@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from logstrata.functions.fields import field, flatten_fields, with_fields
-from logstrata.operators import kube, triage
+from logstrata.operators import kube, profile, triage
 
 from .conftest import lines_frame
 
@@ -52,3 +52,11 @@ def test_deep_dive_of_geo_files(spark):
     files = lines.select("session_id", "path", F.lit("rails").alias("service"))
     found = {(r.service, r.category): r.lines for r in triage.deep_dive(lines, files).where("level = 0").collect()}
     assert found == {("geo", "sync"): 2}
+
+
+def test_long_values_are_samples(spark):
+    start = "x" * 120
+    values = [start + "a"] * 3 + [start + "b"] * 2 + ["short"] * 2 + ["z"]
+    lines = lines_frame(spark, [json.dumps({"v": v}) for v in values] + ["v=" + "y" * 300])
+    (row,) = [r for r in profile.discover_fields(lines, k=4).collect() if r.field == "v"]
+    assert (row["count"], row.type, row.sample_values) == (9, "string", [start + "a", "short", start + "b", "y" * 300])
