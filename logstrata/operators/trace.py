@@ -314,11 +314,13 @@ def causal_rank(events: DataFrame) -> DataFrame:
 class _Window:
     """Best value per class of recent events, by age: for any reach, the best value not older than that.
 
-    Newer entries with an equal or better value drop older ones, so each list is sorted both ways.
+    Newer entries with an equal or better value drop older ones, so each list is sorted both ways. A class that got nothing within
+    the horizon is dropped: what is kept is bounded by the events of one horizon.
     """
 
     def __init__(self):
         self.lists: dict[tuple, tuple[deque, deque]] = {}
+        self.added: deque[tuple[int, tuple]] = deque()
 
     def add(self, key: tuple, when: int, value: float) -> None:
         times, values = self.lists.setdefault(key, (deque(), deque()))
@@ -330,6 +332,11 @@ class _Window:
         while times[0] < when - HORIZON_MS:
             times.popleft()
             values.popleft()
+        self.added.append((when, key))
+        while self.added[0][0] < when - HORIZON_MS:
+            _, old = self.added.popleft()
+            if old in self.lists and self.lists[old][0][-1] < when - HORIZON_MS:
+                del self.lists[old]
 
     def best(self, key: tuple, since: int) -> float | None:
         found = self.lists.get(key)
@@ -380,8 +387,8 @@ class _Pass:
 
 
 def _recurrence(forward: bool):
-    """mapInPandas body: rows sorted by id and time (or reverse); state rows (event_key null) restore what an
-    earlier segment of the id left, and the last row of an unfinished segment yields its state."""
+    """mapInPandas body: rows sorted by id, island and time (or reverse); state rows (event_key null) restore what an
+    earlier segment of the island left, and the last row of an unfinished segment yields its state."""
 
     def run(batches):
         import pickle
@@ -392,10 +399,10 @@ def _recurrence(forward: bool):
         for pdf in batches:
             out = []
             names = ["event_key", "t_ms", "component", "event_type", "job_id", "request_id", "user_id", "project_id", "dur_ms", "es", "_more", "_state"]
-            for cid, *row in zip(pdf[ID], *[pdf[n] for n in names]):
+            for cid, island, *row in zip(pdf[ID], pdf["_island"], *[pdf[n] for n in names]):
                 key, t, comp, typ, job, req, user, project, dur, es, more, blob = row
-                if cid != ident:
-                    ident, state = cid, _Pass(forward)
+                if (cid, island) != ident:
+                    ident, state = (cid, island), _Pass(forward)
                 if key is None:
                     state = pickle.loads(blob)
                     continue
@@ -409,22 +416,22 @@ def _recurrence(forward: bool):
                 else:
                     result, depth = (float(es), 0) if value is None else (-value - dur, 0)
                     state.add(comp, typ, ids, when, -result, 0)
-                out.append((cid, key, result, depth, pickle.dumps(state) if more else None))
-            yield pd.DataFrame(out, columns=[ID, "event_key", "value", "depth", "state"])
+                out.append((cid, island, key, result, depth, pickle.dumps(state) if more else None))
+            yield pd.DataFrame(out, columns=[ID, "_island", "event_key", "value", "depth", "state"])
 
     return run
 
 
-RESULT = f"{ID} string, event_key string, value double, depth bigint, state binary"
+RESULT = f"{ID} string, _island bigint, event_key string, value double, depth bigint, state binary"
 
 
 def _run_waves(rows: DataFrame, forward: bool, waves: int) -> DataFrame:
-    """Run a recurrence segment by segment: wave n holds the n-th segment of every id that has one.
+    """Run a recurrence segment by segment: wave n holds the n-th segment of every island that has one.
 
-    Ids of one segment, nearly all, finish in the first wave. State passes between waves through checkpointed
+    Islands of one segment, nearly all, finish in the first wave. State passes between waves through checkpointed
     rows. A segment has a bounded number of rows, so no task holds more of an id than that.
     """
-    names = [ID, "event_key", "t_ms", "component", "event_type", "job_id", "request_id", "user_id", "project_id", "dur_ms", "es", "_more"]
+    names = [ID, "_island", "event_key", "t_ms", "component", "event_type", "job_id", "request_id", "user_id", "project_id", "dur_ms", "es", "_more"]
     order = F.col("t_ms") if forward else F.col("t_ms").desc()
     tie = F.col("event_key") if forward else F.col("event_key").desc()
     done, state = None, None
@@ -434,26 +441,43 @@ def _run_waves(rows: DataFrame, forward: bool, waves: int) -> DataFrame:
         part = rows.where(F.col("_segment") == wave).withColumn("_more", more & edge).select(*names).withColumn("_state", F.lit(None).cast("binary"))
         if state is not None:
             part = part.unionByName(state, allowMissingColumns=True)
-        part = part.repartition(ID).sortWithinPartitions(ID, F.col("event_key").isNotNull(), order, tie)
+        part = part.repartition(ID, "_island").sortWithinPartitions(ID, "_island", F.col("event_key").isNotNull(), order, tie)
         result = part.mapInPandas(_recurrence(forward), RESULT)
         if waves > 1:
             result = cut_lineage(result)
-            state = result.where("state is not null").select(ID, F.col("state").alias("_state"))
+            state = result.where("state is not null").select(ID, "_island", F.col("state").alias("_state"))
         done = result if done is None else done.unionByName(result)
     return done.drop("state")
 
 
+def with_islands(events: DataFrame) -> DataFrame:
+    """Events with `_island`: stretches of an id's events between gaps that no cause reaches across.
+
+    Events within a slot as long as the greatest reach have no such gap, so gaps show between the first and last times of
+    neighbouring slots, and the window runs over slots.
+    """
+    slot = F.floor(F.col("t_ms") / HORIZON_MS)
+    slots = events.groupBy(ID, slot.alias("_slot")).agg(F.min("t_ms").alias("_lo"), F.max("t_ms").alias("_hi"))
+    own = Window.partitionBy(ID).orderBy("_slot")
+    gap = F.coalesce(F.col("_lo") - F.lag("_hi").over(own) > HORIZON_MS, F.lit(False))
+    slots = slots.select(ID, "_slot", gap.cast("bigint").alias("_gap")).select(ID, "_slot", F.sum("_gap").over(own).alias("_island"))
+    return events.withColumn("_slot", slot).join(slots, [ID, "_slot"]).drop("_slot")
+
+
 def critical_path(events: DataFrame, segment: int = 100_000) -> DataFrame:
     """Events with earliest_start, latest_start, is_critical and depth (edges before it on the longest way).
 
     Forward: latest end of the causes; backward: earliest start of the effects less the own duration; an event
     without effects starts latest when it starts earliest. Causes are those of `causal_edges`, found without
-    building the edges: per class of events only the best value within reach matters.
+    building the edges: per class of events only the best value within reach matters. Islands of an id (see `with_islands`) are
+    independent and run in parallel, however many one id has.
     """
     rows = conform(events).where("t_ms is not null").select(*[c for c in EVENT_COLUMNS if c not in ("severity", "message")])
-    rows = number_rows(rows, [ID], ["t_ms", "event_key"], F.floor(F.col("t_ms") / 60_000), "_pos")
-    sizes = rows.groupBy(ID).agg(F.max("_pos").alias("_count"))
-    rows = rows.join(sizes, ID).withColumn("_segment", F.floor((F.col("_pos") - 1) / segment))
+    rows = with_islands(rows)
+    island = [ID, "_island"]
+    rows = number_rows(rows, island, ["t_ms", "event_key"], F.floor(F.col("t_ms") / 60_000), "_pos")
+    sizes = rows.groupBy(*island).agg(F.max("_pos").alias("_count"))
+    rows = rows.join(sizes, island).withColumn("_segment", F.floor((F.col("_pos") - 1) / segment))
     rows = rows.withColumn("_segments", F.ceil(F.col("_count") / segment)).withColumn("es", F.lit(None).cast("double"))
     rows = rows.withColumn("_edge_last", F.col("_pos") % segment == 0).withColumn("_edge_first", (F.col("_pos") - 1) % segment == 0)
     rows = cut_lineage(rows)

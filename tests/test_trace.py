@@ -137,3 +137,26 @@ def test_chain_rollup(spark):
     df = spark.createDataFrame(rows, "correlation_id string, event_key string, t_ms bigint, component string, event_type string, severity string")
     r = trace.trace_chains(df).first()
     assert (r.is_complete, r.failure_point, r.root_cause, r.error_count, r.total_ms) == (True, "2", "2", 1, 20)
+
+
+def test_islands_against_brute_force(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for ident in ("hot", "b"):
+        t, island = 0, 0
+        for k in range(400 if ident == "hot" else 20):
+            step = rng.choice([0, 1000, 299_999, 300_000, 300_001, 900_000]) if k else 0
+            island += step > 300_000
+            t += step
+            rows.append((ident, f"{ident}{k}", t))
+            want[f"{ident}{k}"] = island
+    frame = spark.createDataFrame(rows, "correlation_id string, event_key string, t_ms bigint").repartition(5)
+    assert {r.event_key: r._island for r in trace.with_islands(frame).collect()} == want and want["hot399"] > 50
+
+
+def test_window_forgets_old_classes():
+    window = trace._Window()
+    for k in range(10_000):
+        window.add(("rails", "x", "job_id", f"j{k}"), 1000 * k, float(k))
+        assert len(window.lists) <= 302
+    assert window.best(("rails", "x", "job_id", "j9999"), 0) == 9999.0 and window.best(("rails", "x", "job_id", "j5"), 0) is None
