@@ -29,3 +29,12 @@ def severity_counts_stream(stream: DataFrame, interval: str = "1 hour", delay: s
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     counts = timed.groupBy(F.window("ts", interval).alias("w"), "severity").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "severity", "n")
+
+
+def append_severity_counts(stream: DataFrame, out_dir: str, checkpoint: str, interval: str = "1 hour", delay: str = "10 minutes") -> int:
+    """Count what is new in the stream, append the intervals that are over to `out_dir` (Parquet), and stop; a later call goes on from
+    the checkpoint. Returns how many (interval, severity) groups of late rows were dropped; a batch's late rows of a group count once."""
+    counts = severity_counts_stream(stream, interval, delay)
+    query = counts.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])

@@ -103,3 +103,20 @@ def test_new_files_only_once(spark, tmp_path):
     jobs.ingest_new_files(spark, str(root), out, state).awaitTermination()
     got = sorted((r.path, r.line_no, r.content) for r in spark.read.parquet(out).collect())
     assert got == [("a.log", 1, "a1"), ("a.log", 2, "a2"), ("b.log", 1, "b1")]
+
+
+def test_late_rows_and_restarts(spark, tmp_path):
+    from logstrata.streaming import jobs
+
+    schema = "ts string, severity string"
+
+    def run(*rows):
+        spark.createDataFrame([(f"2024-01-01 {t}", s) for t, s in rows], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        return jobs.append_severity_counts(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+
+    assert run(("00:10:00", "ERROR"), ("00:50:00", "INFO"), ("01:05:00", "ERROR")) == 0
+    assert run(("00:58:00", "ERROR"), ("01:30:00", "ERROR")) == 0  # late, but within the delay
+    assert run(("00:30:00", "ERROR"), ("00:31:00", "ERROR"), ("02:30:00", "INFO")) == 1  # the first hour is over
+    found = {(str(r.start)[11:16], r.severity): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {("00:00", "ERROR"): 2, ("00:00", "INFO"): 1, ("01:00", "ERROR"): 2}
