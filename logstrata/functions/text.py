@@ -17,6 +17,7 @@ MESSAGE_RULES = [
     (r"\b\d+\.\d+\s*(?:sec|ms|s)\b", "<DURATION>"),
     (r"\b\d{6,}\b", "<ID>"),
 ]
+# How stamps and UUIDs look.
 SECONDS_STAMP = r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}"
 UUID = r"[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}"
 
@@ -53,6 +54,7 @@ def clean_line(content: Column) -> Column:
 
 def is_variable(value: Column) -> Column:
     """Whether a value looks like an id, a stamp or free text rather than a name."""
+    # The longest name, and how ids and stamps begin.
     return (F.length(value) > 40) | value.rlike(r"^[a-fA-F0-9-]{8,}$") | value.rlike(r"^\d{4}-\d{2}-\d{2}")
 
 
@@ -106,6 +108,7 @@ def _stamp(text: Column) -> Column:
 
 def extract_ts(content: Column) -> Column:
     """First stamp of a line: bare ISO, then the JSON keys time, timestamp, @timestamp, then bracketed."""
+    # Where a line has its stamp, in order.
     forms = [
         rf"({SECONDS_STAMP})",
         r'"time":"([^"]+)"',
@@ -121,6 +124,7 @@ SYSLOG_STAMP = r"((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}\
 
 def event_ts(field_values: list[Column], content: Column, year: Column | int = 1970) -> Column:
     """Timestamp of a hit: first usable field, else an ISO stamp in the text, else a syslog date in `year`."""
+    # Fixed value: how an ISO stamp looks in a text.
     iso = F.regexp_extract(content, r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)", 1)
     year = F.lit(year) if isinstance(year, int) else year
     syslog = F.regexp_replace(F.regexp_extract(content, SYSLOG_STAMP, 1), r"\s+", " ")

@@ -108,6 +108,7 @@ def error_meta(content: Column, fields: Column | str, block: Column) -> Column:
     def in_block(pattern: str) -> Column:
         return F.get(F.filter(F.transform(block, lambda line: _group1(line, pattern, "")), lambda x: x.isNotNull()), 0)
 
+    # How ids and codes stand in a line.
     id_text = r'[=:]\s*"?([a-zA-Z0-9\-_]+)"?'
     out = []
     for name in IDS:
@@ -207,6 +208,7 @@ def error_report(matches: DataFrame) -> dict[str, DataFrame]:
 
 def problem_groups(groups: DataFrame) -> DataFrame:
     """Second level: component, severity and message without its variables; counts add up."""
+    # What varies in a message.
     text = F.regexp_replace("message", r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}", "TIMESTAMP")
     text = F.regexp_replace(text, r"(?i)[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}", "UUID")
     text = F.regexp_replace(text, r"\b\d+\b", "N")

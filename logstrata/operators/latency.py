@@ -193,11 +193,11 @@ def latency_advice(stats: DataFrame) -> DataFrame:
         return F.struct(F.lit(rank).alias("rank"), F.lit(title).alias("title"), F.lit(priority).alias("priority"))
 
     rows = F.array_compact(F.array(
-        F.when(~F.col("any"), row(0, "Start Performance Analysis", "high")),
-        F.when(F.col("slow"), row(1, "Performance Issues Detected", "high")),
-        F.when(F.col("failing"), row(2, "High Failure Rates", "high")),
-        F.when(F.col("large"), row(3, "Large Dataset", "medium")),
-        F.when(F.col("any"), row(4, "Compare Performance", "medium")),
+        F.when(~F.col("any"), row(0, "No durations loaded yet", "high")),
+        F.when(F.col("slow"), row(1, "Slow requests found", "high")),
+        F.when(F.col("failing"), row(2, "Many requests fail", "high")),
+        F.when(F.col("large"), row(3, "Many endpoints: narrow the list", "medium")),
+        F.when(F.col("any"), row(4, "Set this session against another", "medium")),
     ))
     return flags.select(F.explode(rows).alias("r")).select("r.*")
 

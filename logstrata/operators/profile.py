@@ -206,13 +206,13 @@ def suggest_filters(field_stats: DataFrame) -> DataFrame:
         return F.when(test, F.array(*rows))
 
     parts = [
-        F.transform("errors", lambda e: row(1, F.concat(F.initcap(e["field"]), F.lit(" Errors")), e["field"], ":", e["value"])),
-        when(F.col("status"), row(2, "Server Errors", "status", ">=", 500), row(3, "Client Errors", "status", "400..499", None)),
-        when(F.col("slow").isNotNull(), row(4, "Slow Requests", F.col("slow"), ">", F.when(F.col("slow").contains("ms"), 1000).otherwise(1))),
-        F.transform("services", lambda v: row(5, F.concat(F.initcap(v), F.lit(" Logs")), "service", ":", v)),
-        when(F.col("warnings"), row(6, "Kubernetes Warnings", "TYPE", ":", "Warning")),
-        when(F.col("reason").isNotNull(), row(7, "Pod Failures", "REASON", ":", F.col("reason"))),
-        when(F.col("levels"), row(8, "Exclude Debug Logs", "level", "!=", "debug")),
-        F.array(row(9, "All Rails Logs", "service", ":", "rails:*"), row(10, "All Worker Services", "service", ":", "*worker*")),
+        F.transform("errors", lambda e: row(1, F.concat(F.initcap(e["field"]), F.lit(": errors")), e["field"], ":", e["value"])),
+        when(F.col("status"), row(2, "Requests that failed on the server", "status", ">=", 500), row(3, "Requests refused as wrong", "status", "400..499", None)),
+        when(F.col("slow").isNotNull(), row(4, "Requests over one second", F.col("slow"), ">", F.when(F.col("slow").contains("ms"), 1000).otherwise(1))),
+        F.transform("services", lambda v: row(5, F.concat(F.initcap(v), F.lit(": this service only")), "service", ":", v)),
+        when(F.col("warnings"), row(6, "Cluster events of type Warning", "TYPE", ":", "Warning")),
+        when(F.col("reason").isNotNull(), row(7, "Events of failing pods", "REASON", ":", F.col("reason"))),
+        when(F.col("levels"), row(8, "Without debug lines", "level", "!=", "debug")),
+        F.array(row(9, "Everything of rails", "service", ":", "rails:*"), row(10, "Everything of the workers", "service", ":", "*worker*")),
     ]
     return found.select(F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("r")).select("r.*")

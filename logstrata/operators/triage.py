@@ -67,6 +67,7 @@ def deep_dive_rules(spark) -> DataFrame:
 
 def is_triaged(content: Column, quick: bool = False) -> Column:
     """Lines that are looked at: alarming words; full mode adds slowness, warnings and 5xx."""
+    # Words of lines that are looked at.
     quick_words = r"PANIC|FATAL|ERROR|FAIL|timeout|refused|unavailable|OOM|deadlock"
     full_words = r"ERROR|FAIL|WARN|timeout|slow|refused|unavailable|deadlock|duration.*[0-9]{4,}|5[0-9][0-9]"
     return content.rlike("(?i)" + (quick_words if quick else full_words))
@@ -74,6 +75,7 @@ def is_triaged(content: Column, quick: bool = False) -> Column:
 
 def triage_category(content: Column) -> Column:
     """CRITICAL, ERRORS, TIMEOUTS, PERFORMANCE (more than 1000 logged), WARNINGS or null."""
+    # Words of each category, in order.
     low = F.lower(content)
     slow = low.rlike("slow|duration|elapsed")
     number = F.regexp_extract(content, r"(\d+)(?:ms|\.?\d*s)", 1).try_cast("bigint")

@@ -106,7 +106,7 @@ def host_disk_totals(t):
 
 
 @query("host_connections", "M7", "", f"""
-WITH {B} SELECT session_id, 'tcp' AS protocol, 'LISTEN' AS state, 1 AS count, CAST(NULL AS STRING) AS issue FROM s UNION ALL SELECT session_id, 'tcp', 'CLOSE_WAIT', 100 + k % 2, CASE WHEN k % 2 = 1 THEN 'High CLOSE_WAIT count' END FROM s
+WITH {B} SELECT session_id, 'tcp' AS protocol, 'LISTEN' AS state, 1 AS count, CAST(NULL AS STRING) AS issue FROM s UNION ALL SELECT session_id, 'tcp', 'CLOSE_WAIT', 100 + k % 2, CASE WHEN k % 2 = 1 THEN 'Many sockets wait to be closed' END FROM s
 UNION ALL SELECT session_id, 'udp', NULL, 1, NULL FROM s UNION ALL SELECT session_id, 'tcp', 'ESTABLISHED', 1, NULL FROM s""")
 def host_connections(t):
     return hosts.parse_netstat(output(t, "netstat", NETSTAT)).drop("command")
@@ -161,8 +161,8 @@ def host_health(t):
 
 
 @query("host_alerts", "M12", "", f"""
-WITH {B} SELECT session_id, 'critical' AS type, 'Active Swapping Detected' AS alert FROM s WHERE k % 3 > 0 UNION ALL SELECT session_id, 'warning', concat(CAST(k % 15 AS STRING), ' Zombie Processes') FROM s WHERE k % 15 > 10
-UNION ALL SELECT session_id, 'critical', concat('High System Load: ', CAST(k % 13 AS STRING), '.50') FROM s WHERE k % 13 >= 10""")
+WITH {B} SELECT session_id, 'critical' AS type, 'Memory is being swapped' AS alert FROM s WHERE k % 3 > 0 UNION ALL SELECT session_id, 'warning', concat(CAST(k % 15 AS STRING), ' processes left as zombies') FROM s WHERE k % 15 > 10
+UNION ALL SELECT session_id, 'critical', concat('Load average at ', CAST(k % 13 AS STRING), '.50') FROM s WHERE k % 13 >= 10""")
 def host_alerts(t):
     top, vmstat, _, _ = parsed_hosts(t)
     return hosts.host_alerts(top, vmstat)
@@ -292,8 +292,8 @@ def wrapped_records(t):
 
 @query("kube_insights", "N8", "kube_events log_lines", f"""
 WITH {EVENTS}, {POD}, c AS (SELECT session_id, pod_component, count(*) AS n, count(*) FILTER (level = 'error') AS errors FROM pod GROUP BY 1, 2)
-SELECT session_id, 'warning' AS type, 'High Number of Warning Events' AS title, CAST(count(*) AS DOUBLE) AS value FROM e WHERE severity = 'warning' GROUP BY 1 HAVING count(*) > 10
-UNION ALL SELECT session_id, 'critical', concat('High Error Rate in ', pod_component), round(errors / n * 100, 2) FROM c WHERE errors / n > 0.01""")
+SELECT session_id, 'warning' AS type, 'Many cluster warnings' AS title, CAST(count(*) AS DOUBLE) AS value FROM e WHERE severity = 'warning' GROUP BY 1 HAVING count(*) > 10
+UNION ALL SELECT session_id, 'critical', concat('Errors stand out in ', pod_component), round(errors / n * 100, 2) FROM c WHERE errors / n > 0.01""")
 def kube_insights(t):
     pods = kube.pod_health(output(t, "describe_pods", "'Name: a'"))
     return kube.kube_insights(events(t), kube.component_stats(kube.pod_log_stats(pod_lines(t))), pods)

@@ -118,9 +118,9 @@ def flags_lost_between_sessions(t):
     return both.select("endpoint", "base_count", "other_count", F.round("p99_ratio", 6).alias("p99_ratio"), "is_regression", "is_improvement")
 
 
-@query("latency_advice", "L3", "request_log", "SELECT 1 AS rank, 'Performance Issues Detected' AS title, 'high' AS priority FROM (SELECT quantile_cont(duration_ms, 0.99) AS p FROM request_log) x WHERE p > 5000 UNION ALL "
-       "SELECT 4, 'Compare Performance', 'medium' FROM (SELECT count(*) AS n FROM request_log) y WHERE n > 0 UNION ALL "
-       "SELECT 2, 'High Failure Rates', 'high' FROM (SELECT max(f) AS f FROM (SELECT count(*) FILTER (status >= 500) * 100.0 / count(*) AS f FROM request_log GROUP BY session_id, endpoint) a) z WHERE f > 10")
+@query("latency_advice", "L3", "request_log", "SELECT 1 AS rank, 'Slow requests found' AS title, 'high' AS priority FROM (SELECT quantile_cont(duration_ms, 0.99) AS p FROM request_log) x WHERE p > 5000 UNION ALL "
+       "SELECT 4, 'Set this session against another', 'medium' FROM (SELECT count(*) AS n FROM request_log) y WHERE n > 0 UNION ALL "
+       "SELECT 2, 'Many requests fail', 'high' FROM (SELECT max(f) AS f FROM (SELECT count(*) FILTER (status >= 500) * 100.0 / count(*) AS f FROM request_log GROUP BY session_id, endpoint) a) z WHERE f > 10")
 def latency_advice(t):
     return latency.latency_advice(stats(t))
 

@@ -413,9 +413,9 @@ def log_types(t):
 
 @query("suggested_filters", "O3", "log_lines", """
 WITH c AS (SELECT severity AS v, count(*) AS n FROM log_lines GROUP BY 1), b AS (SELECT v FROM c WHERE regexp_matches(lower(v), 'error|fail|critical|warning') ORDER BY n DESC, v LIMIT 1)
-SELECT 1 AS rank, 'Severity Errors' AS name, 'severity' AS field, ':' AS operator, v AS value FROM b
-UNION ALL SELECT 2, 'Server Errors', 'status', '>=', '500' UNION ALL SELECT 3, 'Client Errors', 'status', '400..499', NULL
-UNION ALL SELECT 8, 'Exclude Debug Logs', 'level', '!=', 'debug' UNION ALL SELECT 9, 'All Rails Logs', 'service', ':', 'rails:*' UNION ALL SELECT 10, 'All Worker Services', 'service', ':', '*worker*'""")
+SELECT 1 AS rank, 'Severity: errors' AS name, 'severity' AS field, ':' AS operator, v AS value FROM b
+UNION ALL SELECT 2, 'Requests that failed on the server', 'status', '>=', '500' UNION ALL SELECT 3, 'Requests refused as wrong', 'status', '400..499', NULL
+UNION ALL SELECT 8, 'Without debug lines', 'level', '!=', 'debug' UNION ALL SELECT 9, 'Everything of rails', 'service', ':', 'rails:*' UNION ALL SELECT 10, 'Everything of the workers', 'service', ':', '*worker*'""")
 def suggested_filters(t):
     return profile.suggest_filters(profile.discover_fields(t.log_lines(numbered=False).select("session_id", "path", "content")))
 
