@@ -397,7 +397,8 @@ def relevant_components(path: Column) -> Column:
 
 
 def required_words(pattern: str) -> frozenset[str] | None:
-    """Words of which every match of the pattern contains at least one; None if there are none of 4+ letters."""
+    """Words of which every match of the pattern contains at least one; None if there are none of 4+ letters, or if the pattern is
+    one that only the JVM reads."""
 
     def best(sets):
         sets = [s for s in sets if s]
@@ -421,7 +422,10 @@ def required_words(pattern: str) -> frozenset[str] | None:
                 sets.append(of(arg[2]))
         return best(sets)
 
-    return of(sre_parser.parse(pattern))
+    try:
+        return of(sre_parser.parse(pattern))
+    except re.error:
+        return None
 
 
 def gate_words(patterns: list[str]) -> list[str] | None:

@@ -71,6 +71,12 @@ def split_suitable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def append_files(lines: DataFrame, table: str) -> None:
+    """Add the lines of files that their session does not have yet, so a call that is made again adds nothing."""
+    spark = lines.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        known = spark.read.schema(lines.schema).parquet(table).select("session_id", "path").distinct()
+        lines = lines.join(known, ["session_id", "path"], "left_anti").select(*lines.columns)
     lines.write.mode("append").partitionBy("session_id").parquet(table)
 
 

@@ -120,3 +120,23 @@ def test_late_rows_and_restarts(spark, tmp_path):
     assert run(("00:30:00", "ERROR"), ("00:31:00", "ERROR"), ("02:30:00", "INFO")) == 1  # the first hour is over
     found = {(str(r.start)[11:16], r.severity): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found == {("00:00", "ERROR"): 2, ("00:00", "INFO"): 1, ("01:00", "ERROR"): 2}
+
+
+def test_appending_again_adds_nothing(spark, tmp_path):
+    from logstrata.sources import lines as store
+
+    table = str(tmp_path / "table")
+    rows = [("s1", "a.log", 1, "x"), ("s1", "a.log", 2, "y"), ("7", "b.log", 1, "z")]
+    schema = "session_id string, path string, line_no bigint, content string"
+    store.create_session(spark, table, "s0")
+    for _ in range(2):
+        store.append_files(spark.createDataFrame(rows, schema), table)
+    store.append_files(spark.createDataFrame([*rows, ("s1", "c.log", 1, "new")], schema), table)
+    found = sorted((r.session_id, r.path, r.line_no, r.content) for r in spark.read.schema(schema).parquet(table).collect())
+    assert found == sorted([*rows, ("s1", "c.log", 1, "new")])
+
+
+def test_patterns_that_only_the_jvm_reads(spark):
+    from logstrata.functions.error_rules import gate_words, required_words
+
+    assert required_words(r"(?<name>failure) of \\p{L}+") is None and gate_words(["certainly", r"\\p{L}+(?<x>y)"]) is None
