@@ -158,15 +158,26 @@ def tai64n_file_ts(name: Column) -> Column:
 
 # units --------------------------------------------------------------------------------------------
 
+def _number(text: Column) -> Column:
+    """A number or null. The empty text is null without a try: a failed cast costs far more than a comparison."""
+    return F.nullif(text, F.lit("")).try_cast("double")
+
+
+def _factors(units: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for name, size in units.items() for x in (name, float(size))])
+
+
 def parse_duration(text: Column) -> Column:
     """`1h9m20.6s`, `350ms` or a bare number of seconds, as seconds; 0 for anything else."""
 
-    def part(unit: str) -> Column:
-        return F.coalesce(F.regexp_extract(text, rf"(\d+(?:\.\d+)?){unit}", 1).try_cast("double"), F.lit(0.0))
+    def part(unit: str, name: str) -> Column:
+        found = _number(F.regexp_extract(text, rf"(\d+(?:\.\d+)?){unit}", 1))
+        return F.when(F.contains(text, F.lit(name)), F.coalesce(found, F.lit(0.0))).otherwise(0.0)
 
-    total = part("h") * 3600 + part("m(?!s)") * 60 + part("s") + part("ms") / 1000
-    bare = F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("double")
-    return F.coalesce(bare, total)
+    total = part("h", "h") * 3600 + part("m(?!s)", "m") * 60 + part("s", "s") + part("ms", "ms") / 1000
+    bare = _number(F.replace(F.trim(text), F.lit(","), F.lit("")))
+    has_unit = F.contains(text, F.lit("h")) | F.contains(text, F.lit("m")) | F.contains(text, F.lit("s"))  # no number has these letters
+    return F.when(has_unit, total).otherwise(F.coalesce(bare, F.lit(0.0)))
 
 
 # Bytes per unit.
@@ -179,21 +190,20 @@ BYTE_UNITS = {
 def parse_bytes(text: Column) -> Column:
     """`5.01 GiB` or `12 MB` as bytes, with 1024 and 1000 units kept apart; 0 without a unit."""
     form = r"^\s*(\d+(?:\.\d+)?)\s*([KMGT]?I?B)"
-    number = F.regexp_extract(F.upper(text), form, 1).try_cast("double")
-    unit = F.regexp_extract(F.upper(text), form, 2)
-    factor = F.coalesce(*[F.when(unit == name, F.lit(float(size))) for name, size in BYTE_UNITS.items()], F.lit(1.0))
+    number = _number(F.regexp_extract(F.upper(text), form, 1))
+    factor = F.coalesce(F.try_element_at(_factors(BYTE_UNITS), F.regexp_extract(F.upper(text), form, 2)), F.lit(1.0))
     return F.coalesce(F.floor(number * factor).cast("bigint"), F.lit(0).cast("bigint"))
 
 
+# Megabytes per unit; M and none are one.
+SIZE_UNITS = {"P": 1024.0**3, "T": 1024.0**2, "G": 1024.0, "K": 1 / 1024.0}
+
+
 def parse_size_mb(text: Column) -> Column:
     """`10G`, `512M`, `2T` or `300K` as megabytes; a bare number already is; 0 for anything else."""
     form = r"^([\d.]+)([KMGTP]?)(?:I?B)?$"
-    number = F.regexp_extract(F.upper(F.trim(text)), form, 1).try_cast("double")
-    unit = F.regexp_extract(F.upper(F.trim(text)), form, 2)
-    factor = (
-        F.when(unit == "P", 1024.0**3).when(unit == "T", 1024.0**2).when(unit == "G", 1024.0)
-        .when(unit == "K", 1 / 1024.0).otherwise(1.0)
-    )
+    number = _number(F.regexp_extract(F.upper(F.trim(text)), form, 1))
+    factor = F.coalesce(F.try_element_at(_factors(SIZE_UNITS), F.regexp_extract(F.upper(F.trim(text)), form, 2)), F.lit(1.0))
     return F.coalesce(number * factor, F.lit(0.0))
 
 
@@ -212,6 +222,6 @@ def safe_double(text: Column, default: float = 0.0) -> Column:
     bare = F.regexp_replace(F.trim(text), r"[^0-9.\-]", "")
     dot = F.instr(bare, ".")
     tail = F.replace(F.substr(bare, dot + 1), F.lit("."), F.lit(""))
-    number = F.when(dot > 0, F.concat(F.substr(bare, F.lit(1), dot), tail)).otherwise(bare)
-    value = F.when(~F.trim(text).isin(NO_NUMBER), number.try_cast("double"))
+    number = F.when(F.contains(text, F.lit(".")), F.concat(F.substr(bare, F.lit(1), dot), tail)).otherwise(bare)
+    value = F.when(~F.trim(text).isin(NO_NUMBER), _number(number))
     return F.coalesce(value, F.lit(default))

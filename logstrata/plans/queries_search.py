@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p
-from ..functions.fields import field, flatten_fields, kv_pairs, parse_json, text_field, with_fields
+from ..functions.fields import compute_once, field, flatten_fields, kv_pairs, parse_json, text_field, with_fields
 from ..functions.paths import component_of, file_type, is_log_file, log_type_of, node_of, service_of, suitable
 from ..functions.text import (
     clean_line, correlation_ids, error_signature, extract_ts, is_variable, match_hash, normalize_message, parse_bytes,
@@ -227,9 +227,11 @@ def units_to_numbers(t):
     d = F.col("duration_ms")
     hms = F.concat(F.floor(d / 3600), F.lit("h"), F.floor((d % 3600) / 60), F.lit("m"), d % 60, F.lit("s"))
     rows = t.request_log().select(
-        "status", parse_duration(hms).alias("s"), parse_bytes(F.concat("mem_kb", F.lit(" KiB"))).alias("b"),
-        parse_size_mb(F.concat("mem_kb", F.lit("G"))).alias("mb"), safe_double(F.concat("db_ms", F.lit("%"))).alias("c"),
+        "status", hms.alias("hms"), F.concat("mem_kb", F.lit(" KiB")).alias("kib"), F.concat("mem_kb", F.lit("G")).alias("g"), F.concat("db_ms", F.lit("%")).alias("cell"),
     )
+    # one number after the other: code for all of them at once is a method too long for the JVM's compiler
+    for text, name, number in (("hms", "s", parse_duration), ("kib", "b", parse_bytes), ("g", "mb", parse_size_mb), ("cell", "c", safe_double)):
+        rows = compute_once(compute_once(rows, **{text: F.col(text)}), **{name: number(F.col(text))}).drop(text)
     return rows.groupBy("status").agg(
         F.sum("s").cast("bigint").alias("seconds"), F.sum("b").alias("bytes"), F.sum("mb").cast("bigint").alias("mb"), F.sum("c").cast("bigint").alias("cells")
     )

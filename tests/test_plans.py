@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from logstrata.functions import predicates as p
 from logstrata.functions.fields import field, with_fields
+from logstrata.functions.text import parse_bytes, parse_duration
 from logstrata.operators import ordered, search
 from logstrata.plans import all_queries
-from logstrata.plans.derived import Tables
+from logstrata.plans.derived import Tables, spread
 from logstrata.plans.registry import runner
 
 
@@ -68,3 +69,33 @@ def test_generated_code_compiles(spark, name):
     text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan_of)
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(-?\d+)", text)]
     assert sizes and all(0 < x < 65_536 for x in sizes), sizes
+
+
+def test_more_rows_make_more_tasks_not_longer_ones(spark, tmp_path):
+    """One tightly packed file goes to more tasks than there are cores when it has many rows."""
+    path = str(tmp_path / "t")
+    spark.range(1_000_000).coalesce(1).write.parquet(path)
+    found = spread(spark.read.parquet(path), rows=100_000)
+    assert found.rdd.getNumPartitions() == 10 and found.distinct().count() == 1_000_000
+    assert spread(spark.read.parquet(path), rows=2_000_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_units_are_compiled_by_the_jvm(spark):
+    """The JVM interprets methods of 8000 bytes or more, several times as slowly."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan_of = runner(all_queries()["units_to_numbers"])(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan_of)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(-?\d+)", text)]
+    assert sizes and all(0 < x < 8000 for x in sizes), sizes
+
+
+def test_numbers_of_odd_texts(spark):
+    rows = [("1h9m20.6s", 4160.6), ("350ms", 0.35), (" 1,200 ", 1200.0), ("1e3", 1000.0), ("", 0.0), ("ms", 0.0), ("2h x", 7200.0), (None, 0.0)]
+    df = spark.createDataFrame(rows, "x string, want double").select(parse_duration(F.col("x")).alias("got"), "want")
+    assert df.where("got <> want").isEmpty()
+    sizes = [("5.01 GiB", 5379446538), ("12 MB", 12_000_000), ("12 IB", 12), ("kb", 0), (None, 0)]
+    df = spark.createDataFrame(sizes, "x string, want long").select(parse_bytes(F.col("x")).alias("got"), "want")
+    assert df.where("got <> want").isEmpty()
