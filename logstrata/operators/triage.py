@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.error_rules import alternation, sql_text
 from ..functions.fields import compute_once
+from ..session import cut_lineage
 
 # Services of the fleet health table.
 HEALTH_SERVICES = "postgresql sidekiq gitaly rails redis nginx registry pages prometheus".split()
@@ -120,11 +121,12 @@ def is_geo_file(path: Column) -> Column:
     return F.lower(path).rlike(r"(^|/)geo[-_/.]|[-_]geo[-_/.]|/geo(_\w+)?\.log")
 
 
-def deep_dive(lines: DataFrame, files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def deep_dive(lines: DataFrame, files: DataFrame, rules: DataFrame | None = None, most: int = 500_000) -> DataFrame:
     """Lines per (service, category) with subtotals: every line against the rules of its file's service.
 
     The rules are a small reference table and become literal patterns, compiled once per task; a service's rules
-    run on its own lines only. A line may fall into several categories.
+    run on its own lines only. A line may fall into several categories. Lines stay where they are, so that a long file is not one
+    task's work: the list of files is broadcast if it has `most` rows or fewer, and joined as any table beyond.
     """
     spark = lines.sparkSession
     by_service: dict[str, list] = {}
@@ -136,7 +138,8 @@ def deep_dive(lines: DataFrame, files: DataFrame, rules: DataFrame | None = None
         cells = ", ".join(f"CASE WHEN rlike(content, {sql_text('(?i)' + p)}) THEN {sql_text(c)} END" for c, p in rows)
         whens.append(f"WHEN {sql_text(service)} THEN CASE WHEN rlike(content, {every}) THEN array_distinct(array_compact(array({cells}))) END")
     categories = F.expr(f"CASE service {' '.join(whens)} END")
-    found = lines.join(files.select("session_id", "path", F.when(is_geo_file(F.col("path")), "geo").otherwise(F.col("service")).alias("service")), ["session_id", "path"])
+    named = cut_lineage(files.select("session_id", "path", F.when(is_geo_file(F.col("path")), "geo").otherwise(F.col("service")).alias("service")))
+    found = lines.join(F.broadcast(named) if named.count() <= most else named, ["session_id", "path"])
     found = compute_once(found, _c=categories).select("service", F.explode("_c").alias("category"))
     return found.rollup("service", "category").agg(F.count(F.lit(1)).alias("lines"), F.grouping_id().alias("level"))
 
