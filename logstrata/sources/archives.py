@@ -149,6 +149,32 @@ def archive_lines(files: DataFrame, batch: int = 10_000) -> DataFrame:
     return files.select("session_id", "path", "content").mapInPandas(run, LINE_SCHEMA)
 
 
+#: Bytes of packed files that a task unpacks before it hands them on.
+PIECE_BYTES = 4_000_000
+
+
+def pieces_of(batches, column: str, most: int = PIECE_BYTES):
+    """Arrow batches cut into slices with `most` bytes of a string or binary column, or one row: only a slice is held as Python objects."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        start = held = 0
+        for k, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            if k > start and held + (size or 0) > most:
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += size or 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def with_content(rows, content: list):
+    """An Arrow batch with the column `content`."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(content, pa.binary())], names=[*rows.schema.names, "content"])
+
+
 def unpack_rotated(data: bytes) -> bytes:
     """Gzip, then zlib, then the bytes as they are."""
     for decode in (gzip.decompress, zlib.decompress):
@@ -172,10 +198,10 @@ def read_rotated(files: DataFrame) -> DataFrame:
     numbers = numbers.join(with_current, ["session_id", "folder"], "left").select("session_id", "path", "n", F.coalesce("stem", service).alias("stem"))
 
     def run(batches):
-        for pdf in batches:
-            yield pdf.assign(content=[unpack_rotated(b) for b in pdf["content"]])
+        for part in pieces_of(batches, "content"):
+            yield with_content(part.select(["session_id", "path"]), [unpack_rotated(b) for b in part["content"].to_pylist()])
 
-    plain = rows.select("session_id", "path", "content").mapInPandas(run, "session_id string, path string, content binary")
+    plain = rows.select("session_id", "path", "content").mapInArrow(run, "session_id string, path string, content binary")
     number = F.expr("lpad(CAST(n AS STRING), greatest(3, length(CAST(n AS STRING))), '0')")  # never cut
     renamed = F.concat(folder, F.col("stem"), F.lit("."), number, F.lit(".log"))
     return plain.join(numbers, ["session_id", "path"]).select("session_id", renamed.alias("path"), F.col("path").alias("original"), "content")

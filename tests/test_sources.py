@@ -7,6 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from logstrata.plans.queries_sources import split_bytes
 from logstrata.sources import archives
 from logstrata.sources import lines as source
 from logstrata.streaming import jobs
@@ -140,3 +141,19 @@ def test_patterns_that_only_the_jvm_reads(spark):
     from logstrata.functions.error_rules import gate_words, required_words
 
     assert required_words(r"(?<name>failure) of \\p{L}+") is None and gate_words(["certainly", r"\\p{L}+(?<x>y)"]) is None
+
+
+def test_rotated_logs_are_unpacked_in_small_pieces():
+    """A batch of files is never held unpacked as a whole; none is lost or cut, null and empty ones included."""
+    import pyarrow as pa
+
+    bodies = [b"x" * n for n in (0, 10, 2000, 5, 990, 11, 3)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(bodies, pa.binary())], names=["k", "content"])
+    parts = list(archives.pieces_of([batch, batch.slice(0, 0)], "content", most=1000))
+    assert [b for p in parts for b in p["content"].to_pylist()] == bodies
+    assert all(p.num_rows == 1 or sum(len(b or b"") for b in p["content"].to_pylist()) <= 1000 for p in parts) and len(parts) == 4
+
+
+def test_splits_of_large_files_do_not_grow_in_number():
+    assert split_bytes(10_000_000) == 40_000
+    assert all(total / split_bytes(total) <= 1001 for total in (50_000_000, 2 * 10**9, 12 * 10**9))
