@@ -589,7 +589,8 @@ def id_catalog(events: DataFrame, limit: int | None = None) -> DataFrame:
 
 def trace_chains(events: DataFrame) -> DataFrame:
     """One row per id: roll-up, root cause, failure point, completeness and the length of its critical path."""
-    clocked = causal_rank(lamport(conform(events)))
+    # what clocks and causes are read from: messages and other columns are not shuffled with them
+    clocked = causal_rank(lamport(conform(events).select(ID, "event_key", "t_ms", "component", "event_type", "severity", "job_id", "request_id")))
     paths = critical_path(events).select(ID, "event_key", "earliest_start", "is_critical")
     full = clocked.join(paths, [ID, "event_key"], "left")
     causes = root_and_failure(full)
