@@ -104,6 +104,10 @@ def resolve_field(name: str) -> Column:
     return F.coalesce(*found, text_field(F.col("content"), name))
 
 
+# The types of fields, by name.
+TYPES = ["array", "boolean", "number", "object", "string", "unknown"]
+
+
 def json_type(schema: Column) -> Column:
     """Type name from the schema text of a VARIANT value: string, number, boolean, array, object or unknown."""
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import field, flatten_fields, kv_pairs, with_fields
+from ..functions.fields import TYPES, field, flatten_fields, kv_pairs, with_fields
 from ..functions.paths import basename
 from ..session import cut_lineage
 
@@ -43,9 +43,9 @@ def top_values(field_values: DataFrame, k: int = 10) -> DataFrame:
     return by_value.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def with_whole_values(top: DataFrame, lines: DataFrame) -> DataFrame:
+def with_whole_values(top: DataFrame, lines: DataFrame, tasks: int | None = None) -> DataFrame:
     """top_values with the whole text of long values, which a second scan fetches if there are any; a row for each of k per field."""
-    top = cut_lineage(top)
+    top = cut_lineage(top, tasks)
     if top.where("key IS NOT NULL").isEmpty():
         return top
     found = line_fields(lines).where(F.length("text") >= LONG).select("field", F.sha2("text", 256).alias("key"), "text")
@@ -53,14 +53,15 @@ def with_whole_values(top: DataFrame, lines: DataFrame) -> DataFrame:
     return top.join(whole, ["field", "key"], "left").withColumn("value", F.coalesce("text", "value")).drop("text")
 
 
-def discover_fields(lines: DataFrame, k: int = 10) -> DataFrame:
-    """Per field: count, majority type, top-k sample values and whether more than 10 % of the lines have it."""
-    counts = cut_lineage(_value_counts(lines))
+def discover_fields(lines: DataFrame, k: int = 10, tasks: int | None = None) -> DataFrame:
+    """Per field: count, majority type, top-k sample values and whether more than 10 % of the lines have it. The counts are merged by
+    `tasks` tasks."""
+    counts = cut_lineage(_value_counts(lines), tasks)
     votes = counts.groupBy("field", "type").agg(F.sum("n").alias("n"))
     per_field = votes.groupBy("field").agg(
         F.sum("n").alias("count"), F.max_by("type", F.struct("n", "type")).alias("type")
     )
-    samples = with_whole_values(top_values(counts, k), lines).groupBy("field").agg(
+    samples = with_whole_values(top_values(counts, k), lines, tasks).groupBy("field").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("sample_values")
     )
     total = lines.agg(F.count(F.lit(1)).alias("lines")).scalar()
@@ -69,23 +70,26 @@ def discover_fields(lines: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def field_profile(lines: DataFrame, k: int = 20) -> DataFrame:
-    """Per file and field: first type, count, whether null occurs, distinct values, up to `k` samples in text order."""
-    rows = line_fields(lines)
-    counts = cut_lineage(rows.groupBy(*FILE, "field", "text").agg(
-        F.count(F.lit(1)).alias("n"), F.min("type").alias("type"), F.bool_or(F.col("text").isNull()).alias("has_null")
-    ))
+def field_counts(lines: DataFrame) -> DataFrame:
+    """Occurrences per (file, field, text), with the place of the first type in TYPES: a number, which is kept in a hash table, while rows
+    are sorted for the least of texts."""
+    place = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type")).cast("int")
+    return line_fields(lines).groupBy(*FILE, "field", "text").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("type"))
+
+
+def field_profile(lines: DataFrame, k: int = 20, tasks: int | None = None) -> DataFrame:
+    """Per file and field: first type, count, whether null occurs, distinct values, up to `k` samples in text order. The counts are merged
+    by `tasks` tasks, so give more for more lines."""
+    counts = cut_lineage(field_counts(lines), tasks)
     order = Window.partitionBy(*FILE, "field").orderBy("text")
     head = counts.where("text is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     samples = head.groupBy(*FILE, "field").agg(F.array_sort(F.collect_list("text")).alias("samples"))
-    return (
-        counts.groupBy(*FILE, "field")
-        .agg(
-            F.sum("n").alias("count"), F.min(F.when(F.col("text").isNotNull(), F.col("type"))).alias("type"),
-            F.bool_or("has_null").alias("nullable"), F.count("text").alias("distinct_values"),
-        )
-        .join(samples, [*FILE, "field"], "left")
+    found = counts.groupBy(*FILE, "field").agg(
+        F.sum("n").alias("count"), F.min(F.when(F.col("text").isNotNull(), F.col("type"))).alias("type"),
+        F.bool_or(F.col("text").isNull()).alias("nullable"), F.count("text").alias("distinct_values"),
     )
+    name = F.get(F.array(*[F.lit(t) for t in TYPES]), F.col("type") - 1)
+    return found.withColumn("type", name).join(samples, [*FILE, "field"], "left")
 
 
 def file_metadata(lines: DataFrame) -> DataFrame:

@@ -136,13 +136,18 @@ TASK_ROWS = 150_000
 TASK_DOCUMENTS = 20_000
 
 
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """How many tasks costly work on the rows of an input takes: one a core, and more the more rows there are."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
     """Rows of an input with too few splits, dealt out before costly work: to all cores, and to more tasks the more rows there are, so
     that time and memory of a task are bounded. Rows are counted from the files' footers.
 
     Small or tightly packed files end up in few tasks otherwise. Inputs with enough splits are left as they are.
     """
-    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    pieces = tasks_for(df, rows)
     return df.repartition(pieces) if df.rdd.getNumPartitions() < pieces else df
 
 
@@ -156,6 +161,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def tasks(self, source: str) -> int:
+        """Tasks for a merge whose rows are as many as those of `source`, or a small multiple."""
+        return tasks_for(self.read(source))
+
     def _sql(self, text: str, source: str) -> DataFrame:
         return self.spark.sql(text.replace(f"FROM {source}", f"FROM parquet.`{self.folder}/{source}.parquet`"))
 

@@ -362,7 +362,7 @@ s AS (SELECT field, string_agg(value, '|' ORDER BY rk) AS samples FROM r WHERE r
 SELECT field, CASE WHEN field IN ('status', 'ctx.k', 'duration_ms') THEN 'number' ELSE 'string' END AS type, n AS count, TRUE AS is_common, samples FROM t JOIN s USING (field)
 UNION ALL SELECT 'ctx', 'object', (SELECT count(*) FROM log_lines), TRUE, ''""")
 def discovered_fields(t):
-    rows = profile.discover_fields(t.log_lines(numbered=False).select("session_id", "path", "content"))
+    rows = profile.discover_fields(t.log_lines(numbered=False).select("session_id", "path", "content"), tasks=t.tasks("events"))
     return rows.withColumn("samples", F.coalesce(F.concat_ws("|", "sample_values"), F.lit(""))).drop("sample_values")
 
 
@@ -374,7 +374,7 @@ WITH f AS (SELECT session_id, path, unnest([
 c AS (SELECT session_id, path, x.field AS field, x.type AS type, x.v AS v, count(*) AS n FROM f GROUP BY 1, 2, 3, 4, 5)
 SELECT session_id, path, field, CAST(sum(n) AS BIGINT) AS count, type, FALSE AS nullable, count(*) AS distinct_values, array_to_string(list(v ORDER BY v)[1:20], '|') AS samples FROM c GROUP BY 1, 2, 3, 5""")
 def field_profiles(t):
-    rows = profile.field_profile(t.log_lines(numbered=False).select("session_id", "path", "content"))
+    rows = profile.field_profile(t.log_lines(numbered=False).select("session_id", "path", "content"), tasks=t.tasks("events"))
     return rows.withColumn("samples", F.concat_ws("|", "samples"))
 
 
@@ -419,7 +419,7 @@ SELECT 1 AS rank, 'Severity: errors' AS name, 'severity' AS field, ':' AS operat
 UNION ALL SELECT 2, 'Requests that failed on the server', 'status', '>=', '500' UNION ALL SELECT 3, 'Requests refused as wrong', 'status', '400..499', NULL
 UNION ALL SELECT 8, 'Without debug lines', 'level', '!=', 'debug' UNION ALL SELECT 9, 'Everything of rails', 'service', ':', 'rails:*' UNION ALL SELECT 10, 'Everything of the workers', 'service', ':', '*worker*'""")
 def suggested_filters(t):
-    return profile.suggest_filters(profile.discover_fields(t.log_lines(numbered=False).select("session_id", "path", "content")))
+    return profile.suggest_filters(profile.discover_fields(t.log_lines(numbered=False).select("session_id", "path", "content"), tasks=t.tasks("events")))
 
 
 @query("distinct_sessions", "H2", "log_lines", "SELECT DISTINCT correlation_id FROM log_lines WHERE status >= 500")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from logstrata.functions.fields import field, flatten_fields, with_fields
 from logstrata.operators import kube, profile, triage
+from logstrata.session import cut_lineage
 
 from .conftest import lines_frame
 
@@ -60,3 +61,13 @@ def test_long_values_are_samples(spark):
     lines = lines_frame(spark, [json.dumps({"v": v}) for v in values] + ["v=" + "y" * 300])
     (row,) = [r for r in profile.discover_fields(lines, k=4).collect() if r.field == "v"]
     assert (row["count"], row.type, row.sample_values) == (9, "string", [start + "a", "short", start + "b", "y" * 300])
+
+
+def test_counts_are_hashed_and_merged_by_tasks(spark):
+    lines = lines_frame(spark, ['{"v":"1"}', '{"v":1}', '{"v":1}', '{"v":null}', '{"v":"a","w":true}', "v=zz"])
+    counts = profile.field_counts(lines)
+    assert "SortAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert cut_lineage(counts, 7).rdd.getNumPartitions() == 7
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    found = {r.field: (r["count"], r.type, r.nullable, r.distinct_values, r.samples) for r in profile.field_profile(lines, k=2, tasks=7).collect()}
+    assert found == {"v": (6, "number", True, 3, ["1", "a"]), "w": (1, "boolean", False, 1, ["true"])}
