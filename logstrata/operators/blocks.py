@@ -167,12 +167,13 @@ def trace_dialect(block: Column) -> Column:
 def stack_trace(block: Column, fmt: Column) -> Column:
     """Trace lines of a block by dialect; null when there are none."""
     trim = lambda xs: F.transform(xs, lambda x: F.trim(x, F.lit(" \t\r")))
-    head = F.array_position(F.transform(block, lambda x: x.contains("Traceback")), F.lit(True)).cast("int")
-    tail = F.slice(block, head, F.size(block))
-    outside = F.transform(tail, lambda x, i: (i > 0) & ~(x.startswith(" ") | x.contains("File") | x.contains("Traceback")))
-    stop = F.array_position(outside, F.lit(True)).cast("int")
-    python = F.when(head > 0, F.when(stop > 0, F.slice(tail, 1, stop - 1)).otherwise(tail))
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  a value that is used more than once is computed once
+    first = lambda flags: F.array_position(flags, F.lit(True)).cast("int")
+    outside = lambda x, i: (i > 0) & ~(x.startswith(" ") | x.contains("File") | x.contains("Traceback"))
+    inside = lambda tail: once(first(F.transform(tail, outside)), lambda n: F.when(n > 0, F.slice(tail, 1, n - 1)).otherwise(tail))
+    head = first(F.transform(block, lambda x: x.contains("Traceback")))
+    python = once(head, lambda n: F.when(n > 0, once(F.slice(block, n, F.size(block)), inside)))
     java = F.filter(block, lambda x: x.contains("Exception") | x.rlike(r"^\s*at ") | x.contains("Caused by:"))
     go = F.filter(block, lambda x: x.rlike(r"panic:|goroutine|\.go:"))
     lines = F.when(fmt == "python_stack", trim(python)).when(fmt == "java_stack", trim(java)).when(fmt == "go_stack", trim(go))
-    return F.when(F.size(lines) > 0, lines)
+    return F.get(F.filter(F.array(lines), lambda xs: F.size(xs) > 0), 0)

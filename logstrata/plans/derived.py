@@ -172,11 +172,13 @@ class Tables:
         """_sql over the spread rows of the source, which are narrower than what the SQL makes of them."""
         return self.spark.sql(text.replace(f"FROM {source}", "FROM {rows}"), rows=spread(self.read(source), rows))
 
-    def log_lines(self, numbered: bool = True) -> DataFrame:
-        """`numbered=False` leaves out `line_no` and the second scan that computes it."""
-        text = F.expr(LOG_CONTENT)
-        rows = compute_once(self._spread_sql(LOG_BASE + "SELECT * FROM m", "events"), message=F.col("message"))
-        rows = compute_once(rows, content=text).select(*LOG_NAMES)
+    def log_lines(self, numbered: bool = True, texts: bool = True) -> DataFrame:
+        """`numbered=False` leaves out `line_no` and the second scan that computes it; `texts=False` message and content, which are made
+        for every line otherwise, read or not."""
+        rows = self._spread_sql(LOG_BASE + "SELECT * FROM m", "events")
+        if texts:
+            rows = compute_once(compute_once(rows, message=F.col("message")), content=F.expr(LOG_CONTENT))
+        rows = rows.select(*[c for c in LOG_NAMES if texts or c not in ("message", "content")])
         if not numbered:
             return rows
         keys = self._sql(LOG_BASE + "SELECT session_id, path, ts FROM m", "events")

@@ -213,4 +213,4 @@ def stack_traces(t):
     java = F.array(F.lit("x"), F.concat(F.lit("a.b.Exception: "), sev), F.concat(F.lit("   at f("), k, F.lit(")")))
     go = F.array(F.concat(F.lit("panic: "), sev), F.lit("x"), F.concat(F.lit("  main.go:"), k))
     shown = [F.array_join(stack_trace(b, F.lit(f"{n}_stack")), "|").alias(n) for n, b in (("python", block), ("java", java), ("go", go))]
-    return t.log_lines(numbered=False).select("event_id", *shown)
+    return t.log_lines(numbered=False, texts=False).select("event_id", *shown)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from logstrata.functions import error_rules as rules
 from logstrata.operators import blocks, errors
+from logstrata.plans.derived import Tables
+from logstrata.plans.registry import REGISTRY
 
 from .conftest import lines_frame
 
@@ -147,6 +149,18 @@ def test_traces_below_a_timestamped_line(spark):
         assert found.stack_trace is not None and len(found.stack_trace) == lines, found.stack_trace
 
 
+def test_trace_lines_are_found_once(spark, tmp_path):
+    texts = [["a", "Traceback", "  File 1", "x"], ["Traceback", " b"], ["a", "b"], [], None, ["panic: a", "b", " x.go:1"], ["B.Exception", "  at c()", "d"]]
+    rows = spark.createDataFrame([(x,) for x in texts], "block array<string>")
+    got = rows.select(*[blocks.stack_trace(F.col("block"), F.lit(f"{n}_stack")) for n in ("python", "go", "java")]).collect()
+    assert [r[0] for r in got] == [["Traceback", "File 1"], ["Traceback", "b"], None, None, None, None, None]
+    assert [r[1] for r in got] == [None] * 5 + [["panic: a", "x.go:1"], None] and [r[2] for r in got] == [None] * 6 + [["B.Exception", "at c()"]]
+    spark.sql("SELECT 1L event_id, TIMESTAMP'2024-01-01' ts, 2L user_id, 'error' event_type, 1.5D value, '{\"k\": 7}' props").write.parquet(f"{tmp_path}/events.parquet")
+    found = REGISTRY["stack_traces"].run(Tables(spark, str(tmp_path)))
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no line's text is made
+    assert found.first().python == 'Traceback here|File "x.py", line 7|raise ERROR'
+
+
 def test_unknown_words_and_patterns_in_a_search(spark):
     from logstrata.operators import search
     from pyspark.sql import functions as F
