@@ -132,6 +132,8 @@ def oracle_prefix(tables: list[str], body: str) -> str:
 
 #: Rows of an input that one task of costly work gets at most, about.
 TASK_ROWS = 150_000
+#: The same of lines whose fields are sorted, of which a line has many.
+TASK_LINES_OF_FIELDS = 50_000
 #: The same of documents, which are of many lines.
 TASK_DOCUMENTS = 20_000
 
@@ -172,10 +174,10 @@ class Tables:
         """_sql over the spread rows of the source, which are narrower than what the SQL makes of them."""
         return self.spark.sql(text.replace(f"FROM {source}", "FROM {rows}"), rows=spread(self.read(source), rows))
 
-    def log_lines(self, numbered: bool = True, texts: bool = True) -> DataFrame:
+    def log_lines(self, numbered: bool = True, texts: bool = True, task_rows: int = TASK_ROWS) -> DataFrame:
         """`numbered=False` leaves out `line_no` and the second scan that computes it; `texts=False` message and content, which are made
-        for every line otherwise, read or not."""
-        rows = self._spread_sql(LOG_BASE + "SELECT * FROM m", "events")
+        for every line otherwise, read or not. A task gets `task_rows` lines at most, about."""
+        rows = self._spread_sql(LOG_BASE + "SELECT * FROM m", "events", task_rows)
         if texts:
             rows = compute_once(compute_once(rows, message=F.col("message")), content=F.expr(LOG_CONTENT))
         rows = rows.select(*[c for c in LOG_NAMES if texts or c not in ("message", "content")])

@@ -12,6 +12,7 @@ from ..functions.text import (
     parse_duration, parse_size_mb, safe_double,
 )
 from ..operators import profile, search
+from .derived import TASK_LINES_OF_FIELDS
 from .registry import query
 
 # the JSON of a log line is known, so its fields are plain columns for the oracle
@@ -139,7 +140,8 @@ SELECT field, type, count(*) AS n, min(text) AS low, max(text) AS high FROM (
  SELECT 'meta.user', 'string', concat('u', CAST(user_id AS STRING)) FROM log_lines UNION ALL SELECT 'ctx.k', 'number', CAST(k AS STRING) FROM log_lines UNION ALL
  SELECT 'ctx', 'object', concat('{"k":', CAST(k AS STRING), '}') FROM log_lines UNION ALL SELECT 'message', 'string', message FROM log_lines) x GROUP BY 1, 2""")
 def json_fields_flattened(t):
-    rows = flatten_fields(with_fields(t.log_lines(numbered=False).select("content")))
+    lines = t.log_lines(numbered=False, task_rows=TASK_LINES_OF_FIELDS)
+    rows = flatten_fields(with_fields(lines.select("content")))
     return rows.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("low"), F.max("text").alias("high"))
 
 

@@ -80,6 +80,17 @@ def test_more_rows_make_more_tasks_not_longer_ones(spark, tmp_path):
     assert spread(spark.read.parquet(path), rows=2_000_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_sorted_fields_make_more_tasks_than_lines_do(spark, tmp_path):
+    """A line has many fields, which are sorted by name in a task; a task gets fewer lines for that, and all lines are counted."""
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    events.union(events).union(events).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    df = runner(all_queries()["json_fields_flattened"])(spark, str(tmp_path))
+    dealt = [int(n) for n in re.findall(r"RoundRobinPartitioning\((\d+)\)", plan(df))]
+    assert dealt and min(dealt) == 6  # of 300,000 lines
+    got = df.collect()
+    assert len(got) == 9 and {r.n for r in got} == {300_000}
+
+
 def test_units_are_compiled_by_the_jvm(spark):
     """The JVM interprets methods of 8000 bytes or more, several times as slowly."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
