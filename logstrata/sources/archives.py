@@ -127,8 +127,12 @@ def error_of(path: str, data: bytes) -> str | None:
     return None
 
 
-def archive_lines(files: DataFrame, batch: int = 10_000) -> DataFrame:
-    """Lines of extracted files, in batches so that a long file never becomes one huge batch of rows."""
+def archive_lines(files: DataFrame, batch: int = 10_000, returns: bool = False, empty: bool = False) -> DataFrame:
+    """Lines of extracted files, in batches so that a long file never becomes one huge batch of rows.
+
+    Carriage returns before a newline are part of the line's end, or, with `returns`, of the line. With `empty`, a file without
+    lines has a row with line number 0 and no content.
+    """
 
     def run(batches):
         import pandas as pd
@@ -142,8 +146,10 @@ def archive_lines(files: DataFrame, batch: int = 10_000) -> DataFrame:
                 lines = data.decode("utf-8", "replace").split("\n")
                 if lines and lines[-1] == "":
                     lines.pop()
+                if empty and not lines:
+                    yield pd.DataFrame({"session_id": [session], "path": [path], "line_no": [0], "content": [None]})
                 for start in range(0, len(lines), batch):
-                    part = [line.rstrip("\r") for line in lines[start : start + batch]]
+                    part = [line if returns else line.rstrip("\r") for line in lines[start : start + batch]]
                     yield pd.DataFrame({"session_id": session, "path": path, "line_no": range(start + 1, start + len(part) + 1), "content": part})
 
     return files.select("session_id", "path", "content").mapInPandas(run, LINE_SCHEMA)

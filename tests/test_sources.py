@@ -5,9 +5,12 @@ import tarfile
 import zipfile
 import zlib
 
+import duckdb
 from pyspark.sql import functions as F
 
+from logstrata.plans import all_queries
 from logstrata.plans.queries_sources import split_bytes
+from logstrata.plans.registry import runner
 from logstrata.sources import archives
 from logstrata.sources import lines as source
 from logstrata.streaming import jobs
@@ -157,3 +160,18 @@ def test_rotated_logs_are_unpacked_in_small_pieces():
 def test_splits_of_large_files_do_not_grow_in_number():
     assert split_bytes(10_000_000) == 40_000
     assert all(total / split_bytes(total) <= 1001 for total in (50_000_000, 2 * 10**9, 12 * 10**9))
+
+
+def test_lines_of_odd_archives_are_those_of_the_sql(spark, tmp_path):
+    """Files without lines, missing texts, carriage returns before newlines, and ids that repeat."""
+    texts = ["", "\n", "\r\n", "a\r\nb\r", "a\n\n", "\x00\u2028b\n", None, "last", "", None]
+    spark.createDataFrame([(i % 7, x) for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    q = all_queries()["lines_from_archives"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda row: tuple(map(str, row))
+    assert sorted(map(tuple, runner(q)(spark, str(tmp_path)).collect()), key=key) == sorted(con.execute(q.oracle).fetchall(), key=key)
+    files = spark.createDataFrame([("s", "a.log", b"x\r\ny\r\n"), ("s", "e.log", b"")], "session_id string, path string, content binary")
+    found = lambda **how: sorted((r.path, r.line_no, r.content) for r in archives.archive_lines(files, **how).collect())
+    assert found() == [("a.log", 1, "x"), ("a.log", 2, "y")]
+    assert found(returns=True, empty=True) == [("a.log", 1, "x\r"), ("a.log", 2, "y\r"), ("e.log", 0, None)]
