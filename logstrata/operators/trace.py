@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_left
 from collections import deque
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -349,6 +350,13 @@ class _Window:
 KINDS = [None, *SHARED_IDS]
 
 
+@lru_cache(maxsize=None)
+def _ways(forward: bool, a: tuple, b: tuple) -> tuple:
+    """(shared identifier or None, reach) of the ways in which a class of events can cause (forward) or follow another."""
+    reaches = ((kind, reach_ms(*(a + b if forward else b + a), kind)) for kind in KINDS)
+    return tuple((kind, reach) for kind, reach in reaches if reach >= 0)
+
+
 class _Pass:
     """Recurrence over the events of one id in time order (forward) or reverse (backward).
 
@@ -362,15 +370,12 @@ class _Pass:
     def visit(self, comp, typ, ids, when):
         """(best value, greatest depth) over the neighbours of an event, or (None, None)."""
         value = depth = None
-        for c, t in self.classes:
-            for kind in KINDS:
+        for other in self.classes:
+            for kind, reach in _ways(self.forward, other, (comp, typ)):
                 ident = None if kind is None else ids[kind]
                 if kind is not None and not ident:
                     continue
-                reach = reach_ms(c, t, comp, typ, kind) if self.forward else reach_ms(comp, typ, c, t, kind)
-                if reach < 0:
-                    continue
-                key = (c, t, kind, ident)
+                key = (*other, kind, ident)
                 v = self.window.best(key, when - reach)
                 if v is not None:
                     value = v if value is None else max(value, v)
@@ -385,6 +390,18 @@ class _Pass:
                 self.window.add((comp, typ, kind, ident), when, value)
                 self.depths.add((comp, typ, kind, ident), when, depth)
 
+    def take(self, comp, typ, ids, t, dur, es):
+        """(value, depth) of the next event: its earliest start and depth, or its latest start, which is `es` without effects."""
+        when = t if self.forward else -t
+        value, depth = self.visit(comp, typ, ids, when)
+        if self.forward:
+            value, depth = (0.0, 0) if value is None else (max(value, 0.0), depth + 1)
+            self.add(comp, typ, ids, when, value + dur, depth)
+        else:
+            value, depth = es if value is None else -value - dur, 0
+            self.add(comp, typ, ids, when, -value, 0)
+        return value, depth
+
 
 def _recurrence(forward: bool):
     """mapInPandas body: rows sorted by id, island and time (or reverse); state rows (event_key null) restore what an
@@ -408,14 +425,7 @@ def _recurrence(forward: bool):
                     continue
                 ids = {"job_id": job, "request_id": req, "user_id": user, "project_id": project}
                 dur = 0.0 if dur is None or dur != dur else float(dur)
-                when = int(t) if forward else -int(t)
-                value, depth = state.visit(comp, typ, ids, when)
-                if forward:
-                    result, depth = (0.0, 0) if value is None else (max(value, 0.0), depth + 1)
-                    state.add(comp, typ, ids, when, result + dur, depth)
-                else:
-                    result, depth = (float(es), 0) if value is None else (-value - dur, 0)
-                    state.add(comp, typ, ids, when, -result, 0)
+                result, depth = state.take(comp, typ, ids, int(t), dur, None if forward else float(es))
                 out.append((cid, island, key, result, depth, pickle.dumps(state) if more else None))
             yield pd.DataFrame(out, columns=[ID, "_island", "event_key", "value", "depth", "state"])
 
@@ -520,12 +530,19 @@ def has_gap(events: DataFrame, seconds: int = 60) -> DataFrame:
 
 def is_complete(events: DataFrame) -> DataFrame:
     """Per id: start seen, end seen, no gap above a minute, and all three."""
-    ends = events.groupBy(ID).agg(
+    ends = events.groupBy(ID).agg(*_ends())
+    out = ends.join(has_gap(events), ID, "left").withColumn("has_gap", F.coalesce("has_gap", F.lit(False)))
+    return out.withColumn("is_complete", COMPLETE())
+
+
+def _ends() -> list[Column]:
+    return [
         F.bool_or(F.col("event_type").isin("request_start", "job_enqueue")).alias("has_start"),
         F.bool_or(F.col("event_type").isin("request_end", "job_end", "job_fail")).alias("has_end"),
-    )
-    out = ends.join(has_gap(events), ID, "left").withColumn("has_gap", F.coalesce("has_gap", F.lit(False)))
-    return out.withColumn("is_complete", F.col("has_start") & F.col("has_end") & ~F.col("has_gap"))
+    ]
+
+
+COMPLETE = lambda: F.col("has_start") & F.col("has_end") & ~F.col("has_gap")
 
 
 def root_and_failure(events: DataFrame) -> DataFrame:
@@ -533,22 +550,33 @@ def root_and_failure(events: DataFrame) -> DataFrame:
 
     `events` carries causal_rank, earliest_start and is_critical. All are min-by aggregates.
     """
+    return events.groupBy(ID).agg(*_causes(F.col("causal_rank"))).select(ID, ROOT().alias("root_cause"), "failure_point")
+
+
+ROOT = lambda: F.coalesce("_path_error", "_first_error")
+
+
+def _causes(rank: Column) -> list[Column]:
     is_error = F.col("severity").isin(ERRORS)
-    order = F.struct("causal_rank", "event_key")
-    on_path = F.struct("earliest_start", "causal_rank", "event_key")
+    order = F.struct(rank, "event_key")
+    on_path = F.struct("earliest_start", rank, "event_key")
     bad_type = F.col("event_type").isin("error", *FAILED_TYPES)
     failed = F.col("event_type").isin(FAILED_TYPES) | is_error
-    return events.groupBy(ID).agg(
+    return [
         F.min_by("event_key", F.when(F.col("is_critical") & bad_type, on_path)).alias("_path_error"),
         F.min_by("event_key", F.when(is_error, order)).alias("_first_error"),
         F.min_by("event_key", F.when(failed, order)).alias("failure_point"),
-    ).select(ID, F.coalesce("_path_error", "_first_error").alias("root_cause"), "failure_point")
+    ]
 
 
 def chain_stats(events: DataFrame) -> DataFrame:
     """Per id: span, events, distinct users, projects and failed jobs, errors and warnings."""
+    return conform(events).groupBy(ID).agg(*_stats())
+
+
+def _stats() -> list[Column]:
     failed_job = F.when((F.col("event_type") == "job_fail") & F.col("job_id").isNotNull(), F.col("job_id"))
-    return conform(events).groupBy(ID).agg(
+    return [
         F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"),
         (F.max("t_ms") - F.min("t_ms")).alias("total_ms"), F.count(F.lit(1)).alias("event_count"),
         F.countDistinct("user_id").alias("users"), F.countDistinct("project_id").alias("projects"),
@@ -556,7 +584,7 @@ def chain_stats(events: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == "ERROR").alias("error_count"),
         F.count_if(F.col("severity") == "WARNING").alias("warning_count"),
         F.bool_or(F.col("severity").isin(ERRORS)).alias("has_errors"),
-    )
+    ]
 
 
 def chain_members(events: DataFrame, column: str) -> DataFrame:
@@ -587,12 +615,111 @@ def id_catalog(events: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered.limit(limit) if limit else ordered
 
 
-def trace_chains(events: DataFrame) -> DataFrame:
-    """One row per id: roll-up, root cause, failure point, completeness and the length of its critical path."""
-    # what clocks and causes are read from: messages and other columns are not shuffled with them
-    clocked = causal_rank(lamport(conform(events).select(ID, "event_key", "t_ms", "component", "event_type", "severity", "job_id", "request_id")))
-    paths = critical_path(events).select(ID, "event_key", "earliest_start", "is_critical")
-    full = clocked.join(paths, [ID, "event_key"], "left")
-    causes = root_and_failure(full)
-    path = full.groupBy(ID).agg(F.count_if("is_critical").alias("critical_events"), F.max("earliest_start").alias("path_ms"))
-    return chain_stats(events).join(causes, ID).join(is_complete(events), ID).join(path, ID)
+#: Events of an id that one task traces at once, at most; rows of a task, about; buckets in which ids are counted.
+WHOLE, TRACED_ROWS, ID_BUCKETS = 100_000, 150_000, 16_384
+TRACED_IN = [ID, *[c for c in EVENT_COLUMNS if c not in (ID, "message")]]
+TRACED = "lamport bigint, earliest_start double, is_critical boolean, _wide boolean"
+
+
+def _whole_ids(batches):
+    """Arrow tables of the rows of batches sorted by their first column, none of whose values is in two of them."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, ident = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column(0)[-1].as_py()
+        cut = pc.index(batch.column(0), last).as_py()
+        if held and (cut or ident != last) or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+        ident = last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _traced(batches):
+    """mapInArrow: events of whole ids, sorted by id and time, with their clock, earliest start, whether they are critical, and whether
+    more than a minute passed since the event before."""
+    import pyarrow as pa
+
+    for table in _whole_ids(batches):
+        names = ["t_ms", "component", "event_type", "job_id", "request_id", "user_id", "project_id", "dur_ms"]
+        ids, events = table[ID].to_pylist(), list(zip(*[table[n].to_pylist() for n in names]))
+        found, start = [], 0
+        for end in range(1, len(ids) + 1):
+            if end == len(ids) or ids[end] != ids[start]:
+                found += _trace_id(events[start:end])
+                start = end
+        for name, kind, values in zip(TRACED.replace(",", "").split()[::2], (pa.int64(), pa.float64(), pa.bool_(), pa.bool_()), zip(*found)):
+            table = table.append_column(name, pa.array(values, kind))
+        yield from table.to_batches()
+
+
+def _trace_id(events: list[tuple]) -> list[tuple]:
+    """(clock, earliest start, critical, wide gap before) of the events of one id in order; those without a time are last, and have no
+    place in paths."""
+    clocks, prev, lamports, wide, timed = {}, None, [], [], []
+    for t, comp, typ, job, request, user, project, dur in events:
+        event = (comp, t, job, request)
+        _step(clocks, prev, event)
+        wide.append(prev is not None and t is not None and t - prev[1] > 60_000)
+        lamports.append(clocks[comp])
+        if t is not None:
+            timed.append((comp, typ, {"job_id": job, "request_id": request, "user_id": user, "project_id": project}, t, 0.0 if dur is None or dur != dur else float(dur)))
+        prev = event
+
+    def walk(forward: bool, starts: list):
+        state, before = _Pass(forward), None
+        for event, es in zip(timed, starts) if forward else zip(reversed(timed), reversed(starts)):
+            if before is not None and abs(event[3] - before) > HORIZON_MS:  # no cause reaches across
+                state = _Pass(forward)
+            before = event[3]
+            yield state.take(*event, es)[0]
+
+    early = list(walk(True, [None] * len(timed)))
+    late = list(walk(False, early))[::-1]
+    rest = len(events) - len(timed)
+    return list(zip(lamports, early + [None] * rest, [abs(b - a) < 0.001 for a, b in zip(early, late)] + [None] * rest, wide))
+
+
+def _roll_up(traced: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """One row per id of events with clocks and paths; `gaps` has has_gap of the ids if `_wide` does not tell it."""
+    order = F.struct("lamport", F.col("t_ms").isNull(), "t_ms")  # as causal_rank
+    path = [F.count_if("is_critical").alias("critical_events"), F.max("earliest_start").alias("path_ms")]
+    per = traced.groupBy(ID).agg(*_stats(), *_causes(order), *_ends(), F.bool_or("_wide").alias("has_gap"), *path)
+    if gaps is not None:
+        per = per.drop("has_gap").join(gaps, ID, "left").withColumn("has_gap", F.coalesce("has_gap", F.lit(False)))
+    per = per.withColumn("root_cause", ROOT()).withColumn("is_complete", COMPLETE())
+    stats = per.columns[: per.columns.index("_path_error")]
+    return per.select(*stats, "root_cause", "failure_point", "has_start", "has_end", "has_gap", "is_complete", "critical_events", "path_ms")
+
+
+def trace_chains(events: DataFrame, whole: int = WHOLE, rows: int = TRACED_ROWS, sizes_from: DataFrame | None = None) -> DataFrame:
+    """One row per id: roll-up, root cause, failure point, completeness and the length of its critical path.
+
+    Ids of up to `whole` events are shuffled once, without their messages, and traced by the task that sorts them. Ids of more events
+    go through `lamport` and `critical_path`, which cut them. Events are counted by a hash of their id first, and ids only where one
+    may be that long. `sizes_from` may be a narrower form of `events` to count from.
+    """
+    events = conform(events).where(F.col(ID).isNotNull()).select(*TRACED_IN)
+    events = events.withColumns({"t_ms": F.col("t_ms").cast("bigint"), "dur_ms": F.col("dur_ms").cast("double")})
+    bucket = F.pmod(F.xxhash64(ID), F.lit(ID_BUCKETS))
+    ids = (events if sizes_from is None else sizes_from.where(F.col(ID).isNotNull())).select(ID)
+    counts = {r.bucket: r.n for r in ids.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    crowded, small, large = [b for b, n in counts.items() if n > whole], events, None
+    if crowded:
+        sizes = ids.where(bucket.isin(crowded)).groupBy(ID).agg(F.count(F.lit(1)).alias("n"))
+        large = cut_lineage(sizes.where(F.col("n") > whole).select(ID))
+        small = events.join(large, ID, "left_anti")
+    tasks = max(events.sparkSession.sparkContext.defaultParallelism, -(-sum(counts.values()) // rows))
+    placed = small.repartition(tasks, ID).sortWithinPartitions(ID, F.col("t_ms").asc_nulls_last(), "event_key")
+    chains = _roll_up(placed.mapInArrow(_traced, f"{', '.join(f'{n} {t}' for n, t in placed.dtypes)}, {TRACED}"))
+    if large is None or large.isEmpty():
+        return chains
+    cut = cut_lineage(events.join(large, ID, "left_semi"))
+    paths = critical_path(cut).select(ID, "event_key", "earliest_start", "is_critical")
+    return chains.unionByName(_roll_up(lamport(cut).join(paths, [ID, "event_key"], "left").withColumn("_wide", F.lit(False)), has_gap(cut)))

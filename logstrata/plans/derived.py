@@ -198,7 +198,19 @@ class Tables:
         return self.spark.read.parquet(path)
 
     def trace_events(self) -> DataFrame:
-        return self.spark.sql(TRACE_EVENTS.replace("FROM log_lines", "FROM {rows}"), rows=self.log_lines())
+        """Lines are numbered before what they say is made of them, so that short rows are shuffled."""
+        short = "SELECT session_id, path, event_id, ts, user_id, event_type, k, dur_ms, component FROM m"
+        keys = self._sql(LOG_BASE + "SELECT session_id, path, ts FROM m", "events")
+        numbered = number_rows(
+            self._spread_sql(LOG_BASE + short, "events"), ["session_id", "path"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "line_no", sizes_from=keys
+        )
+        made = "WITH e AS (SELECT * FROM {rows}), " + LOG_BASE[LOG_BASE.index("f AS ("):] + "SELECT * FROM m"
+        lines = compute_once(self.spark.sql(made, rows=numbered.drop("session_id", "path")), message=F.col("message"))
+        return self.spark.sql(TRACE_EVENTS.replace("FROM log_lines", "FROM {rows}"), rows=lines)
+
+    def trace_ids(self) -> DataFrame:
+        """The ids of trace_events, one row for each event."""
+        return self._sql(LOG_BASE + "SELECT correlation_id FROM m", "events")
 
     def request_log(self) -> DataFrame:
         return self._sql(REQUEST_LOG, "lineitem")

@@ -118,7 +118,7 @@ SELECT correlation_id, count(*) AS event_count, coalesce(min_by(event_key, (es,
 
 @query("chains", "K6", "trace_events", CHAINS_SQL)
 def chains(t):
-    rows = trace.trace_chains(events(t))
+    rows = trace.trace_chains(events(t), sizes_from=t.trace_ids())
     return rows.select("correlation_id", "event_count", "root_cause", "failure_point", "has_gap", "is_complete", "critical_events", F.round("path_ms", 3).alias("path_ms"))
 
 

@@ -160,3 +160,34 @@ def test_window_forgets_old_classes():
         window.add(("rails", "x", "job_id", f"j{k}"), 1000 * k, float(k))
         assert len(window.lists) <= 302
     assert window.best(("rails", "x", "job_id", "j9999"), 0) == 9999.0 and window.best(("rails", "x", "job_id", "j5"), 0) is None
+
+
+@pytest.mark.parametrize("whole", [10_000, 12, 0])
+def test_chains_of_long_and_short_ids(spark, whole):
+    """Ids that one task traces and ids that are cut have the same chains, also with null times, and none is left out."""
+    rows = make(11, 40)
+    rows = rows + [("late", "n1", None, *rows[0][3:]), ("late", "n2", 5, *rows[1][3:]), (None, "n3", 5, *rows[1][3:])]
+    df = trace.conform(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    full = trace.causal_rank(trace.lamport(df)).join(trace.critical_path(df).select("correlation_id", "event_key", "earliest_start", "is_critical"), ["correlation_id", "event_key"], "left")
+    path = full.groupBy("correlation_id").agg(F.count_if("is_critical").alias("critical_events"), F.max("earliest_start").alias("path_ms"))
+    want = trace.chain_stats(df).join(trace.root_and_failure(full), "correlation_id").join(trace.is_complete(df), "correlation_id").join(path, "correlation_id")
+    got = trace.trace_chains(df, whole)
+    assert got.columns == want.columns and got.count() == len({r[0] for r in rows}) - 1
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_ids_are_not_cut_between_batches():
+    import pyarrow as pa
+
+    ids = ["a"] * 5 + ["b"] + ["c"] * 4 + ["d"] * 2
+    for size in range(1, 13):
+        batches = [pa.RecordBatch.from_pydict({"id": ids[k : k + size]}) for k in range(0, len(ids), size)] + [pa.RecordBatch.from_pydict({"id": pa.array([], "string")})]
+        tables = [t["id"].to_pylist() for t in trace._whole_ids(batches)]
+        assert sum(tables, []) == ids and all(tables) and not any({*x} & {*y} for k, x in enumerate(tables) for y in tables[:k])
+
+
+def test_chains_shuffle_events_without_messages_once(spark):
+    """Of the plan that makes the chains, one exchange is of events, and it has no messages."""
+    text = trace.trace_chains(trace.conform(spark.createDataFrame([("a", "a1", 0, "rails", "m")], "correlation_id string, event_key string, t_ms bigint, component string, message string")))
+    text = text._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RepartitionByExpression") == 1 and "Join" not in text and "message" not in text.split("RepartitionByExpression")[1].split("LogicalRDD")[0]
